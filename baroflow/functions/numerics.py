@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import math
+import sys
 from statistics import NormalDist
 
 import numpy as np
+from pyspark import cloudpickle
+
+# These helpers travel with the function that uses them, so that executors need no copy
+# of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def solve_tridiagonal(low: np.ndarray, diag: np.ndarray, up: np.ndarray, rhs: np.ndarray) -> np.ndarray:

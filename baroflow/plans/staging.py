@@ -1,19 +1,12 @@
-"""Written intermediate tables and by-value shipping of the in-task helpers."""
+"""Written intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-from baroflow.functions import numerics
-
-# The numpy helpers travel with the function that uses them, so that executors need no
-# copy of this package.
-cloudpickle.register_pickle_by_value(numerics)
-
 _own_folder: dict[str, str] = {}
 
 

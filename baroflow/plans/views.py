@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from baroflow.functions.nulls import snap
 from baroflow.schema import MEASURES, STATION, TIME
 
 
@@ -50,3 +51,15 @@ def daily_readings(spark: SparkSession, sf_dir: str, per_supplier: bool = False)
             F.col("l_linenumber"),
         ],
     )
+
+
+def cmi_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A weekly index per station from ``lineitem``, dated on Mondays at midnight."""
+    return (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(
+            F.concat_ws("-", "l_returnflag", (F.col("l_suppkey") % 10).cast("string")).alias("location"),
+            F.date_trunc("week", F.col("l_shipdate").cast("timestamp")).alias("ymd_hms"),
+        )
+        .agg(snap(F.avg("l_tax") * 100 - 4, 6).alias("CMI"))
+    )
