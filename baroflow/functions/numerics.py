@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import sys
-from statistics import NormalDist
 
 import numpy as np
 from pyspark import cloudpickle
@@ -74,15 +73,16 @@ def cubic_coefficients(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.nda
     return b, c, d
 
 
-def gamma_cdf(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised lower incomplete gamma function P(shape, x), elementwise."""
+def gamma_cdf(shape: np.ndarray, x: np.ndarray, upper: bool = False) -> np.ndarray:
+    """Regularised lower incomplete gamma function P(shape, x), or 1 - P, elementwise."""
     a = np.asarray(shape, dtype=np.float64)
     x = np.asarray(x, dtype=np.float64)
     out = np.full(a.shape, np.nan)
     ok = np.isfinite(a) & np.isfinite(x) & (a > 0)
-    out[ok & (x <= 0)] = 0.0
+    out[ok & (x <= 0)] = 1.0 if upper else 0.0
+    kinds, back = np.unique(a[ok], return_inverse=True)
     lg = np.zeros(a.shape)
-    lg[ok] = [math.lgamma(v) for v in a[ok]]
+    lg[ok] = np.array([math.lgamma(v) for v in kinds])[back] if len(kinds) else 0.0
     small = ok & (x > 0) & (x < a + 1.0)
     large = ok & (x > 0) & ~small
     if small.any():
@@ -96,7 +96,8 @@ def gamma_cdf(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
             total += term
             if np.all(term <= total * 1e-16):
                 break
-        out[small] = total * np.exp(-z + s * np.log(z) - lg[small])
+        part = total * np.exp(-z + s * np.log(z) - lg[small])
+        out[small] = 1.0 - part if upper else part
     if large.any():
         s, z = a[large], x[large]
         tiny = 1e-300
@@ -115,17 +116,42 @@ def gamma_cdf(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
             f *= delta
             if np.all(np.abs(delta - 1.0) < 1e-15):
                 break
-        out[large] = 1.0 - np.exp(-z + s * np.log(z) - lg[large]) * f
+        part = np.exp(-z + s * np.log(z) - lg[large]) * f
+        out[large] = part if upper else 1.0 - part
     return np.clip(out, 0.0, 1.0)
 
 
 def normal_quantile(p: np.ndarray) -> np.ndarray:
-    """Standard normal quantile; infinite at 0 and 1, missing for missing input."""
-    q = NormalDist().inv_cdf
-    flat = np.asarray(p, dtype=np.float64)
-    out = np.full(flat.shape, np.nan)
-    inside = (flat > 0) & (flat < 1)
-    out[inside] = [q(v) for v in flat[inside]]
-    out[flat <= 0] = -np.inf
-    out[flat >= 1] = np.inf
+    """Standard normal quantile; infinite at 0 and 1, missing for missing input.
+
+    Rational starting value of about nine digits (published by P. J. Acklam), then one
+    third-order correction, which squares away the remaining error.
+    """
+    # Coefficients, highest power first.
+    a = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02,
+         1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
+    b = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02,
+         6.680131188771972e01, -1.328068155288572e01, 1.0]
+    c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00,
+         -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
+    d = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00,
+         3.754408661907416e00, 1.0]
+    p = np.asarray(p, dtype=np.float64)
+    out = np.full(p.shape, np.nan)
+    out[p <= 0] = -np.inf
+    out[p >= 1] = np.inf
+    inside = (p > 0) & (p < 1)
+    q = p[inside]
+    tail = np.minimum(q, 1.0 - q)
+    z = np.empty(q.shape)
+    far = tail < 0.02425
+    t = np.sqrt(-2.0 * np.log(tail[far]))
+    z[far] = np.polyval(c, t) / np.polyval(d, t)
+    u = tail[~far] - 0.5
+    z[~far] = u * np.polyval(a, u * u) / np.polyval(b, u * u)
+    # Lower-tail probability of z <= 0 through the incomplete gamma function.
+    below = 0.5 * gamma_cdf(np.full(z.shape, 0.5), z * z / 2.0, upper=True)
+    e = (below - tail) * math.sqrt(2.0 * math.pi) * np.exp(z * z / 2.0)
+    z = z - e / (1.0 + z * e / 2.0)
+    out[inside] = np.where(q <= 0.5, z, -z)
     return out

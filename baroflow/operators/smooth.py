@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,54 +98,80 @@ def spline_coefficients(
         full = F.count("*").over(by_chunk) < chunk + 2 * halo
         copies = copies.withColumn("_need", holes | full).where("_need").drop("_need")
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(STEP)
-        b, c, d = numerics.cubic_coefficients(
-            pdf[STEP].to_numpy(np.float64), pdf["y"].to_numpy(np.float64)
+    def solve(knots: pa.Table) -> pa.Table:
+        x, y, own = (knots.column(c).to_numpy() for c in (STEP, "y", "_own"))
+        order = np.argsort(x)
+        coef = numerics.cubic_coefficients(x[order].astype(np.float64), y[order])
+        keep = own[order]
+        return pa.table(
+            {
+                STATION: knots.column(STATION).take(pa.array(order[keep])),
+                STEP: x[order][keep],
+                **{n: pa.array(v[keep], from_pandas=True) for n, v in zip(("_b", "_c", "_d"), coef)},
+            }
         )
-        res = pd.DataFrame({STATION: pdf[STATION], STEP: pdf[STEP], "_b": b, "_c": c, "_d": d})
-        return res[pdf["_own"].to_numpy()]
 
-    return copies.groupBy(STATION, BLOCK).applyInPandas(
+    return copies.groupBy(STATION, BLOCK).applyInArrow(
         solve, f"{STATION} string, {STEP} long, _b double, _c double, _d double"
     )
 
 
 # -- bounded frames over (station, block) ------------------------------------------
+#
+# Fixed-width sums are written as sums of shifted values.  A shift past the series end is
+# NULL and makes the sum NULL, which is just the rule for a frame that is not full, and a
+# shift costs one row access where a sliding frame would add up its whole width again.
 
 
-def frame_sum(value: Column, lo: int, hi: int, w) -> Column:
-    """Sum over rows ``lo..hi``; zero where the frame is not full."""
-    f = w.rowsBetween(lo, hi)
-    return F.when(F.count(F.lit(1)).over(f) == hi - lo + 1, F.sum(value).over(f)).otherwise(F.lit(0.0))
+def at(value, offset: int, w) -> Column:
+    """The value ``offset`` rows ahead (behind if negative)."""
+    if offset == 0:
+        return F.col(value) if isinstance(value, str) else value
+    return F.lead(value, offset).over(w) if offset > 0 else F.lag(value, -offset).over(w)
 
 
-def frame_mean(value: Column, n: int, w, before: int | None = None) -> Column:
-    """Mean over ``n`` rows around the current one; NULL where the frame is not full.
-
-    An even width has one more row after than before: 11 before and 12 after for 24.
-    """
-    lo = (n - 1) // 2 if before is None else before
-    f = w.rowsBetween(-lo, n - 1 - lo)
-    return F.when(F.count(value).over(f) == n, F.avg(value).over(f))
+def shifted_sum(value, offsets, w) -> Column:
+    return reduce(lambda a, b: a + b, [at(value, k, w) for k in offsets])
 
 
 def mean_span(n: int) -> tuple[int, int]:
+    """Rows before and after the current one in a centred mean; even widths lean ahead.
+
+    A width of 24 covers 11 rows before and 12 after.
+    """
     return (n - 1) // 2, n - 1 - (n - 1) // 2
 
 
-def smooth_in_block(df: DataFrame, w, n: int = 24, lag: int = 24) -> DataFrame:
-    """Centred mean and its change over ``lag`` steps, inside halo blocks."""
-    df = df.withColumn("pressure_av", frame_mean(F.col("pressure_spl"), n, w))
-    return df.withColumn("pressure_chng_av", snap(F.col("pressure_av") - F.lag("pressure_av", lag).over(w)))
+def _run_length(n: int) -> int:
+    """A divisor of ``n`` near its square root: sums of ``n`` are built from shorter runs."""
+    return max(d for d in range(1, int(n**0.5) + 1) if n % d == 0)
+
+
+def run_sum(column: str, n: int, w) -> Column:
+    """Sum of this row and the following ones, over the run length of ``n``."""
+    return shifted_sum(column, range(_run_length(n)), w)
+
+
+def mean_of_runs(run: str, n: int, w, shift: int = 0) -> Column:
+    """Centred mean over ``n`` rows from run sums, ``shift`` rows away; NULL where not full."""
+    before, _ = mean_span(n)
+    size = _run_length(n)
+    return shifted_sum(run, [shift - before + k for k in range(0, n, size)], w) / float(n)
+
+
+def change_of_runs(run: str, n: int, lag: int, w) -> dict[str, Column]:
+    """The centred mean and its change over ``lag`` rows."""
+    mean = mean_of_runs(run, n, w)
+    return {"pressure_av": mean, "pressure_chng_av": snap(mean - mean_of_runs(run, n, w, -lag))}
 
 
 def rolling_mean(
     df: DataFrame, column: str, out: str, n: int = 24, block_steps: int = BLOCK_STEPS
 ) -> DataFrame:
     before, after = mean_span(n)
-    h = with_halo(df, before, after, size=block_steps)
-    return owned(h.withColumn(out, frame_mean(F.col(column), n, block_window()))).drop(BLOCK)
+    w = block_window()
+    h = with_halo(df, before, after, size=block_steps).withColumn("_run", run_sum(column, n, w))
+    return owned(h.withColumn(out, mean_of_runs("_run", n, w))).drop(BLOCK, "_run")
 
 
 def rolling_sums(
@@ -152,16 +180,23 @@ def rolling_sums(
     """Left- and right-aligned rolling sums ``sum_left`` / ``sum_right``; partial windows are 0."""
     h = with_halo(df, width - 1, width - 1, size=block_steps)
     w = block_window()
-    x = F.coalesce(F.col(column), F.lit(0.0))
+    x, none = F.coalesce(F.col(column), F.lit(0.0)), F.lit(0.0)
     return owned(
-        h.withColumns({"sum_left": frame_sum(x, 0, width - 1, w), "sum_right": frame_sum(x, -(width - 1), 0, w)})
+        h.withColumns(
+            {
+                "sum_left": F.coalesce(shifted_sum(x, range(width), w), none),
+                "sum_right": F.coalesce(shifted_sum(x, range(1 - width, 1), w), none),
+            }
+        )
     ).drop(BLOCK)
 
 
 def pressure_change(df: DataFrame, n: int = 24, lag: int = 24, block_steps: int = BLOCK_STEPS) -> DataFrame:
+    """Centred mean ``pressure_av`` and its change ``pressure_chng_av`` over ``lag`` steps."""
     before, after = mean_span(n)
-    h = with_halo(df, before + lag, after, size=block_steps)
-    return owned(smooth_in_block(h, block_window(), n, lag)).drop(BLOCK)
+    w = block_window()
+    h = with_halo(df, before + lag, after, size=block_steps).withColumn("_run", run_sum("pressure_spl", n, w))
+    return owned(h.withColumns(change_of_runs("_run", n, lag, w))).drop(BLOCK, "_run")
 
 
 # -- harmonic regression ----------------------------------------------------------

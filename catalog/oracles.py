@@ -452,7 +452,7 @@ add(
     D,
     f"SELECT Location, Press_Evt_lab, St, {r6('Dur_lag1')} AS Dur_lag1, {r6('Press_Delta_lag1')} AS Press_Delta_lag1 FROM e2e",
 )
-POP = "round(sum(CASE WHEN St_Rain > 0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6)"
+POP = r6("sum(CASE WHEN St_Rain > 0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE)")
 add(
     "pop_by_epc",
     D,
@@ -491,7 +491,7 @@ add(
     "pop_surface_tiles",
     D,
     f"""SELECT {rstep('Sum_Press_Delta', 20)} AS Sum_Press_Delta, {rstep('MonT', 1)} AS MonT, {HALF} AS YrSide,
-  round(sum(CASE WHEN St_Rain > 0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) * 100, 6) AS RainProb FROM e2e GROUP BY 1, 2, 3""",
+  {r6("sum(CASE WHEN St_Rain > 0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) * 100")} AS RainProb FROM e2e GROUP BY 1, 2, 3""",
 )
 
 
@@ -565,8 +565,9 @@ wr AS (SELECT * REPLACE (coalesce(CMI, 0e0) AS CMI, coalesce(CMI_pre, 0e0) AS CM
 
 def ratio(x: str, n: str) -> str:
     x = snap(x)
-    return f"""round(coalesce(CASE WHEN {n} <> 0 THEN {x} / {n} WHEN {x} > 0 THEN CAST('Infinity' AS DOUBLE)
-  WHEN {x} < 0 THEN CAST('-Infinity' AS DOUBLE) END, 0e0), 6) + 0e0"""
+    inner = f"""coalesce(CASE WHEN {n} <> 0 THEN {x} / {n} WHEN {x} > 0 THEN CAST('Infinity' AS DOUBLE)
+  WHEN {x} < 0 THEN CAST('-Infinity' AS DOUBLE) END, 0e0)"""
+    return r6(inner)
 
 
 PCE_N = "(max(Press_Evt_lab) - min(Press_Evt_lab))"
@@ -650,7 +651,7 @@ lk AS (SELECT Location, lead(step) OVER (PARTITION BY Location ORDER BY step) -
     """SELECT Location, CASE WHEN gap <= 1 THEN '(0,1]' WHEN gap <= 6 THEN '(1,6]' WHEN gap <= 24 THEN '(6,24]'
   WHEN gap > 24 THEN '(24,Inf]' END AS gp, count(*) AS n FROM lk GROUP BY 1, 2""",
 )
-SHARE = "round(sum(CASE WHEN rain0 > 0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE), 6) AS PRate"
+SHARE = r6("sum(CASE WHEN rain0 > 0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE)") + " AS PRate"
 add("pop_by_slp", H_LAB, f"SELECT {fstep(snap('Pressure_hPa'), 1)} AS SLP_v, {SHARE} FROM l GROUP BY 1")
 add(
     "pop_by_slp_month",
