@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from baroflow.functions import numerics
@@ -12,7 +12,9 @@ from baroflow.functions.bins import floor_step, wet_dry
 from baroflow.functions.dates import week_of_year
 from baroflow.functions.nulls import safe_ratio, snap, strict_avg, strict_max, strict_min, strict_sum
 from baroflow.operators.blocks import block_window, owned, with_halo
+from baroflow.operators.smooth import at, run_length, shifted_sum
 from baroflow.operators.stats import with_week
+from baroflow.plans.staging import stage
 from baroflow.schema import BLOCK, STATION, TIME
 
 WEEK_KEYS = ["Yr", "Mon", "Wk", STATION]
@@ -140,14 +142,20 @@ def weekly_extract(
     season: tuple[int, int] = (4, 10),
     min_abs_cmi: float | None = None,
     max_pce: int | None = None,
+    condition: Column | None = None,
 ) -> DataFrame:
-    """Distinct week rows with a season or event-count label, the time column left out."""
+    """Distinct week rows with a season or event-count label, the time column left out.
+
+    ``condition`` adds any further row filter, such as a bound on the dew-point gap.
+    """
     if station is not None:
         weeks = weeks.where(F.col(STATION) == station)
     if min_abs_cmi is not None:
         weeks = weeks.where((F.col("CMI") >= min_abs_cmi) | (F.col("CMI") <= -min_abs_cmi))
     if max_pce is not None:
         weeks = weeks.where(F.col(PCE_NUM) <= max_pce)
+    if condition is not None:
+        weeks = weeks.where(condition)
     if label == "wet_dry":
         weeks = weeks.withColumn("wet_dry", wet_dry("Mon", *season))
     elif label == "pce":
@@ -172,15 +180,22 @@ def daily_agg(series: DataFrame) -> DataFrame:
 
 
 def rolling_rain(daily: DataFrame, days: int = 30, block_days: int = 2048) -> DataFrame:
-    """Rain over the last ``days`` days; NULL unless every one of them is known."""
+    """Rain over the last ``days`` days; NULL unless every one of them is known.
+
+    Expects one row per station and day.  ``days`` known rows reach back exactly
+    ``days - 1`` days if and only if none is missing.
+    """
     d = daily.where(F.col("Day_rain").isNotNull()).select(
         STATION, "Time_SPI", "Day_rain", F.unix_date("Time_SPI").cast("long").alias("day")
     )
+    w = block_window(order="day")
+    size = run_length(days)
     h = with_halo(d, days - 1, 0, order="day", size=block_days)
-    w = block_window(order="day").rangeBetween(-(days - 1), 0)
-    full = F.count("Day_rain").over(w) == days
-    out = h.withColumn("rain_sum", F.when(full, snap(F.sum("Day_rain").over(w))))
-    return owned(out).drop(BLOCK, "day").where(F.col("rain_sum").isNotNull())
+    h = h.withColumn("_run", shifted_sum("Day_rain", range(1 - size, 1), w))
+    full = F.col("day") - at("day", 1 - days, w) == days - 1
+    total = shifted_sum("_run", range(size - days, 1, size), w)
+    out = h.withColumn("rain_sum", F.when(full, snap(total)))
+    return owned(out).drop(BLOCK, "day", "_run").where(F.col("rain_sum").isNotNull())
 
 
 def spi_gamma_params(rolled: DataFrame, pooled: bool = False) -> DataFrame:
@@ -226,7 +241,7 @@ def spi_daily(
     and mapped to standard-normal quantiles.  ``pooled`` fits all stations together.
     ``years`` limits the dates returned, not the dates fitted.
     """
-    rolled = rolling_rain(daily, days)
+    rolled = stage(rolling_rain(daily, days), "rolled")
     params = spi_gamma_params(rolled, pooled)
     keys = ([] if pooled else [STATION]) + ["doy"]
     out = rolled.withColumn("doy", F.dayofyear("Time_SPI"))

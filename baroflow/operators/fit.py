@@ -120,8 +120,9 @@ def kde_2d(df: DataFrame, x: str, y: str, points: int = 25, bins: int = 256) ->
 
 # -- local regression ------------------------------------------------------------------------
 
-_BINS = 512  # distance bins per refinement pass
-_PASSES = 3  # pins the bandwidth down to one part in 10**8 of the range
+_BINS = 64  # distance bins per refinement pass
+_PASSES = 5  # pins the radius down to one part in 10**9 of the range
+_PAIRS_PER_TASK = 20_000_000
 
 
 def grid_points(axes: Sequence[tuple[float, float, float]]) -> np.ndarray:
@@ -154,99 +155,91 @@ def local_regression(
 ) -> DataFrame:
     """Locally weighted polynomial evaluated directly at every grid point.
 
-    Weights are tricube within the distance to the ``floor(alpha * n)``-th nearest row.
-    That distance is found by counting rows in ever finer distance bins; the weighted
-    normal equations are then summed per task and per grid point.  Predictors keep their
-    units.  ``points`` is read several times, so pass a staged table.
+    Weights are tricube within the distance to the ``floor(alpha * n)``-th nearest row,
+    in the units of the predictors.  That distance is found by counting rows in ever
+    finer distance bins; the weighted normal equations are then summed per task and per
+    grid point, so tasks hand on sums and never pairs.  ``points`` is read several times,
+    so pass a staged table.
     """
     d, g = len(predictors), len(grid)
+    cols = [f"p{i}" for i in range(d)]
     data = points.select(
-        *[F.col(c).cast("double").alias(f"p{i}") for i, c in enumerate(predictors)],
+        *[F.col(c).cast("double").alias(p) for c, p in zip(predictors, cols)],
         F.col(response).cast("double").alias("y"),
     ).dropna()
     head = data.agg(
-        F.count("*").alias("n"),
-        *[f(f"p{i}").alias(f"{f.__name__}{i}") for i in range(d) for f in (F.min, F.max)],
+        F.count("*").alias("n"), *[f(p).alias(f"{f.__name__}_{p}") for p in cols for f in (F.min, F.max)]
     ).first()
-    names = [*predictors, "fit"]
-    ddl = ", ".join(f"`{c}` double" for c in names)
+    ddl = ", ".join(f"`{c}` double" for c in [*predictors, "fit"])
     if head["n"] == 0:
         return points.sparkSession.createDataFrame([], ddl)
     k = max(1, int(math.floor(alpha * head["n"] + 1e-9)))
-    cols = [f"p{i}" for i in range(d)]
-
-    def distances(pdf: pd.DataFrame) -> np.ndarray:
-        p = pdf[cols].to_numpy(np.float64)
-        return np.sqrt(((grid[:, None, :] - p[None, :, :]) ** 2).sum(axis=2))
-
-    def batches(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        size = max(1, 4_000_000 // (g * d))
-        for i in range(0, len(pdf), size):
-            yield pdf.iloc[i : i + size]
-
-    # Bandwidth: narrow [lo, lo + width) until it holds only the k-th nearest row.
-    far = np.zeros(g)
-    for i in range(d):
-        a, b = head[f"min{i}"], head[f"max{i}"]
-        far += np.maximum(np.abs(grid[:, i] - a), np.abs(grid[:, i] - b)) ** 2
-    lo, width = np.zeros(g), np.sqrt(far) * (1 + 1e-12) + 1e-300
-    radius = np.zeros(g)
+    # As many tasks as the number of distance evaluations calls for.
+    data = data.repartition(max(1, math.ceil(head["n"] * g / _PAIRS_PER_TASK)))
+    first = np.array([head[f"min_{p}"] for p in cols])
+    last = np.array([head[f"max_{p}"] for p in cols])
+    centre, scale = (first + last) / 2, np.where(last > first, (last - first) / 2, 1.0)
+
+    def slices(it: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Coordinates, responses and distances (grid by row) of a bounded number of rows."""
+        size = max(1, 1_000_000 // g)
+        for pdf in it:
+            for i in range(0, len(pdf), size):
+                part = pdf.iloc[i : i + size]
+                x = part[cols].to_numpy(np.float64)
+                sq = np.zeros((g, len(x)))
+                for j in range(d):
+                    sq += (grid[:, j, None] - x[None, :, j]) ** 2
+                yield x, part["y"].to_numpy(np.float64), np.sqrt(sq)
+
+    # Radius: narrow [lo, lo + width) around the distance of the k-th nearest row.
+    far = np.maximum(np.abs(grid - first), np.abs(grid - last))
+    lo, width = np.zeros(g), np.sqrt((far**2).sum(axis=1)) * (1 + 1e-9) + 1e-12
     for _ in range(_PASSES):
 
         def count(it: Iterator[pd.DataFrame], lo=lo, width=width) -> Iterator[pd.DataFrame]:
-            n = np.zeros(g * (_BINS + 1), dtype=np.int64)
-            top = np.zeros(g * (_BINS + 1))
-            rows = np.arange(g)[:, None] * (_BINS + 1)
-            for whole in it:
-                for pdf in batches(whole):
-                    dist = distances(pdf)
-                    # Position 0 collects the rows nearer than the interval.
-                    pos = np.floor((dist - lo[:, None]) / width[:, None] * _BINS) + 1
-                    ok = pos <= _BINS
-                    cell = (rows + np.clip(pos, 0, _BINS).astype(np.int64))[ok]
-                    n += np.bincount(cell, minlength=len(n))
-                    np.maximum.at(top, cell, dist[ok])
+            # Bin 0 holds the rows nearer than the interval, the last bin those beyond it.
+            per = _BINS + 2
+            n = np.zeros(g * per, dtype=np.int64)
+            base = np.arange(g)[:, None] * per
+            for _, _, dist in slices(it):
+                pos = np.floor((dist - lo[:, None]) * (_BINS / width)[:, None]) + 1
+                cell = base + np.clip(pos, 0, _BINS + 1).astype(np.int64)
+                n += np.bincount(cell.ravel(), minlength=g * per)
             used = np.flatnonzero(n)
-            yield pd.DataFrame({"g": used // (_BINS + 1), "b": used % (_BINS + 1), "n": n[used], "top": top[used]})
+            yield pd.DataFrame({"g": used // per, "b": used % per, "n": n[used]})
 
         upto = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
         hit = (
-            data.mapInPandas(count, "g long, b long, n long, top double")
+            data.mapInPandas(count, "g long, b long, n long")
             .groupBy("g", "b")
-            .agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+            .agg(F.sum("n").alias("n"))
             .withColumn("cum", F.sum("n").over(upto))
             .where(F.col("cum") >= k)
             .groupBy("g")
-            .agg(F.min_by("top", "b").alias("top"), F.min("b").alias("b"))
+            .agg(F.min("b").alias("b"))
             .toPandas()  # one row per grid point
         )
         gi = hit["g"].to_numpy()
-        radius[gi] = hit["top"].to_numpy()
-        lo, width = lo.copy(), width / _BINS
-        lo[gi] += np.maximum(hit["b"].to_numpy() - 1, 0) * width[gi]
+        width = width / _BINS
+        lo = lo.copy()
+        lo[gi] += (np.clip(hit["b"].to_numpy(), 1, _BINS) - 1) * width[gi]
+    radius = lo + width
+
+    powers, moments = _powers(d, degree), _powers(d, 2 * degree)
+    place = {p: j for j, p in enumerate(moments)}
 
-    powers = _powers(d, degree)
-    moments = _powers(d, 2 * degree)
+    def basis(x: np.ndarray, exponents: list[tuple[int, ...]]) -> np.ndarray:
+        u = (x - centre) / scale
+        return np.stack([np.prod(u ** np.array(p), axis=1) for p in exponents], axis=1)
 
     def partial(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = np.zeros((g, len(moments)))
-        t = np.zeros((g, len(powers)))
-        scale = np.where(radius > 0, radius, 1.0)
-        for whole in it:
-            for pdf in batches(whole):
-                dist = distances(pdf)
-                w = np.clip(1.0 - (dist / scale[:, None]) ** 3, 0.0, None) ** 3
-                z = (pdf[cols].to_numpy(np.float64)[None, :, :] - grid[:, None, :]) / scale[:, None, None]
-                y = pdf["y"].to_numpy(np.float64)
-                for j, p in enumerate(moments):
-                    s[:, j] += (w * np.prod(z ** np.array(p), axis=2)).sum(axis=1)
-                for j, p in enumerate(powers):
-                    t[:, j] += (w * np.prod(z ** np.array(p), axis=2) * y).sum(axis=1)
-        yield pd.DataFrame(
-            {"g": np.arange(g)}
-            | {f"s{j}": s[:, j] for j in range(len(moments))}
-            | {f"t{j}": t[:, j] for j in range(len(powers))}
-        )
+        total = np.zeros((g, len(moments) + len(powers)))
+        for x, y, dist in slices(it):
+            r = dist / radius[:, None]
+            w = np.clip(1.0 - r * r * r, 0.0, None)
+            total += (w * w * w) @ np.hstack([basis(x, moments), basis(x, powers) * y[:, None]])
+        yield pd.DataFrame({"g": np.arange(g), **{c: total[:, j] for j, c in enumerate(sums)}})
 
     sums = [f"s{j}" for j in range(len(moments))] + [f"t{j}" for j in range(len(powers))]
     totals = (
@@ -254,18 +247,16 @@ def local_regression(
         .groupBy("g")
         .agg(*[F.sum(c).alias(c) for c in sums])
     )
-    place = {p: j for j, p in enumerate(moments)}
 
     def solve(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            fit = []
-            for rec in pdf.to_dict("records"):
-                m = np.array([[rec[f"s{place[tuple(np.add(a, b))]}"] for b in powers] for a in powers])
-                r = np.array([rec[f"t{j}"] for j in range(len(powers))])
-                # The intercept is the value at the grid point.
-                fit.append(np.linalg.lstsq(m, r, rcond=1e-10)[0][0] if m[0, 0] > 0 else np.nan)
             at = grid[pdf["g"].to_numpy()]
-            yield pd.DataFrame({c: at[:, i] for i, c in enumerate(predictors)} | {"fit": fit})
+            fit = []
+            for row, b in zip(pdf[sums].to_numpy(), basis(at, powers)):
+                m = np.array([[row[place[tuple(np.add(p, q))]] for q in powers] for p in powers])
+                t = row[len(moments) :]
+                fit.append(b @ np.linalg.lstsq(m, t, rcond=1e-12)[0] if m[0, 0] > 0 else np.nan)
+            yield pd.DataFrame({**{c: at[:, i] for i, c in enumerate(predictors)}, "fit": fit})
 
     return totals.mapInPandas(solve, ddl)
 

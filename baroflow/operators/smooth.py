@@ -31,40 +31,50 @@ KNOT_HALO = 64  # extra known points on each side; their influence is below 2**-
 def fill_and_pad(
     buckets: DataFrame,
     method: str = "spline",
-    column: str = "Pressure_hPa",
     measures: Sequence[str] = MEASURES,
-    out: str = "pressure_spl",
+    columns: dict[str, str] | None = None,
     block_steps: int = BLOCK_STEPS,
 ) -> DataFrame:
-    """Pad to the full grid and fill ``column`` into ``out``; known points keep their value.
+    """Pad to the full grid and fill missing values; known points keep their value.
 
-    ``method='spline'`` is the cubic with third-derivative end conditions taken from the
-    first and last four points; beyond the ends the end cubics go on.  ``'linear'`` fills
-    between known points and leaves the ends empty.
+    ``columns`` maps a measure to its filled column, by default the pressure to
+    ``pressure_spl``.  ``method='spline'`` is the cubic with third-derivative end conditions
+    taken from the first and last four points; beyond the ends the end cubics go on.
+    ``'linear'`` fills between known points and leaves the ends empty.
     """
     if method not in ("spline", "linear"):
         raise ValueError(f"unknown method {method!r}")
+    columns = columns or {"Pressure_hPa": "pressure_spl"}
     src = buckets.select(STATION, STEP, *measures)
-    y = F.col(column)
-    fields = [F.col(STEP).alias("s"), y.alias("y")]
-    if method == "spline":
-        coef = spline_coefficients(src.where(y.isNotNull()).select(STATION, STEP, y.alias("y")))
-        src = src.join(coef, [STATION, STEP], "left")
-        fields += [F.col(c) for c in ("_b", "_c", "_d")]
+    knots, extra = {}, []
+    for c in columns:
+        fields = [F.col(STEP).alias("s"), F.col(c).alias("y")]
+        if method == "spline":
+            coef = spline_coefficients(
+                src.where(F.col(c).isNotNull()).select(STATION, STEP, F.col(c).alias("y"))
+            )
+            mine = {k: f"{k}_{c}" for k in ("_b", "_c", "_d")}
+            src = src.join(coef.withColumnsRenamed(mine), [STATION, STEP], "left")
+            fields += [F.col(v).alias(k) for k, v in mine.items()]
+            extra += mine.values()
+        knots[c] = (F.struct(*fields), F.col(c).isNotNull())
     linked = neighbour_rows(
         src,
-        previous={"_prev": (F.struct(*fields), y.isNotNull())},
-        following={"next_step": (F.col(STEP), None), "_next": (F.struct(*fields), y.isNotNull())},
-        inclusive=("_prev",),
+        previous={f"_prev_{c}": k for c, k in knots.items()},
+        following={"next_step": (F.col(STEP), None), **{f"_next_{c}": k for c, k in knots.items()}},
+        inclusive=[f"_prev_{c}" for c in knots],
         size=block_steps,
     )
-    grid = explode_steps(linked.drop("_b", "_c", "_d"), measures)
-    if method == "linear":
-        filled = _line(F.col("_prev"), F.col("_next"), F.col(STEP))
-    else:
-        p, n, s = F.col("_prev"), F.col("_next"), F.col(STEP)
-        filled = F.when(p.isNotNull(), _cubic(p, s)).otherwise(_cubic(n, s))
-    return grid.withColumn(out, F.coalesce(y, filled)).drop("_prev", "_next")
+    grid = explode_steps(linked.drop(*extra), measures)
+    filled = {}
+    for c, out in columns.items():
+        p, n, s = F.col(f"_prev_{c}"), F.col(f"_next_{c}"), F.col(STEP)
+        if method == "linear":
+            value = _line(p, n, s)
+        else:
+            value = F.when(p.isNotNull(), _cubic(p, s)).otherwise(_cubic(n, s))
+        filled[out] = F.coalesce(F.col(c), value)
+    return grid.withColumns(filled).drop(*[f"_{d}_{c}" for d in ("prev", "next") for c in columns])
 
 
 def _line(p: Column, n: Column, s: Column) -> Column:
@@ -142,20 +152,20 @@ def mean_span(n: int) -> tuple[int, int]:
     return (n - 1) // 2, n - 1 - (n - 1) // 2
 
 
-def _run_length(n: int) -> int:
+def run_length(n: int) -> int:
     """A divisor of ``n`` near its square root: sums of ``n`` are built from shorter runs."""
     return max(d for d in range(1, int(n**0.5) + 1) if n % d == 0)
 
 
 def run_sum(column: str, n: int, w) -> Column:
     """Sum of this row and the following ones, over the run length of ``n``."""
-    return shifted_sum(column, range(_run_length(n)), w)
+    return shifted_sum(column, range(run_length(n)), w)
 
 
 def mean_of_runs(run: str, n: int, w, shift: int = 0) -> Column:
     """Centred mean over ``n`` rows from run sums, ``shift`` rows away; NULL where not full."""
     before, _ = mean_span(n)
-    size = _run_length(n)
+    size = run_length(n)
     return shifted_sum(run, [shift - before + k for k in range(0, n, size)], w) / float(n)
 
 
@@ -165,13 +175,16 @@ def change_of_runs(run: str, n: int, lag: int, w) -> dict[str, Column]:
     return {"pressure_av": mean, "pressure_chng_av": snap(mean - mean_of_runs(run, n, w, -lag))}
 
 
-def rolling_mean(
-    df: DataFrame, column: str, out: str, n: int = 24, block_steps: int = BLOCK_STEPS
+def rolling_means(
+    df: DataFrame, columns: dict[str, str], n: int = 24, block_steps: int = BLOCK_STEPS
 ) -> DataFrame:
+    """Centred means of several columns; ``columns`` maps input to output."""
     before, after = mean_span(n)
     w = block_window()
-    h = with_halo(df, before, after, size=block_steps).withColumn("_run", run_sum(column, n, w))
-    return owned(h.withColumn(out, mean_of_runs("_run", n, w))).drop(BLOCK, "_run")
+    runs = {c: f"_run_{c}" for c in columns}
+    h = with_halo(df, before, after, size=block_steps).withColumns({r: run_sum(c, n, w) for c, r in runs.items()})
+    out = h.withColumns({o: mean_of_runs(runs[c], n, w) for c, o in columns.items()})
+    return owned(out).drop(BLOCK, *runs.values())
 
 
 def rolling_sums(

@@ -613,6 +613,16 @@ add(
 )
 
 
+add(
+    "weekly_extract_dry",
+    WEEKS + f""",
+z AS (SELECT *, {snap("(CMI - (SELECT avg(CMI) FROM wk)) / (SELECT stddev_samp(CMI) FROM wk)")} AS CMI_standarize FROM wk)""",
+    f"""SELECT DISTINCT Yr, Mon, Wk, Location, {r6("CMI_standarize")} AS CMI_standarize, Temp_dew_diff,
+  {r6("cum_Pressure_chng")} AS cum_Pressure_chng, CASE WHEN PCE_num > 2 THEN '>2' ELSE '<2' END AS wet_dry
+  FROM z WHERE CMI_standarize < -1 AND CMI_pre <= 0 AND CASE WHEN Temp_dew_diff > 0 THEN ln(Temp_dew_diff) > 1 ELSE FALSE END""",
+)
+
+
 def daily_cte(src: str, name: str = "da") -> str:
     return f"""
 {name} AS (SELECT Location, CAST(Time AS DATE) AS Time_SPI, {snap(strict("sum", "Rain"))} AS Day_rain,
@@ -713,6 +723,32 @@ add(
     f"SELECT Location, Time, {r6('ahead')} AS sum_left, {r6('behind')} AS sum_right FROM rs",
 )
 add("rolling_mean_centered", H_SMOOTH, f"SELECT Location, Time, {r6('pressure_av')} AS pressure_av FROM m")
+_vars = {"Pressure_hPa": "slp", "Temp_C": "temp", "DewPt_C": "dewpt", "RH": "rhx"}
+_edge = ", ".join(
+    f"max(CASE WHEN {c} IS NOT NULL THEN step END) OVER a AS p_{n}, min(CASE WHEN {c} IS NOT NULL THEN step END) OVER z AS n_{n}"
+    for c, n in _vars.items()
+)
+_fill = ", ".join(
+    f"""coalesce(k.{c}, p{n}.{c} + (n{n}.{c} - p{n}.{c}) * CAST(k.step - k.p_{n} AS DOUBLE) / CAST(k.n_{n} - k.p_{n} AS DOUBLE)) AS {n}_spl"""
+    for c, n in _vars.items()
+)
+_joins = "".join(
+    f""" LEFT JOIN b p{n} ON p{n}.Location = k.Location AND p{n}.step = k.p_{n}
+  LEFT JOIN b n{n} ON n{n}.Location = k.Location AND n{n}.step = k.n_{n}"""
+    for n in _vars.values()
+)
+_avs = ", ".join(
+    r6(f"CASE WHEN count({n}_spl) OVER w = 24 THEN avg({n}_spl) OVER w END") + f" AS {n}_av" for n in _vars.values()
+)
+add(
+    "smooth_variables",
+    H_GRID + f""",
+k AS (SELECT *, {_edge} FROM s WINDOW a AS (PARTITION BY Location ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  z AS (PARTITION BY Location ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+f AS (SELECT k.Location, k.step, k.Time, {_fill} FROM k{_joins})""",
+    f"""SELECT Location, Time, {_avs} FROM f
+  WINDOW w AS (PARTITION BY Location ORDER BY step ROWS BETWEEN 11 PRECEDING AND 12 FOLLOWING)""",
+)
 add("pressure_change_24h", H_SMOOTH, f"SELECT Location, Time, {r6('pressure_chng_av')} AS pressure_chng_av FROM c")
 for key, rule in (("rain_dry_labels", "A"), ("rain_dry_labels_b", "B")):
     add(

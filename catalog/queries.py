@@ -28,6 +28,7 @@ from baroflow.functions.dates import monday_of_week
 from baroflow.operators import drought, events, fit, grid, labels, quantiles, smooth, stats
 from baroflow.operators.blocks import explode_range
 from baroflow.plans.curation import DAILY, DAILY_RECURRENT, Curated, Settings
+from baroflow.plans.entries import with_cmi
 from baroflow.plans.staging import shared_folder, stage
 from baroflow.plans.views import cmi_values, daily_readings, hourly_readings, table
 from baroflow.schema import MEASURES, STATION, TIME
@@ -61,7 +62,6 @@ def tidy(df: DataFrame) -> DataFrame:
 # -- curated tables, computed once per session and input ---------------------------------
 
 HOURLY = Settings()
-CMI_MEASURES = (*MEASURES, "CMI", "CMI_pre")
 _curated: dict = {}
 
 
@@ -87,13 +87,12 @@ def daily(spark, sf_dir, fill="linear") -> Curated:
 
 
 def daily_cmi(spark, sf_dir) -> Curated:
-    def build():
-        cmi = cmi_values(spark, sf_dir)
-        r = drought.join_cmi(daily_readings(spark, sf_dir), cmi)
-        r = drought.join_cmi_shift(r, cmi, "day_of_month")
-        return Curated(r, replace(DAILY, fill="linear", measures=CMI_MEASURES))
-
-    return _once(spark, sf_dir, "daily-cmi", build)
+    return _once(
+        spark, sf_dir, "daily-cmi",
+        lambda: with_cmi(
+            daily_readings(spark, sf_dir), cmi_values(spark, sf_dir), replace(DAILY, fill="linear"), "day_of_month"
+        ),
+    )
 
 
 def daily_events(spark, sf_dir) -> DataFrame:
@@ -603,6 +602,16 @@ def weekly_extract(spark, sf):
     return drought.weekly_extract(rows, None, "wet_dry", (4, 10), 0.5, 5)
 
 
+@query
+def weekly_extract_dry(spark, sf):
+    """Weeks far below the mean index, with bounds on the dew-point gap and on the other week."""
+    weeks = drought.zscore_filter(weeks_of(spark, sf))
+    cond = (F.col("Temp_dew_diff") > 0) & (F.log("Temp_dew_diff") > 1) & (F.col("CMI_pre") <= 0)
+    return drought.weekly_extract(weeks, None, "pce", condition=cond).select(
+        "Yr", "Mon", "Wk", STATION, "CMI_standarize", "Temp_dew_diff", "cum_Pressure_chng", "wet_dry"
+    )
+
+
 @query
 def daily_agg(spark, sf):
     return drought.daily_agg(hourly(spark, sf).gap_free_series)
@@ -710,7 +719,17 @@ def rolling_sum(spark, sf):
 @query
 def rolling_mean_centered(spark, sf):
     s = grid.with_time(smooth.fill_and_pad(grid.bucket_mean(hourly_readings(spark, sf)), "linear"))
-    return smooth.rolling_mean(s, "pressure_spl", "pressure_av").select(STATION, TIME, "pressure_av")
+    return smooth.rolling_means(s, {"pressure_spl": "pressure_av"}).select(STATION, TIME, "pressure_av")
+
+
+@query
+def smooth_variables(spark, sf):
+    """Filled and smoothed pressure, temperature, dew point and humidity."""
+    names = {"Pressure_hPa": "slp", "Temp_C": "temp", "DewPt_C": "dewpt", "RH": "rhx"}
+    b = grid.bucket_mean(hourly_readings(spark, sf))
+    s = smooth.fill_and_pad(b, "linear", columns={c: f"{n}_spl" for c, n in names.items()})
+    out = smooth.rolling_means(grid.with_time(s), {f"{n}_spl": f"{n}_av" for n in names.values()})
+    return out.select(STATION, TIME, *[f"{n}_av" for n in names.values()])
 
 
 @query

@@ -55,7 +55,7 @@ def test_smoothing(spark, block):
 @pytest.mark.parametrize("n", [1, 5, 6, 7, 24])
 def test_mean_width(spark, n):
     values = [float((i * 37) % 11) for i in range(40)]
-    out = column(smooth.rolling_mean(series(spark, ["a"], x=values), "x", "m", n), "m")
+    out = column(smooth.rolling_means(series(spark, ["a"], x=values), {"x": "m"}, n), "m")
     before, after = smooth.mean_span(n)
     for i, got in enumerate(out):
         if i - before < 0 or i + after >= 40:
