@@ -131,14 +131,19 @@ def grid_points(axes: Sequence[tuple[float, float, float]]) -> np.ndarray:
     return np.array(list(itertools.product(*lines)), dtype=np.float64)
 
 
+def expand_axis(df: DataFrame, name: str, first: Column, last: Column, step: float) -> DataFrame:
+    """One copy of each row per value from ``first`` to ``last`` by ``step``."""
+    count = F.floor((last - first) / float(step) + 1e-9).cast("int")
+    out = df.withColumn("_i", F.explode(F.sequence(F.lit(0), count)))
+    return out.withColumn(name, F.col("_i") * float(step) + first).drop("_i")
+
+
 def grid_frame(spark, axes: Sequence[tuple[float, float, float]], names: Sequence[str]) -> DataFrame:
-    """The same grid as rows, generated on the executors."""
-    out = None
+    """The same grid as rows, generated without a join."""
+    out = spark.range(1)
     for (a, b, s), name in zip(axes, names):
-        count = int(math.floor((b - a) / s + 1e-9))
-        values = F.transform(F.sequence(F.lit(0), F.lit(count)), lambda i, a=a, s=s: i * float(s) + float(a))
-        out = spark.range(1).select(F.explode(values).alias(name)) if out is None else out.withColumn(name, F.explode(values))
-    return out
+        out = expand_axis(out, name, F.lit(float(a)), F.lit(float(b)), s)
+    return out.select(*names)
 
 
 def _powers(d: int, degree: int) -> list[tuple[int, ...]]:

@@ -72,6 +72,7 @@ def main() -> None:
     run("tail_mean", lambda: stats.tail_mean(e, None))
     run("extreme_events", lambda: stats.extreme_events(e))
     run("kde_2d", lambda: fit.kde_2d(e, "Sum_Press_Delta", "MonT"))
+    run("local_surface", lambda: fit.local_surface(stage(stats.pop_surface(e), "surface")))
     held["d"] = None
 
     def daily():

@@ -250,13 +250,9 @@ def prediction_grid(spark, sf):
     ends = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
         *[f(c).alias(f"{c}_{n}") for c in ("l_quantity", "l_discount") for n, f in (("a", F.min), ("b", F.max))]
     )
-    axis = lambda c, s: F.transform(
-        F.sequence(F.lit(0), F.floor((F.col(f"{c}_b") - F.col(f"{c}_a")) / s + 1e-9).cast("int")),
-        lambda i: i * F.lit(s) + F.col(f"{c}_a"),
-    )
-    return ends.withColumn("x", F.explode(axis("l_quantity", 0.5))).withColumn(
-        "y", F.explode(axis("l_discount", 0.01))
-    ).select("l_returnflag", "x", "y")
+    x = fit.expand_axis(ends, "x", F.col("l_quantity_a"), F.col("l_quantity_b"), 0.5)
+    y = fit.expand_axis(x, "y", F.col("l_discount_a"), F.col("l_discount_b"), 0.01)
+    return y.select("l_returnflag", "x", "y")
 
 
 # -- projections, filters, bins --------------------------------------------------------------
