@@ -10,11 +10,15 @@ def step_micros(step_minutes: int) -> int:
     return int(step_minutes) * 60_000_000
 
 
+def floor_div(x: Column, size: int) -> Column:
+    """Whole-number quotient rounded down, exact for all 64-bit values."""
+    return F.call_function("div", x - F.pmod(x, F.lit(size)), F.lit(size))
+
+
 def grid_step(time, step_minutes: int = 60) -> Column:
     """Grid position of a reading: its time rounded half up to the step."""
     us = step_micros(step_minutes)
-    shifted = F.unix_micros(_col(time)) + F.lit(us // 2)
-    return ((shifted - F.pmod(shifted, F.lit(us))) / F.lit(us)).cast("long")
+    return floor_div(F.unix_micros(_col(time)) + F.lit(us // 2), us)
 
 
 def grid_time(step, step_minutes: int = 60) -> Column:

@@ -15,14 +15,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from baroflow.functions.dates import floor_div
 from baroflow.schema import BLOCK, BLOCK_STEPS, STATION, STEP
 
 _EXPLODE_CHUNK = 4096
 
 
 def block_of(order, size: int) -> Column:
-    c = F.col(order) if isinstance(order, str) else order
-    return ((c - F.pmod(c, F.lit(size))) / F.lit(size)).cast("long")
+    return floor_div(F.col(order) if isinstance(order, str) else order, size)
 
 
 def with_block(df: DataFrame, order: str = STEP, size: int = BLOCK_STEPS) -> DataFrame:

@@ -14,14 +14,17 @@ LABEL_BLOCK = 4096  # events handled together when looking at the previous event
 OVERLAP_STEPS = 720  # width of the time buckets of the interval join
 
 
-def _last_label(df: DataFrame, label: str) -> DataFrame:
-    return df.groupBy(STATION).agg(F.max(label).alias("_last"))
+def last_labels(df: DataFrame, label: str) -> DataFrame:
+    """The highest label of each station."""
+    return df.groupBy(STATION).agg(F.max(label).alias(label))
 
 
 def drop_last_label(df: DataFrame, label: str, of: DataFrame | None = None) -> DataFrame:
-    """Rows whose label is below the station's highest label in ``of`` (default ``df``)."""
-    last = _last_label(df if of is None else of, label)
-    return df.join(last, STATION).where(F.col(label) < F.col("_last")).drop("_last")
+    """Rows except those of the station's highest label, found in ``of`` (default ``df``).
+
+    Matched on station and label, which spreads a large station over all tasks.
+    """
+    return df.join(last_labels(df if of is None else of, label), [STATION, label], "left_anti")
 
 
 def previous_event(df: DataFrame, label: str, columns: dict[str, str]) -> DataFrame:
@@ -186,6 +189,6 @@ def remove_gap_events(rows: DataFrame, overlapped: DataFrame, last: DataFrame |
 
     ``last`` may name a smaller table of the same labels to find the last one from.
     """
-    keys = [STATION, "Press_Evt_lab"]
-    kept_last = (rows if last is None else last).select(keys).join(overlapped, keys, "left_anti")
-    return drop_last_label(rows.join(overlapped, keys, "left_anti"), "Press_Evt_lab", kept_last)
+    label, keys = "Press_Evt_lab", [STATION, "Press_Evt_lab"]
+    kept = (rows if last is None else last).select(keys).join(overlapped, keys, "left_anti")
+    return rows.join(overlapped.unionByName(last_labels(kept, label)), keys, "left_anti")

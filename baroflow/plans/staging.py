@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_folder: dict[str, str] = {}
+_own_folder: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,8 +21,9 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
-        _own_folder[app] = tempfile.mkdtemp(prefix="baroflow-")
-    return _own_folder[app]
+        # Removed again when the Python process ends.
+        _own_folder[app] = tempfile.TemporaryDirectory(prefix="baroflow-", ignore_cleanup_errors=True)
+    return _own_folder[app].name
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
