@@ -116,12 +116,14 @@ def neighbour_rows(
     order: str = STEP,
     size: int = BLOCK_STEPS,
     inclusive: Sequence[str] = (),
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Nearest earlier / later row of the same series, across block borders.
 
     Each entry maps an output column to ``(value, condition)``: the value (often a
     struct) of the nearest row where the condition holds, or of any row if it is
-    None.  The row itself counts only for names in ``inclusive``.
+    None.  The row itself counts only for names in ``inclusive``.  Rows of equal ``order``
+    are ranked by the ``ties`` columns.
     """
     previous, following = previous or {}, following or {}
     keys = list(keys)
@@ -129,10 +131,11 @@ def neighbour_rows(
         **{n: (F.when(c, v) if c is not None else v, False) for n, (v, c) in previous.items()},
         **{n: (F.when(c, v) if c is not None else v, True) for n, (v, c) in following.items()},
     }
+    place = F.struct(order, *ties) if ties else F.col(order)
     base = with_block(df, order, size)
     summary = base.groupBy(*keys, BLOCK).agg(
         *[
-            (F.min_by if later else F.max_by)(value, F.when(value.isNotNull(), F.col(order))).alias(f"_carry_{n}")
+            (F.min_by if later else F.max_by)(value, F.when(value.isNotNull(), place)).alias(f"_carry_{n}")
             for n, (value, later) in picks.items()
         ]
     )
@@ -148,8 +151,8 @@ def neighbour_rows(
             for n, (_, later) in picks.items()
         ],
     )
-    back = block_window(keys, order)
-    ahead = Window.partitionBy(*keys, BLOCK).orderBy(F.desc(order))
+    back = Window.partitionBy(*keys, BLOCK).orderBy(order, *ties)
+    ahead = Window.partitionBy(*keys, BLOCK).orderBy(F.desc(order), *[F.desc(t) for t in ties])
     joined = base.join(carry, [*keys, BLOCK], "left")
     # Same ordering next to same ordering, so that each direction is sorted once.
     for names, w in ((previous, back), (following, ahead)):

@@ -212,7 +212,8 @@ def spi_gamma_params(rolled: DataFrame, pooled: bool = False) -> DataFrame:
     a = F.col("_a")
     shape = F.when(a > 1e-9, (F.sqrt(a * 4.0 / 3.0 + 1.0) + 1.0) / (a * 4.0))
     return (
-        fit.withColumn("_a", F.log("mean") - F.col("log_mean"))
+        # A difference of near-equal logarithms: its last digits are noise.
+        fit.withColumn("_a", snap(F.log("mean") - F.col("log_mean"), 12))
         .withColumn("shape", shape)
         .withColumn("scale", F.col("mean") / F.col("shape"))
         .select(*keys, "n", "zero_share", "shape", "scale")

@@ -11,6 +11,7 @@ from baroflow.operators.blocks import block_of, explode_range, neighbour_rows
 from baroflow.schema import STATION, STEP, TIME
 
 LABEL_BLOCK = 4096  # events handled together when looking at the previous event
+POOLED_BLOCK = 3600 * 1_000_000  # one hour of starts over all stations, in microseconds
 OVERLAP_STEPS = 720  # width of the time buckets of the interval join
 
 
@@ -27,10 +28,22 @@ def drop_last_label(df: DataFrame, label: str, of: DataFrame | None = None) -> D
     return df.join(last_labels(df if of is None else of, label), [STATION, label], "left_anti")
 
 
-def previous_event(df: DataFrame, label: str, columns: dict[str, str]) -> DataFrame:
-    """Add values of the station's previous event; ``columns`` maps output to input."""
+def previous_event(
+    df: DataFrame, label: str, columns: dict[str, str], across_stations: bool = False
+) -> DataFrame:
+    """Add values of the previous event; ``columns`` maps output to input.
+
+    Previous means by label within the station, or by start time over all stations
+    together (equal starts by label, then station).
+    """
     pack = F.struct(*[F.col(src).alias(out) for out, src in columns.items()])
-    out = neighbour_rows(df, previous={"_before": (pack, None)}, order=label, size=LABEL_BLOCK)
+    if across_stations:
+        timed = df.withColumn("_t", F.unix_micros("St"))
+        out = neighbour_rows(
+            timed, previous={"_before": (pack, None)}, keys=[], order="_t", size=POOLED_BLOCK, ties=[label, STATION]
+        ).drop("_t")
+    else:
+        out = neighbour_rows(df, previous={"_before": (pack, None)}, order=label, size=LABEL_BLOCK)
     return out.withColumns({c: F.col(f"_before.{c}") for c in columns}).drop("_before")
 
 
@@ -124,7 +137,11 @@ def merge_parts(parts: DataFrame) -> DataFrame:
 
 
 def pressure_events(
-    parts: DataFrame, max_dur: float = 1000, pooled_temp: bool = False, lags: bool = True
+    parts: DataFrame,
+    max_dur: float = 1000,
+    pooled_temp: bool = False,
+    lags: bool = True,
+    pooled_lags: bool = False,
 ) -> DataFrame:
     """Pressure-change events from ``event_parts``.
 
@@ -142,7 +159,10 @@ def pressure_events(
     events = events.join(months, keys, "left")
     if lags:
         events = previous_event(
-            events, "Press_Evt_lab", {"Dur_lag1": "Dur", "Press_Delta_lag1": "Sum_Press_Delta"}
+            events,
+            "Press_Evt_lab",
+            {"Dur_lag1": "Dur", "Press_Delta_lag1": "Sum_Press_Delta"},
+            pooled_lags,
         )
     return events
 

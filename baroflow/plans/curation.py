@@ -34,6 +34,7 @@ class Settings:
     rule: str = "A"
     max_dur: float = 1000
     pooled_temp: bool = False
+    pooled_lags: bool = False
     measures: Sequence[str] = tuple(MEASURES)
     block_steps: int = BLOCK_STEPS
 
@@ -92,7 +93,11 @@ class Curated:
 
     @property
     def events_before_gaps(self) -> DataFrame:
-        return pressure_events(self.parts, self.settings.max_dur, self.settings.pooled_temp)
+        return self._events(self.parts)
+
+    def _events(self, parts: DataFrame) -> DataFrame:
+        s = self.settings
+        return pressure_events(parts, s.max_dur, s.pooled_temp, pooled_lags=s.pooled_lags)
 
     @property
     def overlapped(self) -> DataFrame:
@@ -109,5 +114,4 @@ class Curated:
     @property
     def events(self) -> DataFrame:
         """Events of the gap-free series; monthly temperatures use gap-free rows only."""
-        s = self.settings
-        return pressure_events(remove_gap_events(self.parts, self.overlapped), s.max_dur, s.pooled_temp)
+        return self._events(remove_gap_events(self.parts, self.overlapped))

@@ -452,6 +452,12 @@ add(
     D,
     f"SELECT Location, Press_Evt_lab, St, {r6('Dur_lag1')} AS Dur_lag1, {r6('Press_Delta_lag1')} AS Press_Delta_lag1 FROM e2e",
 )
+add(
+    "event_lags_pooled",
+    H,
+    f"""SELECT Location, Press_Evt_lab, St, {r6("lag(Dur) OVER o")} AS Dur_lag1, {r6("lag(Sum_Press_Delta) OVER o")} AS Press_Delta_lag1
+  FROM e1d WINDOW o AS (ORDER BY St, Press_Evt_lab, Location)""",
+)
 POP = r6("sum(CASE WHEN St_Rain > 0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE)")
 add(
     "pop_by_epc",
@@ -644,12 +650,12 @@ rr AS (SELECT * FROM ro WHERE rain_sum IS NOT NULL)"""
 add("rolling_rain", ROLL, f"SELECT Location, Time_SPI, {r6('rain_sum')} AS rain_sum FROM rr")
 add(
     "spi_gamma_params",
-    ROLL + """,
+    ROLL + f""",
 pa AS (SELECT Location, CAST(dayofyear(Time_SPI) AS INT) AS doy, count(*) AS n,
   sum(CASE WHEN rain_sum = 0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS zero_share,
   avg(CASE WHEN rain_sum > 0 THEN rain_sum END) AS mean,
   avg(CASE WHEN rain_sum > 0 THEN ln(CASE WHEN rain_sum > 0 THEN rain_sum END) END) AS log_mean FROM rr GROUP BY 1, 2),
-pb AS (SELECT *, ln(mean) - log_mean AS a FROM pa),
+pb AS (SELECT *, {snap('ln(mean) - log_mean', 12)} AS a FROM pa),
 pc AS (SELECT *, CASE WHEN a > 1e-9 THEN (sqrt(a * 4e0 / 3e0 + 1e0) + 1e0) / (a * 4e0) END AS shape FROM pb)""",
     f"SELECT Location, doy, n, {r6('zero_share')} AS zero_share, {r6('shape')} AS shape, {r6('mean / shape')} AS scale FROM pc",
 )

@@ -490,6 +490,14 @@ def event_lags(spark, sf):
     return daily(spark, sf).events.select(STATION, "Press_Evt_lab", "St", "Dur_lag1", "Press_Delta_lag1")
 
 
+@query
+def event_lags_pooled(spark, sf):
+    """The previous event by start time over all stations together."""
+    return events.pressure_events(hourly(spark, sf).parts, pooled_lags=True).select(
+        STATION, "Press_Evt_lab", "St", "Dur_lag1", "Press_Delta_lag1"
+    )
+
+
 @query
 def pop_by_epc(spark, sf):
     return stats.pop_by_epc(daily_events(spark, sf))
