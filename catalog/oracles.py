@@ -292,9 +292,9 @@ add(
 )
 add(
     "filter_prefix",
-    "",
-    """SELECT o_orderkey, o_orderpriority FROM orders WHERE CAST(o_orderkey AS VARCHAR) LIKE '10%'
-  AND length(CAST(o_orderkey AS VARCHAR)) <= 4""",
+    CMI_LINES,
+    """SELECT dist || CASE WHEN w < 10 THEN substr(CAST(y AS VARCHAR), 3, 2) || '0' WHEN layout = 1 THEN substr(CAST(y AS VARCHAR), 3, 2)
+  ELSE CAST(y AS VARCHAR) END || CAST(w AS VARCHAR) AS id, cmi AS CMI FROM o WHERE dist <> '440'""",
 )
 add(
     "filter_magnitude",

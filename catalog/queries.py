@@ -32,7 +32,7 @@ from baroflow.plans.entries import with_cmi
 from baroflow.plans.staging import shared_folder, stage
 from baroflow.plans.views import cmi_values, daily_readings, hourly_readings, table
 from baroflow.schema import MEASURES, STATION, TIME
-from baroflow.sources import isd_text, station_csv
+from baroflow.sources import cmi_text, isd_text, station_csv
 from baroflow.sources.isd_text import drop_suffixes
 
 QUERIES: dict = {}
@@ -322,9 +322,9 @@ def filter_time_range(spark, sf):
 
 @query
 def filter_prefix(spark, sf):
-    o = table(spark, sf, "orders")
-    key = F.col("o_orderkey").cast("string")
-    return o.where(key.rlike("^10") & (F.length(key) <= 4)).select("o_orderkey", "o_orderpriority")
+    """Index records of one state, by id prefix, with ids of at most ten characters."""
+    parsed = sources.parse_cmi_lines(_cmi_files(spark, sf))
+    return parsed.where(F.col("id").rlike(cmi_text.STATE_PREFIX))
 
 
 @query
