@@ -237,8 +237,8 @@ def lm_scores(
     id_col: str = "doc_id",
     text_col: str = "text",
     held_out_fold: int = 1,
-    block_bytes: int = 12 << 20,
-    bucket_bytes: int = 8 << 20,
+    block_bytes: int = 6 << 20,
+    bucket_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Score every row with a model learned from the rows outside one of five folds of the id.
 
