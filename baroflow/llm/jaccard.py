@@ -17,7 +17,6 @@ their whole sets. The result is exact.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +26,8 @@ from baroflow.llm.components import components
 from baroflow.llm.words import Chunk, Words, chunks, mix, words
 from baroflow.plans.staging import stage
 
-GROUPS = 256
 LEAF = 32
+LEAST_GROUPS = 32
 _SLOT_BITS, _SLICES = 20, 64
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 _TOP = np.uint64(1 << 63)
@@ -78,9 +77,29 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return ((keys & ~_TOP) >> np.uint64(63 - _SLOT_BITS)).astype(np.int64)
 
 
-def _vectors(n_rows: int, rows: np.ndarray, keys: np.ndarray, groups: int) -> np.ndarray:
-    cell = rows * groups + (keys % np.uint64(groups)).astype(np.int64)
-    return np.bincount(cell, minlength=n_rows * groups).reshape(n_rows, groups).astype(np.uint32)
+def groups_for(n):
+    """Groups that a set of ``n`` shingles is hashed into: a power of two, so that a point with
+    twice as many coordinates as another folds onto it, and about four shingles a group."""
+    return np.maximum(LEAST_GROUPS, 1 << np.ceil(np.log2(np.maximum(n, 1) / 4)).clip(0).astype(np.int64))
+
+
+def count_vector(keys: np.ndarray) -> np.ndarray:
+    groups = int(groups_for(len(keys)))
+    return np.bincount((keys & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def pack_counts(vector: np.ndarray) -> bytes:
+    return vector.astype(np.uint8 if vector.max() < 256 else np.uint32).tobytes()
+
+
+def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == groups_for(n) else np.uint32).astype(np.int32)
+
+
+def folded(vectors: list[np.ndarray]) -> np.ndarray:
+    """The points as a matrix, all folded onto the fewest coordinates among them."""
+    width = min(map(len, vectors))
+    return np.stack([v if len(v) == width else v.reshape(-1, width).sum(0) for v in vectors])
 
 
 def _slot_counter(width: int):
@@ -151,15 +170,19 @@ def _profiler(width: int, percent: int, hot):
     return run
 
 
-def _vectoriser(width: int, groups: int):
+def _vectoriser(width: int):
     def run(batches):
         for batch in batches:
             for start, n_rows, rows, keys in _sets(batch.column(1), width):
-                vectors = _vectors(n_rows, rows, keys, groups)
-                part = batch.slice(start, n_rows)
+                ends = np.searchsorted(rows, np.arange(n_rows + 1))
+                own = [keys[a:b] for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(vectors.sum(1).astype(np.int64)), pa.array([v.tobytes() for v in vectors], pa.binary()), part.column(1)],
-                    names=["id", "n", "vector", "text"],
+                    [
+                        batch.column(0).slice(start, n_rows),
+                        pa.array([len(k) for k in own], pa.int64()),
+                        pa.array([pack_counts(count_vector(k)) for k in own], pa.binary()),
+                    ],
+                    names=["id", "n", "vector"],
                 )
 
     return run
@@ -168,24 +191,31 @@ def _vectoriser(width: int, groups: int):
 # -- bound, tree, verification -----------------------------------------------------------------
 
 
-def _as_matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint32).reshape(len(column), -1).astype(np.int64)
-
-
 def can_reach(overlap, n_a, n_b, percent: int):
     """Whether sets of these sizes with at most this overlap can be similar enough."""
     return (100 + percent) * overlap >= percent * (n_a + n_b)
 
 
+def _overlap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sum of coordinate minima of each pair of points."""
+    out = np.empty(len(a), np.int64)
+    for i, (x, y) in enumerate(zip(a, b)):
+        if len(x) != len(y):
+            x, y = folded([x, y])
+        out[i] = np.minimum(x, y).sum()
+    return out
+
+
 def _bound(percent: int):
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                a, b = (_as_matrix(part.column(c).to_pylist()) for c in ("va", "vb"))
-                n_a, n_b = (part.column(c).to_numpy() for c in ("na", "nb"))
-                ok = can_reach(np.minimum(a, b).sum(1), n_a, n_b, percent)
-                yield part.select(["a", "b"]).filter(pa.array(ok))
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            a, b = (
+                [unpack_counts(v, n) for v, n in zip(batch.column(c).to_pylist(), sizes)]
+                for c, sizes in (("va", n_a), ("vb", n_b))
+            )
+            ok = can_reach(_overlap(a, b), n_a, n_b, percent)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return run
 
@@ -231,26 +261,73 @@ def tree_pairs(points: np.ndarray, percent: int):
             yield np.minimum(i[x], j[y]), np.maximum(i[x], j[y])
 
 
+def _by_width(points: list[np.ndarray], percent: int):
+    """:func:`tree_pairs` with a tree for each number of coordinates, which also holds the points
+    with twice as many; sizes further apart cannot be similar enough (``percent`` over 50)."""
+    width = np.array([len(p) for p in points])
+    for w in np.unique(width):
+        own = np.flatnonzero((width == w) | (width == 2 * w))
+        if len(own) > 1:
+            for x, y in tree_pairs(folded([points[k] for k in own]), percent):
+                x, y = own[x], own[y]
+                least = np.minimum(width[x], width[y]) == w
+                yield x[least], y[least]
+
+
+def _cells(batches, columns):
+    """The rows of one cell at a time from batches sorted by cell; a cell's size is bounded."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        part = [np.asarray(batch.column(c).to_pylist(), object if c == "vector" else np.int64) for c in columns]
+        held = part if held is None else [np.concatenate([x, y]) for x, y in zip(held, part)]
+        key = np.stack([held[0], held[1], held[2]])
+        edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+        for a, b in zip([0, *edges], edges):
+            yield [x[a:b] for x in held]
+        last = edges[-1] if len(edges) else 0
+        held = [x[last:] for x in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
 def _tree_join(percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of each cell that the bound leaves, between different components and, in a cell
+    of two blocks, between the blocks. A few members are compared one by one."""
+    columns = ["key", "i", "j", "id", "component", "side", "n", "vector"]
+
+    def run(batches):
         out_a, out_b = [], []
-        if pdf["component"].nunique() > 1:
-            ids, comp = pdf["id"].to_numpy(), pdf["component"].to_numpy()
-            side = pdf["side"].to_numpy()
+        for *cell, ids, comp, side, n, vectors in _cells(batches, columns):
+            wanted = lambda x, y: (comp[x] != comp[y]) & (crossed <= (side[x] != side[y]))
             crossed = side.min() != side.max()
-            for i, j in tree_pairs(_as_matrix(pdf["vector"].tolist()), percent):
-                ok = comp[i] != comp[j]
-                if crossed:
-                    ok &= side[i] != side[j]
-                out_a.append(np.minimum(ids[i], ids[j])[ok])
-                out_b.append(np.maximum(ids[i], ids[j])[ok])
-        a = np.concatenate(out_a) if out_a else np.zeros(0, np.int64)
-        b = np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": a, "b": b})
+            if len(ids) <= LEAF:
+                x, y = np.triu_indices(len(ids), 1)
+                ok = wanted(x, y) & can_reach(np.minimum(n[x], n[y]), n[x], n[y], percent)
+                x, y = x[ok], y[ok]
+                points = [unpack_counts(v, k) for v, k in zip(vectors, n)] if len(x) else []
+                ok = can_reach(_overlap([points[k] for k in x], [points[k] for k in y]), n[x], n[y], percent)
+                pairs = [(x[ok], y[ok])]
+            else:
+                points = [unpack_counts(v, k) for v, k in zip(vectors, n)]
+                pairs = [(x[ok], y[ok]) for x, y in _by_width(points, percent) if (ok := wanted(x, y)).any()]
+            for x, y in pairs:
+                out_a.append(np.minimum(ids[x], ids[y]))
+                out_b.append(np.maximum(ids[x], ids[y]))
+            if len(out_a) > 1000:
+                yield _pairs(out_a, out_b)
+                out_a, out_b = [], []
+        yield _pairs(out_a, out_b)
 
     return run
 
 
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    none = np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], names=["a", "b"]
+    )
+
+
 def _verifier(width: int, percent: int):
     def run(batches):
         for batch in batches:
@@ -284,7 +361,6 @@ def jaccard_components(
     text_col: str = "text",
     width: int = 5,
     percent: int = 75,
-    groups: int = GROUPS,
     cell_rows: int = 2048,
     broadcast_ids: int = 1_000_000,
 ) -> DataFrame:
@@ -302,6 +378,8 @@ def jaccard_components(
     share a rare shingle with another one is broadcast while it has at most
     ``broadcast_ids`` ids (8 MB), else joined by shuffle.
     """
+    if percent <= 50:
+        raise ValueError("percent must be over 50")
     texts = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")
     )
@@ -319,39 +397,42 @@ def jaccard_components(
     involved = stage(involved, "involved")
     points = stage(
         texts.join(few(involved, broadcast_ids), "id", "left_semi").mapInArrow(
-            _vectoriser(width, groups), "id long, n long, vector binary, text string"
+            _vectoriser(width), "id long, n long, vector binary"
         ),
         "points",
     )
 
-    def verified(pairs: DataFrame, bounded: bool = False) -> DataFrame:
-        side = lambda x, *cols: points.select(F.col("id").alias(x), *[F.col(c).alias(c[0] + x) for c in cols])
-        if not bounded:
-            pairs = (
-                pairs.join(side("a", "n", "vector"), "a")
-                .join(side("b", "n", "vector"), "b")
-                .select("a", "b", "na", "nb", "va", "vb")
-                .mapInArrow(_bound(percent), "a long, b long")
-            )
+    def with_ends(pairs: DataFrame, *columns: str, of: DataFrame = points) -> DataFrame:
+        for end in "ab":
+            own = of.select(F.col("id").alias(end), *[F.col(c).alias(c[0] + end) for c in columns])
+            pairs = pairs.join(own, end)
+        return pairs
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+        whole = stage(texts.join(few(ends, broadcast_ids), "id", "left_semi"), "whole")
         return (
-            pairs.join(side("a", "text"), "a")
-            .join(side("b", "text"), "b")
+            with_ends(pairs, "text", of=whole)
             .select("a", "b", "ta", "tb")
             .mapInArrow(_verifier(width, percent), "a long, b long")
         )
 
     stars = stage(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links = stage(verified(stars), "links")
+    sized = with_ends(stars, "n").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    near = with_ends(sized, "n", "vector").select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bound(percent), "a long, b long")
+    links = stage(verified(stage(near, "survivors")), "links")
     joined = components(links)
-    left = _left_over(shared, joined, cell_rows)
+    left = _left_over(shared, joined, cell_rows).join(points, "id")
+    cell = ["key", "i", "j"]
     more = (
-        left.join(points.select("id", "vector"), "id")
-        .groupBy("key", "i", "j")
-        .applyInPandas(_tree_join(percent), "a long, b long")
+        left.select(*cell, "id", "component", "side", "n", "vector")
+        .repartition(*cell)
+        .sortWithinPartitions(*cell)
+        .mapInArrow(_tree_join(percent), "a long, b long")
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    more = stage(verified(stage(more, "survivors"), bounded=True), "links")
+    more = stage(verified(stage(more, "survivors")), "links")
     if not more.isEmpty():
         joined = components(links.union(more))
     named = classes.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(
@@ -394,7 +475,7 @@ def _left_over(shared: DataFrame, joined: DataFrame, cell_rows: int) -> DataFram
             F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"),
             F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("print"), F.min("id").alias("first"),
         )
-        .where("low < high")
+        .where("low < high and size > 2")  # a pair is a hub and its one member, compared before
         .groupBy("size", "print", "first", "low", "high")
         .agg(F.min("key").alias("key"))
         .select("key", F.ceil(F.col("size") / cell_rows).cast("int").alias("blocks"))

@@ -10,7 +10,12 @@ from baroflow.llm.common import fold
 from baroflow.llm.exact import exact_dedup
 from baroflow.llm.jaccard import jaccard_components
 from baroflow.llm.lm import lm_scores
+from baroflow.llm.mixing import mix
+from baroflow.llm.pii import BASE, pii_spans
+from baroflow.llm.quality import quality_scores
+from baroflow.llm.templates import main_text
 from baroflow.llm.topk import top_k
+from baroflow.llm.toxicity import toxic_scores
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -32,11 +37,43 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_main_text(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op2_temperature_mix(spark, sf):
+    return mix(table(spark, sf, "documents")).select(
+        "doc_id", "source", "epoch", F.col("block_order").cast("long").alias("block_order"), "n_tokens", "weight"
+    )
+
+
+@query
+def op3_personal_data(spark, sf):
+    found = pii_spans(table(spark, sf, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    joined = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    of = lambda kind: F.filter(base, lambda s: s["kind"] == kind)
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in BASE]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans")
+    )
+
+
 @query
 def op4_jaccard_join(spark, sf):
     return jaccard_components(table(spark, sf, "documents"))
 
 
+@query
+def op5_quality_scores(spark, sf):
+    return quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op6_bpe_codec(spark, sf):
     coded = bpe(table(spark, sf, "documents").select("doc_id", "text"), vocabulary_path())
@@ -48,6 +85,13 @@ def op6_bpe_codec(spark, sf):
     )
 
 
+@query
+def op7_toxic_segments(spark, sf):
+    return toxic_scores(table(spark, sf, "documents"), table(spark, sf, "labels")).select(
+        "doc_id", "held_out", "score", "predicted", F.size("passages").cast("long").alias("n_passages")
+    )
+
+
 @query
 def op8_exact_dedup(spark, sf):
     return exact_dedup(table(spark, sf, "documents"))

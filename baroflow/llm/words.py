@@ -90,6 +90,16 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
         start = stop
 
 
+def span_hashes(chunk: Chunk, value: np.ndarray, *spans: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """For each ``(begin, end)`` of byte positions, the hashes of the bytes between."""
+    n = len(chunk.data)
+    sums = np.empty(n + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(value[chunk.data] * _power("up", _BASE, n)[:n], out=sums[1:])
+    down = _power("down", _INVERSE, n + 1)
+    return [mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)) for begin, end in spans]
+
+
 def words(chunk: Chunk, member: np.ndarray = NOT_SPACE, value: np.ndarray = LOWER) -> Words:
     """Maximal runs of ``member`` bytes in each row, hashed with the byte values ``value``."""
     data, offsets = chunk.data, chunk.offsets
@@ -107,10 +117,7 @@ def words(chunk: Chunk, member: np.ndarray = NOT_SPACE, value: np.ndarray = LOWE
     ends[edge - 1] = inside[edge - 1]
     begin = np.flatnonzero(starts)
     end = np.flatnonzero(ends) + 1
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(value[data] * _power("up", _BASE, n)[:n], out=sums[1:])
-    hashes = mix((sums[end] - sums[begin]) * _power("down", _INVERSE, n)[begin] + (end - begin).astype(np.uint64))
+    hashes = span_hashes(chunk, value, (begin, end))[0]
     return Words(hashes, np.searchsorted(begin, offsets), begin, end)
 
 

@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 from baroflow.llm.bpe import bpe
 from baroflow.llm.exact import drop_exact_copies
 from baroflow.llm.jaccard import keep_one_of_each
-from baroflow.llm.queries import vocabulary_path
+from baroflow.llm.mixing import mix
+from baroflow.llm.quality import keep_good
+from baroflow.llm.queries import table, vocabulary_path
 from baroflow.plans.staging import shared_folder
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with equal text stays."""
     return drop_exact_copies(docs)
@@ -24,6 +31,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one_of_each(docs)
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their mixed weights: a row for each time a document is read."""
+    return mix(docs).select(*docs.columns)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids of every document, and whether they decode to the text."""
     coded = bpe(docs, vocabulary_path())
@@ -38,7 +50,13 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
-STAGES = [("exact dedup", exact), ("n-gram Jaccard join", near), ("BPE encoding and decoding", tokens)]
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact),
+    ("n-gram Jaccard join", near),
+    ("mixing sources to target weights", mixture),
+    ("BPE encoding and decoding", tokens),
+]
 
 #: No SQL can express the classifier or the codec; tests compare with a brute-force version.
 ORACLE_SQL = None
