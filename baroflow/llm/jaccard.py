@@ -79,8 +79,8 @@ def _slot(keys: np.ndarray) -> np.ndarray:
 
 def groups_for(n):
     """Groups that a set of ``n`` shingles is hashed into: a power of two, so that a point with
-    twice as many coordinates as another folds onto it, and about four shingles a group."""
-    return np.maximum(LEAST_GROUPS, 1 << np.ceil(np.log2(np.maximum(n, 1) / 4)).clip(0).astype(np.int64))
+    twice as many coordinates as another folds onto it, and one or two shingles a group."""
+    return np.maximum(LEAST_GROUPS, 1 << np.ceil(np.log2(np.maximum(n, 1) / 2)).clip(0).astype(np.int64))
 
 
 def count_vector(keys: np.ndarray) -> np.ndarray:
@@ -278,7 +278,12 @@ def _cells(batches, columns):
     """The rows of one cell at a time from batches sorted by cell; a cell's size is bounded."""
     held: list[np.ndarray] | None = None
     for batch in batches:
-        part = [np.asarray(batch.column(c).to_pylist(), object if c == "vector" else np.int64) for c in columns]
+        part = []
+        for c in columns:
+            values = batch.column(c).to_pylist()
+            own = np.empty(len(values), object if c in ("vector", "keys") else np.int64)
+            own[:] = values
+            part.append(own)
         held = part if held is None else [np.concatenate([x, y]) for x, y in zip(held, part)]
         key = np.stack([held[0], held[1], held[2]])
         edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
@@ -292,14 +297,15 @@ def _cells(batches, columns):
 
 def _tree_join(percent: int):
     """Pairs of each cell that the bound leaves, between different components and, in a cell
-    of two blocks, between the blocks. A few members are compared one by one."""
-    columns = ["key", "i", "j", "id", "component", "side", "n", "vector"]
+    of two blocks, between the blocks. A few members are compared one by one. A pair that
+    meets in several cells comes from that of its smallest common key only."""
+    columns = ["key", "i", "j", "id", "component", "side", "n", "keys", "vector"]
 
     def run(batches):
         out_a, out_b = [], []
-        for *cell, ids, comp, side, n, vectors in _cells(batches, columns):
+        for key, i, j, ids, comp, side, n, keys, vectors in _cells(batches, columns):
+            crossed, own = i[0] != j[0], int(key[0])
             wanted = lambda x, y: (comp[x] != comp[y]) & (crossed <= (side[x] != side[y]))
-            crossed = side.min() != side.max()
             if len(ids) <= LEAF:
                 x, y = np.triu_indices(len(ids), 1)
                 ok = wanted(x, y) & can_reach(np.minimum(n[x], n[y]), n[x], n[y], percent)
@@ -311,6 +317,8 @@ def _tree_join(percent: int):
                 points = [unpack_counts(v, k) for v, k in zip(vectors, n)]
                 pairs = [(x[ok], y[ok]) for x, y in _by_width(points, percent) if (ok := wanted(x, y)).any()]
             for x, y in pairs:
+                first = [min(set(keys[a]).intersection(keys[b])) == own for a, b in zip(x, y)]
+                x, y = x[np.array(first, bool)], y[np.array(first, bool)]
                 out_a.append(np.minimum(ids[x], ids[y]))
                 out_b.append(np.maximum(ids[x], ids[y]))
             if len(out_a) > 1000:
@@ -422,10 +430,12 @@ def jaccard_components(
     near = with_ends(sized, "n", "vector").select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bound(percent), "a long, b long")
     links = stage(verified(stage(near, "survivors")), "links")
     joined = components(links)
-    left = _left_over(shared, joined, cell_rows).join(points, "id")
+    left = stage(_left_over(shared, joined, cell_rows), "cells")
+    lists = left.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    left = left.join(points.join(lists, "id"), "id")
     cell = ["key", "i", "j"]
     more = (
-        left.select(*cell, "id", "component", "side", "n", "vector")
+        left.select(*cell, "id", "component", "side", "n", "keys", "vector")
         .repartition(*cell)
         .sortWithinPartitions(*cell)
         .mapInArrow(_tree_join(percent), "a long, b long")
