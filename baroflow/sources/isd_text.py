@@ -28,22 +28,24 @@ BAD_FLAGS = ["2", "3", "6", "7"]
 
 
 def read_isd_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Data lines of every file; banner lines are known by a first field that is no number.
+    """Data lines of every file; banner lines are known by a date field that is not eight digits.
 
-    Fields are read as text, so codes keep their leading zeros; the trailing field is dropped.
+    Fields are read as text, so codes keep their leading zeros; station ids may hold letters
+    and lose theirs. The trailing field is dropped.
     """
     schema = T.StructType([T.StructField(f, T.StringType()) for f in [*FIELDS, "_rest"]])
     raw = spark.read.schema(schema).option("ignoreLeadingWhiteSpace", True).option(
         "ignoreTrailingWhiteSpace", True
     ).csv(path)
-    rows = raw.where(F.col("USAF").rlike("^[0-9]+$")).drop("_rest")
+    rows = raw.where(F.col("Date").rlike("^[0-9]{8}$")).drop("_rest")
     return rows.withColumns(
-        {c: F.col(c).try_cast("double") for c in NUMERIC} | {c: F.col(c).cast("long") for c in ("USAF", "NCDC")}
+        {c: F.col(c).try_cast("double") for c in NUMERIC}
+        | {c: F.regexp_replace(c, "^0+(?=.)", "") for c in ("USAF", "NCDC")}
     )
 
 
 def station_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(STATIONS, "USAF long, NCDC long, Location string")
+    return spark.createDataFrame([(str(a), str(b), name) for a, b, name in STATIONS], "USAF string, NCDC string, Location string")
 
 
 def unite_time(df: DataFrame) -> DataFrame:
@@ -71,11 +73,8 @@ def clean_isd(df: DataFrame) -> DataFrame:
 
 
 def isd_readings(df: DataFrame, stations: DataFrame) -> DataFrame:
-    """Cleaned readings with the station's short name and this package's column names.
-
-    The station table is a fixed literal of a few rows, hence the broadcast hint.
-    """
-    named = df.join(F.broadcast(stations), ["USAF", "NCDC"], "left")
+    """Cleaned readings with the station's short name and this package's column names."""
+    named = df.join(stations, ["USAF", "NCDC"], "left")
     return unite_time(clean_isd(drop_suffixes(named, "6", "24", "99"))).select(
         STATION,
         TIME,

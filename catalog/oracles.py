@@ -792,14 +792,14 @@ ch AS (SELECT Location, hour(Time) * 2 * pi() / 24 AS h, Temp_C - lag(Temp_C) OV
 
 
 def kde(kind: str, where: str) -> str:
+    """The kernel summed directly over all values."""
     return f"""SELECT '{kind}' AS kind, i, {r6("lo - 3 * h + (hi - lo + 6 * h) * i / 255")} AS x, {r6(
-        "sum(cnt * exp(-0.5e0 * pow((lo - 3 * h + (hi - lo + 6 * h) * i / 255 - (lo + (bin + 0.5e0) * (hi - lo) / 1024)) / h, 2))"
+        "sum(exp(-0.5e0 * pow((lo - 3 * h + (hi - lo + 6 * h) * i / 255 - v) / h, 2))"
         " / sqrt(2 * pi()) / (h * n))")} AS density
-  FROM (SELECT s.*, least(floor((x - lo) / ((hi - lo) / 1024)), 1023) AS bin, count(*) AS cnt FROM (SELECT Sum_Press_Delta AS x FROM ke WHERE {where}),
+  FROM (SELECT Sum_Press_Delta AS v FROM ke WHERE {where}),
     (SELECT count(*) AS n, min(Sum_Press_Delta) AS lo, max(Sum_Press_Delta) AS hi,
        0.9e0 * least(stddev_samp(Sum_Press_Delta), ({quant(0.75, "Sum_Press_Delta")} - {quant(0.25, "Sum_Press_Delta")}) / 1.34e0)
-       * pow(count(*), -0.2e0) AS h FROM ke WHERE {where}) s
-    GROUP BY ALL), range(0, 256) t(i) GROUP BY i, lo, hi, h"""
+       * pow(count(*), -0.2e0) AS h FROM ke WHERE {where}) s, range(0, 256) t(i) GROUP BY i, lo, hi, h"""
 
 
 add(
@@ -819,13 +819,11 @@ add(
     "kde_2d",
     D + f""",
 ke AS (SELECT Sum_Press_Delta AS x, Sum_Precip AS y FROM e2e WHERE Sum_Precip > 0 AND Sum_Press_Delta IS NOT NULL),
-st AS (SELECT count(*) AS n, {_axis("x", "x")}, {_axis("y", "y")} FROM ke),
-bn AS (SELECT st.*, xlo + (least(floor((x - xlo) / ((xhi - xlo) / 256)), 255) + 0.5e0) * ((xhi - xlo) / 256) AS cx,
-  ylo + (least(floor((y - ylo) / ((yhi - ylo) / 256)), 255) + 0.5e0) * ((yhi - ylo) / 256) AS cy, count(*) AS c FROM ke, st GROUP BY ALL)""",
+st AS (SELECT count(*) AS n, {_axis("x", "x")}, {_axis("y", "y")} FROM ke)""",
     f"""SELECT i, j, {r6("xlo + (xhi - xlo) * i / 24")} AS x, {r6("ylo + (yhi - ylo) * j / 24")} AS y,
-  {r6("sum(c * exp(-0.5e0 * pow((xlo + (xhi - xlo) * i / 24 - cx) / xh, 2)) * exp(-0.5e0 * pow((ylo + (yhi - ylo) * j / 24 - cy) / yh, 2))"
+  {r6("sum(exp(-0.5e0 * pow((xlo + (xhi - xlo) * i / 24 - x) / xh, 2)) * exp(-0.5e0 * pow((ylo + (yhi - ylo) * j / 24 - y) / yh, 2))"
       " / (2 * pi()) / (xh * yh * n))")} AS density
-  FROM bn, range(0, 25) a(i), range(0, 25) b(j) GROUP BY i, j, xlo, xhi, ylo, yhi""",
+  FROM ke, st, range(0, 25) a(i), range(0, 25) b(j) GROUP BY i, j, xlo, xhi, ylo, yhi""",
 )
 add(
     "monday_dates",

@@ -170,6 +170,23 @@ def test_densities_near_direct_sums(spark):
     assert np.abs(two.density - want).max() < 1e-4
 
 
+def test_densities_of_skewed_and_constant_data(spark):
+    rng = np.random.default_rng(8)
+    x = np.append(rng.exponential(1, 3000) ** 3, 1e6)
+    df = stage(spark.createDataFrame(pd.DataFrame({"x": x, "y": -x})), "skewed")
+    h = min(x.std(ddof=1), (np.quantile(x, 0.75) - np.quantile(x, 0.25)) / 1.34) * len(x) ** -0.2
+    got = fit.kde_1d(df, "x", 50).toPandas()
+    want = bell((got.x.to_numpy()[:, None] - x) / (0.9 * h)).sum(axis=1) / (len(x) * 0.9 * h)
+    assert len(got) == 50 and np.abs(got.density - want).max() < 1e-4 * want.max()
+    two = fit.kde_2d(df, "x", "y", 6).toPandas()
+    want = [(bell((a - x) / (1.06 * h)) * bell((b + x) / (1.06 * h))).sum() / (len(x) * (1.06 * h) ** 2) for a, b in zip(two.x, two.y)]
+    assert len(two) == 36 and np.abs(two.density - want).max() < 1e-4 * max(want)
+    for values in ([2.0], [2.0] * 5, [0.0, 0.0]):
+        same = spark.createDataFrame([(v, v) for v in values], "x double, y double")
+        assert fit.kde_1d(same, "x", 8).where("density > 0").count() == 8
+        assert fit.kde_2d(same, "x", "y", 3).where("density > 0").count() == 9
+
+
 @pytest.mark.parametrize("degree", [1, 2])
 def test_local_regression_matches_brute_force(spark, degree):
     rng = np.random.default_rng(4)
