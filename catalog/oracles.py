@@ -566,7 +566,7 @@ add(
 
 WEEK_ROWS = DC + """,
 wr AS (SELECT * REPLACE (coalesce(CMI, 0e0) AS CMI, coalesce(CMI_pre, 0e0) AS CMI_pre), (dayofyear(Time) - 1) // 7 + 1 AS Wk FROM l3
-  WHERE Time BETWEEN TIMESTAMP '1995-03-01 00:00:00' AND TIMESTAMP '2001-09-30 00:00:00')"""
+  WHERE Time BETWEEN TIMESTAMP '1992-01-01 00:00:00' AND TIMESTAMP '2001-12-31 23:59:59')"""
 
 
 def ratio(x: str, n: str) -> str:

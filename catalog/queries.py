@@ -106,7 +106,7 @@ def weeks_of(spark, sf_dir) -> DataFrame:
     )
 
 
-RANGE = ("1995-03-01 00:00:00", "2001-09-30 00:00:00")
+RANGE = ("1992-01-01 00:00:00", "2001-12-31 23:59:59")
 SERIES = [STATION, TIME, *MEASURES]
 
 
