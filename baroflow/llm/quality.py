@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from baroflow.llm.common import few, fold
 from baroflow.llm.words import chunks, words
+from baroflow.plans.staging import stage
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[]_{|}"
 #: Kinds of bytes: space, line break, lower, upper, digit, non-ASCII, each common mark, the rest.
@@ -201,5 +202,5 @@ def quality_scores(
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows predicted to be of low quality; all columns stay, null ids too."""
     bad = quality_scores(docs, labels, id_col, text_col).where("predicted = 0").select(F.col(id_col).alias("_bad_id"))
-    bad = few(bad.distinct(), 1_000_000)
+    bad = few(stage(bad.distinct(), "rejected"), 1_000_000)
     return docs.join(bad, docs[id_col] == bad["_bad_id"], "left_anti")
