@@ -180,14 +180,12 @@ def daily_agg(series: DataFrame) -> DataFrame:
 
 
 def rolling_rain(daily: DataFrame, days: int = 30, block_days: int = 2048) -> DataFrame:
-    """Rain over the last ``days`` days; NULL unless every one of them is known.
+    """Rain over the last ``days`` days on every row; NULL unless every one of them is known.
 
-    Expects one row per station and day.  ``days`` known rows reach back exactly
-    ``days - 1`` days if and only if none is missing.
+    Expects one row per station and day.  ``days`` rows reach back exactly ``days - 1``
+    days if and only if none is missing, and their sum is NULL if any rain is.
     """
-    d = daily.where(F.col("Day_rain").isNotNull()).select(
-        STATION, "Time_SPI", "Day_rain", F.unix_date("Time_SPI").cast("long").alias("day")
-    )
+    d = daily.select(STATION, "Time_SPI", "Day_rain", F.unix_date("Time_SPI").cast("long").alias("day"))
     w = block_window(order="day")
     size = run_length(days)
     h = with_halo(d, days - 1, 0, order="day", size=block_days)
@@ -195,15 +193,16 @@ def rolling_rain(daily: DataFrame, days: int = 30, block_days: int = 2048) -> Da
     full = F.col("day") - at("day", 1 - days, w) == days - 1
     total = shifted_sum("_run", range(size - days, 1, size), w)
     out = h.withColumn("rain_sum", F.when(full, snap(total)))
-    return owned(out).drop(BLOCK, "day", "_run").where(F.col("rain_sum").isNotNull())
+    return owned(out).drop(BLOCK, "day", "_run")
 
 
 def spi_gamma_params(rolled: DataFrame, pooled: bool = False) -> DataFrame:
-    """Gamma shape and scale (Thom's closed form) and share of zeros by calendar day."""
+    """Gamma shape and scale (Thom's closed form) and share of zeros by calendar day, from known sums."""
     x = F.col("rain_sum")
     wet = F.when(x > 0, x)
     keys = ([] if pooled else [STATION]) + ["doy"]
-    fit = rolled.withColumn("doy", F.dayofyear("Time_SPI")).groupBy(*keys).agg(
+    known = rolled.where(x.isNotNull())
+    fit = known.withColumn("doy", F.dayofyear("Time_SPI")).groupBy(*keys).agg(
         F.count("*").alias("n"),
         (F.count_if(x == 0) / F.count("*")).alias("zero_share"),
         F.avg(wet).alias("mean"),
@@ -240,7 +239,8 @@ def spi_daily(
 
     Rolling sums are fitted by calendar day with a gamma distribution plus a mass at zero
     and mapped to standard-normal quantiles.  ``pooled`` fits all stations together.
-    ``years`` limits the dates returned, not the dates fitted.
+    ``years`` limits the dates returned, not the dates fitted.  Every day has a row; its
+    index is NULL where the rolling sum is.
     """
     rolled = stage(rolling_rain(daily, days), "rolled")
     params = spi_gamma_params(rolled, pooled)
@@ -248,7 +248,7 @@ def spi_daily(
     out = rolled.withColumn("doy", F.dayofyear("Time_SPI"))
     if years is not None:
         out = out.where(F.year("Time_SPI").between(*years))
-    return out.join(params, keys).select(
+    return out.join(params, keys, "left").select(
         STATION,
         F.col("Time_SPI").alias("time_stamp"),
         "rain_sum",

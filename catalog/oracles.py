@@ -203,17 +203,17 @@ add(
 
 CMI_LINES = """
 o AS (SELECT *, CAST(year(o_orderdate) AS BIGINT) AS y, (dayofyear(o_orderdate) - 1) % 54 AS w,
-  CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS layout,
+  CASE WHEN year(o_orderdate) < 1997 THEN 1 ELSE 2 END AS layout,
   CASE WHEN o_custkey % 9 = 0 THEN '440' ELSE '80' || CAST(o_custkey % 7 + 1 AS VARCHAR) END AS dist,
-  printf('%.2f', (o_orderkey % 800 - 400) / 100e0) AS cmi FROM orders
-  WHERE year(o_orderdate) < 2000 OR ((dayofyear(o_orderdate) - 1) % 54 >= 10 AND o_orderkey % 2 = 1))"""
+  CASE WHEN year(o_orderdate) < 1997 THEN substr(CAST(year(o_orderdate) AS VARCHAR), 3, 2)
+    ELSE CAST(year(o_orderdate) AS VARCHAR) END AS yy,
+  printf('%.2f', (o_orderkey % 800 - 400) / 100e0) AS cmi FROM orders)"""
 
 add(
     "scan_cmi_text",
     CMI_LINES,
-    """SELECT layout, ' ' || CASE WHEN w < 10 THEN dist || substr(CAST(y AS VARCHAR), 3, 2) || ' ' || CAST(w AS VARCHAR) || ' 1.10 0.2'
-   WHEN layout = 1 THEN dist || substr(CAST(y AS VARCHAR), 3, 2) || CAST(w AS VARCHAR) || ' 0.10 7'
-   ELSE dist || CAST(y AS VARCHAR) || CAST(w AS VARCHAR) || ' 0.10 7' END
+    """SELECT layout, ' ' || dist || yy || CASE WHEN w < 10 THEN ' ' || CAST(w AS VARCHAR) || ' 1.10 0.2'
+   ELSE CAST(w AS VARCHAR) || ' 0.10 7' END
    || '.  3.10 0.20 ' || cmi || ' 0.80 0.90 2.00 ' AS value FROM o""",
 )
 add(
@@ -293,8 +293,8 @@ add(
 add(
     "filter_prefix",
     CMI_LINES,
-    """SELECT dist || CASE WHEN w < 10 THEN substr(CAST(y AS VARCHAR), 3, 2) || '0' WHEN layout = 1 THEN substr(CAST(y AS VARCHAR), 3, 2)
-  ELSE CAST(y AS VARCHAR) END || CAST(w AS VARCHAR) AS id, cmi AS CMI FROM o WHERE dist <> '440'""",
+    """SELECT dist || yy || CASE WHEN w < 10 THEN '0' ELSE '' END || CAST(w AS VARCHAR) AS id, cmi AS CMI
+  FROM o WHERE dist <> '440'""",
 )
 add(
     "filter_magnitude",
@@ -644,10 +644,9 @@ add(
 )
 ROLL = D_LAB + "," + daily_cte("l") + f""",
 ro AS (SELECT Location, Time_SPI, CASE WHEN count(Day_rain) OVER w = 30 THEN {snap("sum(Day_rain) OVER w")} END AS rain_sum FROM da
-  WHERE Day_rain IS NOT NULL
   WINDOW w AS (PARTITION BY Location ORDER BY Time_SPI RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW)),
 rr AS (SELECT * FROM ro WHERE rain_sum IS NOT NULL)"""
-add("rolling_rain", ROLL, f"SELECT Location, Time_SPI, {r6('rain_sum')} AS rain_sum FROM rr")
+add("rolling_rain", ROLL, f"SELECT Location, Time_SPI, {r6('rain_sum')} AS rain_sum FROM ro")
 add(
     "spi_gamma_params",
     ROLL + f""",

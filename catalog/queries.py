@@ -159,28 +159,24 @@ def scan_isd_text(spark, sf):
 
 
 def _cmi_lines(spark, sf):
-    """Index text lines made from ``orders``: column ``layout`` and ``value``."""
+    """Index text lines, one for each of ``orders``: column ``layout`` and ``value``.
+
+    Years before 1997 are written with two digits (layout 1), later ones with four (layout 2).
+    """
     o = table(spark, sf, "orders")
-    k = F.col("o_orderkey")
-    layout = F.when(k % 2 == 0, F.lit(1)).otherwise(F.lit(2))
+    layout = F.when(F.year("o_orderdate") < 1997, F.lit(1)).otherwise(F.lit(2))
     district = F.when(F.col("o_custkey") % 9 == 0, F.lit("440")).otherwise(
         F.concat(F.lit("80"), (F.col("o_custkey") % 7 + 1).cast("string"))
     )
     year = F.year("o_orderdate").cast("string")
     week = (F.dayofyear("o_orderdate") - 1) % 54
-    short = F.concat(district, F.substring(year, 3, 2))
-    one_digit = F.concat(short, F.lit(" "), week.cast("string"))
+    stem = F.concat(district, F.when(layout == 1, F.substring(year, 3, 2)).otherwise(year))
     left = F.when(
-        week < 10, F.concat(one_digit, F.lit(" 1.10 0.2"))
-    ).otherwise(
-        F.concat(F.when(layout == 1, short).otherwise(F.concat(district, year)), week.cast("string"), F.lit(" 0.10 7"))
-    )
+        week < 10, F.concat(stem, F.lit(" "), week.cast("string"), F.lit(" 1.10 0.2"))
+    ).otherwise(F.concat(stem, week.cast("string"), F.lit(" 0.10 7")))
     cmi = F.format_string("%.2f", (F.col("o_orderkey") % 800 - 400) / 100.0)
     line = F.concat(F.lit(" "), left, F.lit(".  3.10 0.20 "), cmi, F.lit(" 0.80 0.90 2.00 "))
-    # One-digit weeks carry a year of two digits, so only the 1900s can be written that way.
-    return o.where((F.year("o_orderdate") < 2000) | ((week >= 10) & (layout == 2))).select(
-        layout.alias("layout"), line.alias("value")
-    )
+    return o.select(layout.alias("layout"), line.alias("value"))
 
 
 def _cmi_files(spark, sf):

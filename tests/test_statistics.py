@@ -73,16 +73,29 @@ def test_rolling_rain(daily, block):
     p = daily.toPandas().sort_values(["Location", "Time_SPI"])
     want = []
     for s, g in p.groupby("Location"):
-        full = g.set_index(pd.to_datetime(g.Time_SPI)).Day_rain.asfreq("D").rolling(30, min_periods=30).sum().dropna()
-        want += list(full)
-    assert len(want) == len(got)
-    assert np.allclose(got.rain_sum, want)
+        own = g.set_index(pd.to_datetime(g.Time_SPI)).Day_rain
+        want += list(own.asfreq("D").rolling(30, min_periods=30).sum().reindex(own.index))
+    assert len(want) == len(got) == len(p)
+    assert np.allclose(got.rain_sum.astype(float), want, equal_nan=True)
+
+
+def test_rolling_rain_keeps_days_without_rain_value(daily):
+    unknown = F.date_format("Time_SPI", "MM-dd") == "03-01"
+    some = daily.withColumn("Day_rain", F.when(~unknown, F.col("Day_rain")))
+    got = drought.rolling_rain(some).toPandas()
+    assert len(got) == daily.count()
+    t = pd.to_datetime(got.Time_SPI)
+    assert got.rain_sum[(t.dt.month == 3) & (t.dt.day < 31)].isna().all()
+    assert got.rain_sum[(t.dt.year > 2000) & (t.dt.month == 4) & (got.Location == "a")].notna().all()
+    spi = drought.spi_daily(some).toPandas()
+    assert len(spi) == len(got) and spi.value[spi.rain_sum.isna()].isna().all() and spi.value.notna().any()
 
 
 @pytest.mark.parametrize("pooled", [False, True])
 def test_spi(daily, pooled):
     got = drought.spi_daily(daily, pooled=pooled).toPandas()
-    roll = drought.rolling_rain(daily).toPandas()
+    assert len(got) == daily.count()
+    roll = drought.rolling_rain(daily).toPandas().dropna(subset=["rain_sum"])
     roll["doy"] = pd.to_datetime(roll.Time_SPI).dt.dayofyear
     keys = ["doy"] if pooled else ["Location", "doy"]
     checked = 0
