@@ -16,9 +16,11 @@ their whole sets. The result is exact.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from baroflow.llm.common import few
@@ -400,7 +402,7 @@ def jaccard_components(
     classes = profile.where("n > 0").groupBy(*same).agg(F.min("id").alias("rep"))
     reps = profile.where("n > 0").join(classes.select(F.col("rep").alias("id"), *same), ["id", *same], "left_semi")
 
-    shared = stage(_shared_keys(reps), "shared")
+    shared = stage(_shared_keys(reps, percent), "shared")
     involved = shared.select("id").distinct()
     involved = stage(involved, "involved")
     points = stage(
@@ -453,46 +455,85 @@ def jaccard_components(
     )
 
 
-def _shared_keys(reps: DataFrame) -> DataFrame:
+def _shared_keys(reps: DataFrame, percent: int) -> DataFrame:
     """``key, id, hub`` of every key with more than one member; the hub is the smallest member.
 
+    Members whose sizes lie too far apart cannot be similar, so where the sizes of a key's
+    members leave a gap of that width, the members on its two sides are parted under keys
+    of their own. No pair that could link is parted.
+
     Keys of slots that are hit often (negative as signed numbers) are counted by an
-    aggregate and joined back, which Spark can split; of the others none has more than a
-    small share of the rows, so one sort finds their groups.
+    aggregate over size classes and joined back, which Spark can split; of the others none
+    has more than a small share of the rows, so sorts find their groups.
     """
-    keyed = reps.select(F.explode("keys").alias("key"), "id")
-    common = keyed.where("key < 0")
-    hubs = common.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top")
-    rare = keyed.where("key >= 0").selectExpr(
-        "key", "id", "min(id) over (partition by key) as hub", "max(id) over (partition by key) as top"
-    ).where("hub < top")
-    return rare.select("key", "id", "hub").union(common.join(hubs, "key").select("key", "id", "hub"))
+    keyed = reps.select(F.explode("keys").alias("key"), "id", "n")
+    by_size = Window.partitionBy("key")
+    part = F.xxhash64("key", "part").alias("key")
+
+    # A class is a little wider than the sizes that may link, so these lie in the same or the next one.
+    width = math.log(101 / percent)
+    common = keyed.where("key < 0").withColumn("class", F.floor(F.log("n") / width).cast("int"))
+    hubs = _parted(
+        common.groupBy("key", "class").agg(F.min("id").alias("low"), F.max("id").alias("high")),
+        by_size.orderBy("class"),
+        F.col("class") - F.lag("class").over(by_size.orderBy("class")) > 1,
+    )
+    rare = (
+        keyed.where("key >= 0")
+        .withColumns({"low": F.min("id").over(by_size), "high": F.max("id").over(by_size)})
+        .where("low < high")
+        .withColumns({"low": F.col("id"), "high": F.col("id")})
+    )
+    rare = _parted(rare, by_size.orderBy("n"), percent * F.col("n") > 100 * F.lag("n").over(by_size.orderBy("n")))
+    return rare.select(part, "id", "hub").union(common.join(hubs, ["key", "class"]).select(part, "id", "hub"))
+
+
+def _parted(rows: DataFrame, order: WindowSpec, gap: Column) -> DataFrame:
+    """``rows`` (with their least and greatest id ``low, high``) of the parts with two members or
+    more, with the number ``part`` of gaps before it and its smallest member ``hub``."""
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("key", "part")
+    return (
+        rows.withColumn("part", F.coalesce(gap.cast("int"), F.lit(0)))
+        .withColumn("part", F.sum("part").over(upto))
+        .withColumns({"hub": F.min("low").over(own), "top": F.max("high").over(own)})
+        .where("hub < top")
+    )
 
 
 def _left_over(shared: DataFrame, joined: DataFrame, cell_rows: int) -> DataFrame:
     """Members of the keys at which more than one component still meets, in cells of bounded size.
 
-    Keys with the same members give the same pairs, so one of them is enough. A key with
+    Keys with the same members give the same pairs, so one of them is enough. Versions of
+    one text meet at many keys, each time a few others of them: keys with the same smallest
+    and largest member form one cell as long as their members together are few. A key with
     many members is cut into blocks, and each pair of blocks is a cell.
     """
     members = shared.select("key", "id").join(joined, "id", "left").select(
         "key", "id", F.coalesce("component", "id").alias("component")
     )
     members = stage(members, "members")
+    ends = ["first", "last"]
+    few_keys = F.ceil(F.sum("size").over(Window.partitionBy(*ends)) / cell_rows)
     keys = (
         members.groupBy("key")
         .agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"),
-            F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("print"), F.min("id").alias("first"),
+            F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("print"),
+            F.min("id").alias("first"), F.max("id").alias("last"),
         )
         .where("low < high and size > 2")  # a pair is a hub and its one member, compared before
-        .groupBy("size", "print", "first", "low", "high")
+        .groupBy("size", "print", *ends, "low", "high")
         .agg(F.min("key").alias("key"))
-        .select("key", F.ceil(F.col("size") / cell_rows).cast("int").alias("blocks"))
+        .withColumn("blocks", F.ceil(F.col("size") / cell_rows).cast("int"))
+        .withColumn("bundle", F.xxhash64(*ends, F.pmod(F.xxhash64("key"), few_keys)))
+        .select("key", "blocks", F.when(F.col("blocks") == 1, F.col("bundle")).otherwise(F.col("key")).alias("cell"))
     )
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     return (
         members.join(keys, "key")
+        .select(F.col("cell").alias("key"), "id", "component", "blocks")
+        .distinct()
         .withColumn("side", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
