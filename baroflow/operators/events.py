@@ -66,7 +66,7 @@ def _spell_totals(labelled: DataFrame, step_minutes: int) -> DataFrame:
 
 def rain_events(labelled: DataFrame, step_minutes: int = 60) -> DataFrame:
     """Wet events; the last label of a station is unfinished and left out."""
-    spells = drop_last_label(_spell_totals(labelled, step_minutes), "Evt_lab", labelled)
+    spells = drop_last_label(_spell_totals(labelled, step_minutes), "Evt_lab")
     return previous_event(spells, "Evt_lab", {"PreDry_Dur_hr": "Dur_hr"}).where(F.col("TotalRain") > 0)
 
 

@@ -1,8 +1,8 @@
 """Exact quantiles (linear interpolation between order statistics), group size unbounded.
 
 A group is never gathered in one task.  Equal values are counted first; counts per value
-bin give the rank range of every bin; only the bins that hold a wanted rank are ranked
-value by value.
+bin give the rank range of every bin; only the bins that hold a wanted rank are split again
+into finer bins, and of those the ones that hold it are ranked value by value.
 """
 
 from __future__ import annotations
@@ -12,12 +12,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS_PER_OCTAVE = 1024
+#: Binary digits after the leading one that a bin keeps: first of all values, then of those in a wanted bin.
+BIN_BITS = (8, 22)
 
 
-def order_bin(v: Column) -> Column:
-    """Monotone bin of a double, finer near zero; depends on the value alone."""
-    return (F.signum(v) * F.floor(F.log2(F.abs(v) + 1.0) * BINS_PER_OCTAVE)).cast("long")
+def order_bin(v: Column, bits: int) -> Column:
+    """Monotone bin of a finite double: exponent and leading digits, so that every size of values
+    is split alike; depends on the value alone."""
+    size = F.abs(v)
+    exponent = F.floor(F.log2(size))
+    # A logarithm rounded across a power of two gives the same bin: the fraction is then below 1 or 2.
+    fraction = F.floor((size / F.pow(F.lit(2.0), exponent) - 1.0) * float(1 << bits))
+    return F.when(v == 0, F.lit(0).cast("long")).otherwise(
+        (F.signum(v) * ((exponent + 1100) * (1 << bits) + fraction)).cast("long")
+    )
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -40,13 +48,6 @@ def quantiles_of_counts(
 ) -> DataFrame:
     """One row per group with a column per probability, from ``value_counts`` rows."""
     keys = list(keys)
-    binned = counts.withColumn("_bin", order_bin(F.col("_v")))
-    per_bin = binned.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bn"))
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = per_bin.withColumns(
-        {"_total": F.sum("_bn").over(group), "_below": F.sum("_bn").over(upto) - F.col("_bn")}
-    )
     at = [(F.col("_total") - 1) * F.lit(float(p)) for p in probs]
     ranks = F.array(
         *[
@@ -55,14 +56,26 @@ def quantiles_of_counts(
             for hi in (False, True)
         ]
     )
-    wanted = ranked.withColumn(
-        "_ranks",
-        F.filter(ranks, lambda r: (r["pos"] >= F.col("_below")) & (r["pos"] < F.col("_below") + F.col("_bn"))),
-    ).where(F.size("_ranks") > 0)
-    inside = join_null_safe(
-        binned, wanted.select(*keys, "_bin", "_below", "_total", "_ranks"), [*keys, "_bin"]
-    )
-    within = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside, path = counts, keys
+    for level, bits in enumerate(BIN_BITS):
+        name, group = f"_bin{level}", Window.partitionBy(*path)
+        binned = inside.withColumn(name, order_bin(F.col("_v"), bits))
+        carried = [F.first(c).alias(c) for c in ("_total", "_ranks", "_below")] if level else []
+        ranked = binned.groupBy(*path, name).agg(F.sum("_n").alias("_bn"), *carried)
+        if not level:
+            ranked = ranked.withColumn("_total", F.sum("_bn").over(group))
+            ranked = ranked.withColumns({"_ranks": ranks, "_below": F.lit(0)})
+        upto = group.orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = ranked.withColumn("_below", F.col("_below") + F.sum("_bn").over(upto) - F.col("_bn"))
+        wanted = ranked.withColumn(
+            "_ranks",
+            F.filter("_ranks", lambda r: (r["pos"] >= F.col("_below")) & (r["pos"] < F.col("_below") + F.col("_bn"))),
+        ).where(F.size("_ranks") > 0)
+        path = [*path, name]
+        inside = join_null_safe(
+            binned.select(*path, "_v", "_n"), wanted.select(*path, "_below", "_total", "_ranks"), path
+        )
+    within = Window.partitionBy(*path).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
         inside.withColumn("_end", F.col("_below") + F.sum("_n").over(within))
         .withColumn(
