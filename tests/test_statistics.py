@@ -28,6 +28,18 @@ def test_quantiles_with_one_hot_group(spark):
         assert got[k] == pytest.approx(list(want), rel=1e-12)
 
 
+def test_quantile_bins_split_tiny_and_narrow_values(spark):
+    values = [-3e300, -1e-7, -1e-9, -5e-324, -0.0, 0.0, 5e-324, *np.geomspace(1e-12, 1e-4, 400), 1.0, np.nextafter(2.0, 1), 2.0]
+    values += [*np.linspace(990.0, 1040.0, 400), 3e300]
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double").coalesce(1)
+    for bits, least in zip(quantiles.BIN_BITS, (400, 800)):
+        bins = [r.b for r in df.select("i", quantiles.order_bin(df.v, bits).alias("b")).sort("i").collect()]
+        assert bins == sorted(bins) and len(set(bins)) > least
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = quantiles.exact_quantiles(df, [], "v", probs, list("abcde")).first()
+    assert np.allclose(list(got), np.quantile(values, probs), rtol=1e-12)
+
+
 def test_global_quantile_and_extremes(spark):
     rows = [(float(i), i) for i in range(101)]
     df = spark.createDataFrame(rows, "Sum_Precip double, id int")
