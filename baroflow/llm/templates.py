@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ DROPPED_TAGS = frozenset(
     "option input menu dialog canvas object audio video".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Words of class and id attributes that mark such elements.
+#: Class tokens and ids that mark such elements, whole or joined from these alone ("cookie-banner").
 DROPPED_NAMES = frozenset(
     "ad ads adv advert advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice "
     "alert sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments "
@@ -31,6 +32,8 @@ DROPPED_NAMES = frozenset(
     "pagination pager toolbar login signup search".split()
 )
 MAIN = frozenset(("article", "main"))
+#: Characters below which a marked element beside an article is no main text, however short the article.
+SHORT = 250
 #: Containers; inside an article only these can be part of a template, never its text blocks.
 CONTAINERS = frozenset("div section ul ol dl figure details".split())
 #: Start tags that end an open element of the same family.
@@ -41,21 +44,30 @@ _TAG = re.compile(
 )
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_NAME_PARTS = re.compile(r"[a-z]+")
+_NAME_PARTS = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(4096)
+def marks(value: str) -> bool:
+    """Whether a class or id value has a token made of ``DROPPED_NAMES`` alone."""
+    return any(parts and DROPPED_NAMES.issuperset(parts) for parts in map(_NAME_PARTS.findall, value.split()))
 
 
 class Page:
     """Elements and texts of one page in document order.
 
-    ``boiler``, ``main`` and ``digest`` hold one entry an element; a digest covers the element's
-    name, class, and all that is below. ``runs`` alternates texts (element, string) and block
-    breaks (None).
+    ``boiler`` (by tag or role, inherited), ``named`` (by class or id, its own), ``main``,
+    ``own`` (its text's length) and ``digest`` hold one entry an element; a digest covers the
+    element's name, class, and all that is below. ``runs`` alternates texts (element, string)
+    and block breaks (None).
     """
 
     def __init__(self, source: str):
         self.tag: list[str] = ["#root"]
         self.parent: list[int] = [-1]
         self.boiler: list[bool] = [False]
+        self.named: list[bool] = [False]
+        self.own: list[int] = [0]
         self.main: list[bool] = [False]
         self.digest: list[int] = [0]
         self.runs: list[tuple[int, str] | None] = []
@@ -95,7 +107,7 @@ class Page:
         if tag in VOID:
             return
         up = self._open[-1]
-        boiler, main, names = self.boiler[up] or tag in DROPPED_TAGS, self.main[up] or tag in MAIN, ""
+        boiler, main, named, names = self.boiler[up] or tag in DROPPED_TAGS, self.main[up] or tag in MAIN, False, ""
         if "=" in markup:
             for key, a, b, c in _ATTRIBUTE.findall(markup):
                 value = (a or b or c).lower()
@@ -104,11 +116,13 @@ class Page:
                     boiler |= value in DROPPED_ROLES
                     main |= value == "main"
                 elif tag not in ("body", "html"):
-                    boiler |= not DROPPED_NAMES.isdisjoint(_NAME_PARTS.findall(value))
+                    named |= marks(value)
         self._open.append(len(self.tag))
         self.tag.append(tag)
         self.parent.append(up)
         self.boiler.append(boiler)
+        self.named.append(named)
+        self.own.append(0)
         self.main.append(main)
         self.digest.append(0)
         self._parts.append([(tag + names).encode("utf-8", "replace")])
@@ -119,7 +133,9 @@ class Page:
             if "&" in text:
                 text = html.unescape(text)
             self.runs.append((node, text))
-            self._parts[node].append(" ".join(text.split()).encode("utf-8", "replace"))
+            plain = " ".join(text.split())
+            self.own[node] += len(plain)
+            self._parts[node].append(plain.encode("utf-8", "replace"))
 
     def _read(self, source: str) -> None:
         at, n = 0, len(source)
@@ -149,12 +165,38 @@ class Page:
                 if not end:
                     self._close()
 
+    def _holds_main(self) -> list[bool]:
+        out = [False] * len(self.tag)
+        for k in range(len(self.tag) - 1, 0, -1):
+            if self.tag[k] in MAIN or self.main[k] and not self.main[self.parent[k]] or out[k]:
+                out[self.parent[k]] = True
+        return out
+
+    def _drop_named(self, gone: list[bool]) -> list[bool]:
+        """``gone`` and what names mark, but no element by its name that holds an article, main or
+        most of the text left, and none at all where names together would take most of it. Beside
+        an article, less than ``SHORT`` counts as an advert or notice longer than the article."""
+        holds_main = self._holds_main()
+        held = [0 if g else n for g, n in zip(gone, self.own)]
+        for k in range(len(held) - 1, 0, -1):
+            held[self.parent[k]] += held[k]
+        marked = [n and not h for n, h in zip(self.named, holds_main)]
+        under = marked[:]
+        for k in range(1, len(under)):
+            under[k] = under[k] or under[self.parent[k]]
+        article = any(n and m and not g and not u for n, m, g, u in zip(self.own, self.main, gone, under))
+        most = max(held[0] // 2, SHORT - 1 if article else 0)
+        out, taken = gone[:], 0
+        for k in range(1, len(out)):
+            if not out[k]:
+                up = out[self.parent[k]]
+                out[k] = up or marked[k] and held[k] <= most
+                taken += held[k] if out[k] and not up else 0
+        return out if taken <= most else gone
+
     def subtrees(self) -> set[tuple[int, bool]]:
         """Digest of each element that a template can consist of, and whether it is inside an article."""
-        holds_main = [False] * len(self.tag)
-        for k in range(len(self.tag) - 1, 0, -1):
-            if self.main[k] or holds_main[k]:
-                holds_main[self.parent[k]] = True
+        holds_main = self._holds_main()
         return {
             (self.digest[k], self.main[k])
             for k in range(1, len(self.tag))
@@ -163,11 +205,15 @@ class Page:
         }
 
     def text(self, template: set[int]) -> str:
-        """Blocks outside dropped and template elements; only those inside articles, if there are any."""
+        """Blocks outside dropped and template elements; only those inside articles, if these hold
+        half or more of what is left."""
         gone = [False] * len(self.tag)
         for k in range(1, len(self.tag)):
             gone[k] = gone[self.parent[k]] or self.boiler[k] or self.digest[k] in template
-        only_main = any(m and not b for m, b in zip(self.main, self.boiler))
+        if any(self.named):
+            gone = self._drop_named(gone)
+        left = [0 if g else n for g, n in zip(gone, self.own)]
+        only_main = 2 * sum(n for n, m in zip(left, self.main) if m) >= sum(left)
         blocks: list[str] = []
         held: list[str] = []
         for run in [*self.runs, None]:
@@ -225,8 +271,11 @@ def main_text(
     are that site's template and are deleted. Inside an article a higher share is asked for
     and text blocks (paragraphs, headings, ...) are never deleted, as copies and quotations
     recur there too. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-    styles and comments that are marked as such are dropped also where the host has few pages.
-    If a page has an article or main element, only text inside counts.
+    styles and comments that are marked as such are dropped also where the host has few pages;
+    a class or id alone never drops an element that holds an article, main or most of the
+    page's text (``SHORT`` characters at least, beside an article), and names together never
+    drop most of it. If article and main elements hold
+    half or more of the text that is then left, only text inside counts.
 
     White space inside a block becomes one space, blocks are joined by a line break, nothing
     else is dropped. Null and empty html give an empty text, a null url counts as host "",

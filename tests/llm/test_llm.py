@@ -149,6 +149,22 @@ def test_main_text(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_of_marked_wrappers_and_stray_articles():
+    story = "A long story goes on and on. " * 20
+    for names in ("page no-sidebar", "has-header", "two-side", "menu-fixed", "page header"):
+        assert Page(f"<div class='{names}'><article>{story}</article></div>").text(set()) == story.strip(), names
+    for wrapper in ("<div class=header>", "<div id=comments><div class=comment>", "<div class='ad'>"):
+        assert Page(f"{wrapper}{story}</div></div>").text(set()) == story.strip(), wrapper
+    posts = "".join(f"<div class=comment>post {k} {story}</div>" for k in range(9))
+    assert Page(f"<p>Forum</p>{posts}").text(set()).count("post") == 9
+    card = "<article><h3>More stories</h3></article>"
+    assert Page(f"<div>{story}</div>{card}").text(set()) == f"{story.strip()}\nMore stories"
+    assert Page(f"<div class=header>{story}</div>{card}").text(set()) == f"{story.strip()}\nMore stories"
+    boxes = "<div class='box ad'>Buy</div><div class=cookie-banner>We use cookies</div><div id=sidebar>Tags</div><p>stray</p>"
+    assert Page(f"{boxes}<article>{story}</article>").text(set()) == story.strip()
+    assert Page("<div class=ad>An advert longer than the text.</div><article>Short.</article>").text(set()) == "Short."
+
+
 def test_mix(docs, empty):
     tokens = {"a": 100.0, "b": 10.0, "c": 1.0}
     e = find_exponent(tokens, 111.0, 2.0, None)
