@@ -34,6 +34,8 @@ DROPPED_NAMES = frozenset(
 MAIN = frozenset(("article", "main"))
 #: Characters below which a marked element beside an article is no main text, however short the article.
 SHORT = 250
+#: Where a subtree stands on a page; both at once is their sum.
+OUTSIDE, INSIDE = 1, 2
 #: Containers; inside an article only these can be part of a template, never its text blocks.
 CONTAINERS = frozenset("div section ul ol dl figure details".split())
 #: Start tags that end an open element of the same family.
@@ -194,22 +196,29 @@ class Page:
                 taken += held[k] if out[k] and not up else 0
         return out if taken <= most else gone
 
-    def subtrees(self) -> set[tuple[int, bool]]:
-        """Digest of each element that a template can consist of, and whether it is inside an article."""
+    def _candidates(self) -> list[int]:
+        """Elements that a template can consist of."""
         holds_main = self._holds_main()
-        return {
-            (self.digest[k], self.main[k])
+        return [
+            k
             for k in range(1, len(self.tag))
             if self.tag[k] not in INLINE
             and (self.tag[k] in CONTAINERS if self.main[k] else not holds_main[k] and self.tag[k] not in ("html", "body", "head"))
-        }
+        ]
+
+    def subtrees(self) -> dict[int, int]:
+        """Digest of each such element, and where it stands: ``OUTSIDE`` articles, ``INSIDE`` one, or both."""
+        out: dict[int, int] = {}
+        for k in self._candidates():
+            out[self.digest[k]] = out.get(self.digest[k], 0) | (INSIDE if self.main[k] else OUTSIDE)
+        return out
 
-    def text(self, template: set[int]) -> str:
+    def text(self, outside: set[int], inside: set[int] = frozenset()) -> str:
         """Blocks outside dropped and template elements; only those inside articles, if these hold
         half or more of what is left."""
         gone = [False] * len(self.tag)
         for k in range(1, len(self.tag)):
-            gone[k] = gone[self.parent[k]] or self.boiler[k] or self.digest[k] in template
+            gone[k] = gone[self.parent[k]] or self.boiler[k] or self.digest[k] in (inside if self.main[k] else outside)
         if any(self.named):
             gone = self._drop_named(gone)
         left = [0 if g else n for g, n in zip(gone, self.own)]
@@ -237,23 +246,34 @@ def _emit(batches):
     for batch in batches:
         keys, hosts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         out = [
-            (k, h, digest, inside)
+            (k, h, digest, place)
             for k, h, source in zip(keys, hosts, batch.column(2).to_pylist())
-            for digest, inside in Page(source or "").subtrees()
+            for digest, place in Page(source or "").subtrees().items()
         ]
-        k, h, d, i = zip(*out) if out else ((), (), (), ())
+        k, h, d, p = zip(*out) if out else ((), (), (), ())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(k, pa.int64()), pa.array(h, pa.string()), pa.array(d, pa.int64()), pa.array(i, pa.bool_())],
-            names=["key", "host", "digest", "inside"],
+            [pa.array(k, pa.int64()), pa.array(h, pa.string()), pa.array(d, pa.int64()), pa.array(p, pa.int8())],
+            names=["key", "host", "digest", "place"],
         )
 
 
-def template_subtrees(subtrees: DataFrame, pages: DataFrame, min_pages: int, share: float, article_share: float) -> DataFrame:
-    """``host, digest`` of the subtrees that recur on many pages of their host."""
-    size = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    counted = subtrees.groupBy("host", "digest").agg(F.count("*").alias("n"), F.bool_or("inside").alias("inside"))
-    least = F.col("pages") * F.when(F.col("inside"), F.lit(article_share)).otherwise(F.lit(share))
-    return counted.where(F.col("n") >= min_pages).join(size, "host").where(F.col("n") >= least).select("host", "digest")
+def template_subtrees(
+    subtrees: DataFrame, pages: DataFrame, min_pages: int, share: float, article_share: float, host_pages: int
+) -> DataFrame:
+    """``host, digest, places``: subtrees that recur on many pages of their host, and where they are template."""
+    size = pages.groupBy("host").agg(F.least(F.count("*"), F.lit(host_pages)).alias("pages"))
+    counted = subtrees.groupBy("host", "digest").agg(
+        F.count("*").alias("n"), F.count_if(F.col("place") != INSIDE).alias("outside")
+    )
+    recurs = lambda n, least: (n >= min_pages) & (n >= F.col("pages") * F.lit(least))
+    everywhere = recurs(F.col("n"), article_share)
+    places = F.when(everywhere, OUTSIDE + INSIDE).when(recurs(F.col("outside"), share), OUTSIDE)
+    return (
+        counted.where(F.col("n") >= min_pages)
+        .join(size, "host")
+        .select("host", "digest", places.alias("places"))
+        .where(F.col("places").isNotNull())
+    )
 
 
 def main_text(
@@ -263,14 +283,18 @@ def main_text(
     min_pages: int = 5,
     share: float = 0.1,
     article_share: float = 0.5,
+    host_pages: int = 1000,
 ) -> DataFrame:
     """``pages`` with ``text``, the main text, and ``n_chars``, its code points.
 
     Every element subtree is hashed (name, class, id, role and all below) and counted once a
-    page per host; subtrees on at least ``min_pages`` pages and ``share`` of the host's pages
-    are that site's template and are deleted. Inside an article a higher share is asked for
-    and text blocks (paragraphs, headings, ...) are never deleted, as copies and quotations
-    recur there too. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+    page per host; subtrees that stand outside articles on at least ``min_pages`` pages and
+    ``share`` of the host's pages are that site's template and are deleted there. Inside an
+    article only subtrees on ``article_share`` of the host's pages, wherever they stand, are
+    deleted, and text blocks (paragraphs, headings, ...) never, as copies and quotations recur
+    there too. A host counts as ``host_pages`` pages at most, so that beyond these the numbers
+    asked for (100 and 500 pages) grow no more.
+    Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
     styles and comments that are marked as such are dropped also where the host has few pages;
     a class or id alone never drops an element that holds an article, main or most of the
     page's text (``SHORT`` characters at least, beside an article), and names together never
@@ -291,21 +315,26 @@ def main_text(
         source.alias("source"),
     )
     small = rows.select("key", "host", "source")
-    subtrees = small.mapInArrow(_emit, "key long, host string, digest long, inside boolean")
-    template = template_subtrees(subtrees, rows.select("host"), min_pages, share, article_share)
+    subtrees = small.mapInArrow(_emit, "key long, host string, digest long, place byte")
+    template = template_subtrees(subtrees, rows.select("host"), min_pages, share, article_share, host_pages)
     found = (
         subtrees.join(template, ["host", "digest"])
         .groupBy("key")
-        .agg(F.collect_set("digest").alias("template"))
+        .agg(
+            F.collect_set("digest").alias("outside"),
+            F.collect_set(F.when(F.col("places") > OUTSIDE, F.col("digest"))).alias("inside"),
+        )
     )
 
     def extract(batches):
         for batch in batches:
-            lists = batch.column(2).to_pylist()
-            texts = [Page(s).text(set(t or ())) for s, t in zip(batch.column(1).to_pylist(), lists)]
+            columns = [batch.column(n).to_pylist() for n in (1, 2, 3)]
+            texts = [Page(s).text(set(o or ()), set(i or ())) for s, o, i in zip(*columns)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
-    joined = rows.select("row", "source", "key").join(found, "key", "left").select("row", "source", "template")
+    # The html is taken from the row after the shuffle, so that it moves once.
+    again = F.coalesce(F.col("row").getField(html_col), F.lit("")).alias("source") if html_col in keep else "source"
+    joined = rows.join(found, "key", "left").select("row", again, "outside", "inside")
     out = joined.mapInArrow(extract, joined.select("row", F.lit("").alias("text")).schema)
     return out.select(
         *[F.col("row").getField(c).alias(c) for c in keep], "text", F.length("text").cast("long").alias("n_chars")
