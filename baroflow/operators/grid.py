@@ -35,10 +35,12 @@ def bucket_mean(
     The rain mean is over wet readings only.  ``first_obs`` / ``last_obs`` keep the raw
     times, from which data gaps are found without a second pass over the readings.
     The aggregate combines on the map side, so a dense station shrinks before it moves.
+    A reading without a station or a time is an error.
     """
+    needed = lambda c: F.coalesce(F.col(c), F.raise_error(F.lit(f"reading without {c}"))).alias(c)
     cols = {m: clean_rain(as_double(m)) if m == "Rain" else as_double(m) for m in measures}
     return (
-        readings.where(F.col(TIME).isNotNull() & F.col(STATION).isNotNull())
+        readings.withColumns({c: needed(c) for c in (STATION, TIME)})
         .select(STATION, TIME, grid_step(TIME, step_minutes).alias(STEP), *[c.alias(m) for m, c in cols.items()])
         .groupBy(STATION, STEP)
         .agg(

@@ -44,7 +44,7 @@ def parse_cmi_lines(lines: DataFrame) -> DataFrame:
 
     A full stop followed by two blanks parts a line.  The index is the fourth token from
     the right end.  On the left, a one-digit week stands apart from the id and is glued
-    on with a zero.
+    on with a zero.  A line that is not blank but has no second token is an error.
     """
     halves = F.split(_strip(F.col("value")), r"\.  ")
     left, right = F.element_at(halves, 1), _tokens(_strip(F.element_at(halves, -1)))
@@ -56,7 +56,8 @@ def parse_cmi_lines(lines: DataFrame) -> DataFrame:
     older = F.when(
         F.length(second2) > 8, F.concat(two[0], F.lit("0"), F.substring(second2, 1, 1))
     ).when(second2.isNotNull(), two[0])
-    ident = F.when(F.col("layout") == 2, newer).otherwise(older)
+    bad = F.raise_error(F.concat(F.lit("line without a second token: "), F.col("value")))
+    ident = F.when(_strip(F.col("value")) != "", F.coalesce(F.when(F.col("layout") == 2, newer).otherwise(older), bad))
     return lines.select(ident.alias("id"), cmi.alias("CMI")).where(F.length("id") <= 10)
 
 

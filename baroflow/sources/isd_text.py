@@ -49,9 +49,12 @@ def station_table(spark: SparkSession) -> DataFrame:
 
 
 def unite_time(df: DataFrame) -> DataFrame:
-    """Date and hour-minute fields into one timestamp."""
+    """Date and hour-minute fields into one timestamp; fields that are no time are an error."""
     text = F.concat_ws(" ", "Date", F.lpad("HrMn", 4, "0"))
-    return df.withColumn(TIME, F.try_to_timestamp(text, F.lit("yyyyMMdd HHmm"))).drop("Date", "HrMn")
+    time = F.coalesce(
+        F.try_to_timestamp(text, F.lit("yyyyMMdd HHmm")), F.raise_error(F.concat(F.lit("no time: "), text))
+    )
+    return df.withColumn(TIME, time).drop("Date", "HrMn")
 
 
 def drop_suffixes(df: DataFrame, *suffixes: str) -> DataFrame:
@@ -73,8 +76,12 @@ def clean_isd(df: DataFrame) -> DataFrame:
 
 
 def isd_readings(df: DataFrame, stations: DataFrame) -> DataFrame:
-    """Cleaned readings with the station's short name and this package's column names."""
-    named = df.join(stations, ["USAF", "NCDC"], "left")
+    """Cleaned readings with the station's short name and this package's column names.
+
+    A station that the table does not know is named by its ids.
+    """
+    ids = F.nullif(F.concat_ws("-", "USAF", "NCDC"), F.lit(""))
+    named = df.join(stations, ["USAF", "NCDC"], "left").withColumn(STATION, F.coalesce(STATION, ids))
     return unite_time(clean_isd(drop_suffixes(named, "6", "24", "99"))).select(
         STATION,
         TIME,

@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from baroflow import sources
+from baroflow.operators.grid import bucket_mean
 from baroflow.plans import staging
 from baroflow.plans.entries import pressure_change_events, weekly_drought, weekly_precipitation_index
 from baroflow.plans.curation import Settings
-from tests.helpers import random_readings
+from tests.helpers import T0, random_readings, readings
 
 
 def write(path, *lines):
@@ -54,6 +55,24 @@ def test_isd_text(spark, tmp_path):
     assert got["BOS"].Rain is None and got["BOS"].Temp_C == 900.0 and got["BOS"].Pressure_hPa == 9000.0
 
 
+def test_no_reading_or_line_is_lost_silently(spark, tmp_path):
+    unknown = isd_line("A07355", "00241", "0051", "20.5", "1012.3", "01", "2.5", "1", "80")
+    path = write(tmp_path / "a.txt", isd_line("725030", "14732", "0051", "20", "1012", "01", "2", "1", "80"), unknown)
+    out = sources.isd_readings(sources.read_isd_text(spark, path), sources.station_table(spark))
+    assert {r.Location for r in bucket_mean(out).collect()} == {"NYC", "A07355-241"}
+    late = write(tmp_path / "b.txt", isd_line("725030", "14732", "2561", "20", "1012", "01", "2", "1", "80"))
+    with pytest.raises(Exception, match="no time: 19960828 2561"):
+        sources.isd_readings(sources.read_isd_text(spark, late), sources.station_table(spark)).collect()
+    for row in ((None, "X"), (T0, None)):
+        with pytest.raises(Exception, match="reading without"):
+            bucket_mean(readings(spark, [(row[1], row[0], {"Rain": 1.0})])).collect()
+    for layout in (1, 2):
+        lines = spark.createDataFrame([("801", layout), ("  ", layout)], "value string, layout int")
+        assert sources.parse_cmi_lines(lines.where("value = '  '")).count() == 0
+        with pytest.raises(Exception, match="without a second token: 801"):
+            sources.parse_cmi_lines(lines).collect()
+
+
 def test_layout_follows_the_file_name(spark, tmp_path):
     for name in ("palmer73.txt", "palmer96a.txt", "palmer97.txt", "palmer01.txt", "palmer12.txt", "other.txt"):
         write(tmp_path / name, name)
