@@ -15,7 +15,8 @@ _ALL = (1 << 63) - 1
 
 def weights(shares: dict, exponent: float) -> dict:
     """Normalised powers of the shares; a source without tokens keeps weight 0."""
-    powers = {s: p**exponent if p > 0 else 0.0 for s, p in shares.items()}
+    top = max(shares.values(), default=1.0) if exponent > 1 else 1.0  # so that not all powers vanish
+    powers = {s: (p / top) ** exponent if p > 0 else 0.0 for s, p in shares.items()}
     total = sum(powers.values()) or 1.0
     return {s: v / total for s, v in powers.items()}
 
@@ -25,21 +26,32 @@ def entropy(w: dict) -> float:
 
 
 def find_exponent(tokens: dict, budget: float, max_repetition: float | None, target_entropy: float | None) -> float:
-    """The exponent in [0, 1], by bisection: the smallest (flattest) one at which no source is
-    read more than ``max_repetition`` times, or the one at which the weights have the target
-    entropy (which falls as the exponent grows)."""
+    """The exponent, by bisection: the smallest (flattest) one at which no source is read more
+    than ``max_repetition`` times, or the one at which the weights have the target entropy
+    (which falls as the exponent grows, above 1 to less than that of the shares). A target
+    that no exponent meets is an error."""
     total = sum(tokens.values()) or 1
     shares = {s: n / total for s, n in tokens.items()}
+    if not any(tokens.values()):
+        return 0.0
+    if target_entropy is not None and entropy(weights(shares, 0.0)) < target_entropy - 1e-9:
+        raise ValueError(f"no weights of these sources have an entropy of {target_entropy}")
+    if target_entropy is None and budget > max_repetition * total * (1 + 1e-9):
+        raise ValueError(f"{budget} tokens need more than {max_repetition} readings of {total}")
 
     def too_flat(exponent: float) -> bool:
         w = weights(shares, exponent)
         if target_entropy is not None:
-            return entropy(w) > target_entropy
+            return entropy(w) > target_entropy + 1e-12
         return any(w[s] * budget > max_repetition * n for s, n in tokens.items() if n)
 
     if not too_flat(0.0):
         return 0.0
     low, high = 0.0, 1.0
+    while target_entropy is not None and too_flat(high):
+        if high > 2.0**60:
+            raise ValueError(f"no exponent gives an entropy of {target_entropy}")
+        low, high = high, 2 * high
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if too_flat(middle) else (low, middle)
@@ -93,9 +105,7 @@ def mix(
         times = share[r["s"]] * spent / r["tokens"] if r["tokens"] else 0.0
         whole = int(times + 1e-9)
         plan.append((r["s"], share[r["s"]], whole, max(0.0, (times - whole) * r["tokens"]), -(-r["rows"] // block_rows)))
-    sources = F.broadcast(  # one row a source, as small as the report above
-        spark.createDataFrame(plan, "s string, weight double, whole int, rest double, blocks long")
-    )
+    sources = few(spark.createDataFrame(plan, "s string, weight double, whole int, rest double, blocks long"), 200_000)
     drawn = (
         rows.select(F.col(s_col).alias("s"), F.col(h_col).alias("h"), F.col(n_col).alias("n"))
         .join(sources, "s")

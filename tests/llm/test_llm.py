@@ -210,6 +210,20 @@ def test_mix(docs, empty):
     assert mix(empty).count() == 0
 
 
+def test_exponent_meets_its_target_or_raises():
+    tokens = {"a": 100, "b": 10, "c": 1, "none": 0}
+    shares = {s: n / 111 for s, n in tokens.items()}
+    for target in (0.9, 0.1, 1e-4):  # the shares have 0.353
+        assert entropy(weights(shares, find_exponent(tokens, 111.0, None, target))) == pytest.approx(target, abs=1e-6)
+    for budget, repetition, target in ((300.0, 2.0, None), (111.0, None, 1.2), (111.0, None, -0.1)):
+        with pytest.raises(ValueError):
+            find_exponent(tokens, budget, repetition, target)
+    with pytest.raises(ValueError):
+        find_exponent({"a": 5, "b": 5}, 10.0, None, 0.3)
+    assert find_exponent(tokens, 222.0, 2.0, None) == pytest.approx(1.0)
+    assert find_exponent({}, 0.0, 1.25, None) == 0.0
+
+
 def test_maximal_segments():
     rng = random.Random(1)
     for _ in range(300):
