@@ -9,10 +9,12 @@ from baroflow.llm.bpe import bpe
 from baroflow.llm.common import fold
 from baroflow.llm.exact import exact_dedup
 from baroflow.llm.jaccard import jaccard_components
+from baroflow.llm.lexical import ranked_search
 from baroflow.llm.lm import lm_scores
 from baroflow.llm.mixing import mix
 from baroflow.llm.pii import BASE, pii_spans
 from baroflow.llm.quality import quality_scores
+from baroflow.llm.spelling import spelling_groups
 from baroflow.llm.templates import main_text
 from baroflow.llm.topk import top_k
 from baroflow.llm.toxicity import toxic_scores
@@ -108,6 +110,16 @@ def op10_lm_scores(spark, sf):
     return lm_scores(table(spark, sf, "documents"))
 
 
+@query
+def op12_spelling_variants(spark, sf):
+    return spelling_groups(table(spark, sf, "documents"))
+
+
+@query
+def op13_ranked_search(spark, sf):
+    return ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 ORACLES["op4_jaccard_join"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -141,3 +153,59 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, le
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p)
 SELECT * FROM r WHERE rank <= 10
 """
+
+ORACLES["op12_spelling_variants"] = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) AS s(i))),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[A-Za-z\x{00C0}-\x{00FF}]{7,}')) AS run FROM documents),
+each AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY 1, 2),
+bytes AS (
+  SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM each),
+crc AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(0, length(h) // 2), lambda i:
+      ((instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1)::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS crc
+  FROM bytes, crc_table),
+seen AS (
+  SELECT CASE WHEN crc % 31 = 0 THEN substr(run, 1, (crc % length(run))::INT) || substr(run, (crc % length(run))::INT + 2) ELSE run END AS word, n FROM crc),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM seen WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cuts AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+keyed AS (SELECT word, n, substr(word, 1, (i - 1)::INT) AS a, substr(word, (i + 1)::INT) AS b FROM cuts),
+pairs AS (
+  SELECT x.word, y.word AS other, y.n FROM keyed x JOIN keyed y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT k.word, w.word, w.n FROM keyed k JOIN w ON w.word = k.a || k.b
+  UNION SELECT w.word, k.word, k.n FROM keyed k JOIN w ON w.word = k.a || k.b),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM pairs GROUP BY word),
+forms AS (SELECT w.word, b.other AS form, b.other_n AS form_n FROM w JOIN best b USING (word) WHERE b.other_n >= 10 * w.n),
+ways AS (
+  SELECT word, word AS root FROM w UNION ALL SELECT ways.word, forms.form FROM ways JOIN forms ON forms.word = ways.root),
+roots AS (SELECT word, root FROM ways WHERE root NOT IN (SELECT word FROM forms))
+SELECT w.word, f.form, r.root, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, f.form_n
+FROM w JOIN roots r USING (word) LEFT JOIN forms f USING (word) LEFT JOIN best b USING (word)
+"""
+
+ORACLES["op13_ranked_search"] = r"""
+WITH tokens AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY 1, 2),
+len AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY 1),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM len),
+weight AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, docs),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weight USING (term) JOIN len USING (doc_id), total GROUP BY 1, 2),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+"""
