@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from baroflow.llm.bpe import bpe
 from baroflow.llm.common import fold
+from baroflow.llm.contamination import contamination
 from baroflow.llm.exact import exact_dedup
 from baroflow.llm.jaccard import jaccard_components
 from baroflow.llm.lexical import ranked_search
@@ -110,6 +111,13 @@ def op10_lm_scores(spark, sf):
     return lm_scores(table(spark, sf, "documents"))
 
 
+@query
+def op11_benchmark_passages(spark, sf):
+    found = contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 @query
 def op12_spelling_variants(spark, sf):
     return spelling_groups(table(spark, sf, "documents"))
@@ -154,6 +162,28 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT * FROM r WHERE rank <= 10
 """
 
+ORACLES["op11_benchmark_passages"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+win AS (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS size, ws[i:i + least(10, len(ws)) - 1] AS words
+  FROM b, LATERAL (SELECT unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i) WHERE len(ws) > 0),
+sizes AS (SELECT DISTINCT size FROM win),
+cut AS (
+  SELECT r, i, size, ws[i:i + size - 1] AS words
+  FROM (SELECT r, size, ws, unnest(range(1, len(ws) - size + 2)) AS i FROM d, sizes WHERE len(ws) >= size)),
+hit AS (SELECT r, i, size, item_id FROM cut JOIN win USING (size, words)),
+covered AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + size)) AS p FROM hit) GROUP BY r),
+held AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hit) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN held USING (r)
+"""
+
 ORACLES["op12_spelling_variants"] = r"""
 WITH RECURSIVE crc_table AS (
   SELECT list(c ORDER BY i) AS t FROM (
