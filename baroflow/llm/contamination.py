@@ -2,8 +2,7 @@
 
 The index holds a posting (document row, position) for every occurrence of a benchmark word.
 A passage is looked for from its rarest word: each posting of that word says where the passage
-would begin; those beginnings are intersected with the postings of the second rarest word, less
-its offset, and what is left with those of all other words.
+would begin; those beginnings are intersected with the postings of all other words, less their offsets.
 """
 
 from __future__ import annotations
@@ -82,24 +81,19 @@ def ranked_terms(found: DataFrame, index: Index) -> DataFrame:
 
 
 def phrase_matches(index: Index, ranked: DataFrame) -> DataFrame:
-    """``row, passage, start, size`` of every exact occurrence."""
-    first = _sized(stage(ranked.where("rank = 1").select("passage", "size", "term", "offset"), "rarest"))
+    """``row, passage, start, size`` of every exact occurrence.
+
+    The rarest word's postings, less its offset, are the candidates. One join on (row, position,
+    word) intersects them with the lists of all other words of their passages; no key of
+    it repeats in the postings, so no word or passage, however frequent, is one task's work.
+    """
+    rarest = _sized(stage(ranked.where("rank = 1").select("passage", "size", "term", "offset"), "rarest"))
+    others = ranked.where("rank > 1").select("passage", "term", "offset")
     at = (F.col("pos") - F.col("offset")).alias("start")
-    begun = stage(index.postings.join(first, "term").select("row", "passage", "size", at).where("start >= 0"), "begun")
-    second = ranked.where("rank = 2").select("passage", "term", "offset")
-    rest = ranked.where("rank > 2").select("passage", "term", "offset")
-
-    def kept(candidates: DataFrame, terms: DataFrame, needed: Column) -> DataFrame:
-        """Candidates that have ``needed`` of the terms where those should stand."""
-        wanted = stage(candidates.join(terms, "passage").withColumn("pos", F.col("start") + F.col("offset")).drop("offset"), "wanted")
-        met = index.postings.join(_sized(wanted), ["row", "pos", "term"])
-        count = met.groupBy("row", "passage", "start", "size").agg(F.count("*").alias("met"))
-        return count.where(F.col("met") == needed).drop("met")
-
-    single = begun.where("size = 1")
-    two = stage(kept(begun.where("size > 1"), second, F.lit(1)), "two-words")
-    whole = kept(two.where("size > 2"), rest, F.col("size") - 2)
-    return single.unionByName(two.where("size = 2")).unionByName(whole)
+    begun = stage(index.postings.join(rarest, "term").select("row", "passage", "size", at).where("start >= 0"), "begun")
+    wanted = begun.join(others, "passage").withColumn("pos", F.col("start") + F.col("offset")).drop("offset")
+    met = index.postings.join(wanted, ["row", "pos", "term"]).groupBy("row", "passage", "start", "size").agg(F.count("*").alias("met"))
+    return begun.where("size = 1").unionByName(met.where("met = size - 1").drop("met"))
 
 
 def proximity_matches(index: Index, ranked: DataFrame, within: int) -> DataFrame:
