@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from baroflow.llm.common import few, fresh_name
+from baroflow.plans.staging import stage
 
 _ALL = (1 << 63) - 1
 
@@ -95,7 +96,8 @@ def mix(
     words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     row_hash = F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     rows = docs.withColumn(n_col, words).withColumn(s_col, _source(source_col)).withColumn(h_col, row_hash)
-    totals = rows.groupBy(F.col(s_col).alias("s")).agg(F.sum(n_col).alias("tokens"), F.count("*").alias("rows")).collect()
+    sizes = stage(rows.select(F.col(s_col).alias("s"), F.col(h_col).alias("h"), F.col(n_col).alias("n")), "sizes")
+    totals = sizes.groupBy("s").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows")).collect()
     tokens = {r["s"]: r["tokens"] for r in totals}
     spent = float(sum(tokens.values())) if budget is None else float(budget)
     exponent = find_exponent(tokens, spent, max_repetition, target_entropy)
@@ -107,8 +109,7 @@ def mix(
         plan.append((r["s"], share[r["s"]], whole, max(0.0, (times - whole) * r["tokens"]), -(-r["rows"] // block_rows)))
     sources = few(spark.createDataFrame(plan, "s string, weight double, whole int, rest double, blocks long"), 200_000)
     drawn = (
-        rows.select(F.col(s_col).alias("s"), F.col(h_col).alias("h"), F.col(n_col).alias("n"))
-        .join(sources, "s")
+        sizes.join(sources, "s")
         .withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.col("blocks")))
     )
     order = [F.xxhash64(F.lit(seed + 2), "s", "block"), F.col("block")]
@@ -134,11 +135,11 @@ def mix(
     own = rows.join(sources.select(F.col("s").alias(s_col), F.col("blocks").alias(b_col)), s_col)
     own = own.withColumn(b_col, F.pmod(F.xxhash64(F.lit(seed + 1), F.col(h_col)), F.col(b_col)))
     joined = own.join(decided, (own[s_col] == decided["s"]) & (own[b_col] == decided["block"]))
-    times = F.col("whole") + F.coalesce(F.col(h_col) <= F.col("cut"), F.lit(False)).cast("int")
+    times = decided["whole"] + F.coalesce(own[h_col] <= decided["cut"], F.lit(False)).cast("int")
     return joined.where(times > 0).select(
         *[docs[c] for c in docs.columns],
         F.explode(F.sequence(F.lit(0), times - 1)).alias(e_col),
-        F.col("block_order").alias(o_col),
-        F.col(n_col),
+        decided["block_order"].alias(o_col),
+        own[n_col],
         decided["weight"].alias(w_col),
     )

@@ -10,7 +10,9 @@ all documents: the number of patterns is bounded by the labelers and features, n
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
+from heapq import merge
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +71,12 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _octet(part: str) -> bool:
+    """At most 255, with any number of leading zeros."""
+    digits = part.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Start, end and kind of the base matches, leftmost and non-overlapping within a kind."""
     out = []
@@ -86,7 +94,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             done = max(done, at + 1)
         at = text.find("@", max(at + 1, done))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(_octet(p) for p in m.group().split(".")):
             out.append((m.start(), m.end(), "ip"))
     for m in _CARD.finditer(text):
         digits = _digits(m.group())
@@ -103,14 +111,21 @@ def candidates(text: str) -> list[tuple[int, int, str, bool]]:
     """Base spans (True) and further candidates (False) that overlap none of them."""
     base = base_spans(text)
     out = [(*s, True) for s in base]
-    taken = sorted((a, b) for a, b, _ in base)
+    reached, done = [], -1
+    for a, b, _ in sorted(base):  # base spans of two kinds may overlap; what they cover, as disjoint parts
+        if reached and a < done:
+            reached[-1] = (reached[-1][0], max(done, b))
+        else:
+            reached.append((a, b))
+        done = reached[-1][1]
     for kind, pattern in _MORE:
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            k = np.searchsorted([t[1] for t in taken], a, "right") if taken else 0
-            if k == len(taken) or taken[k][0] >= b:
-                out.append((a, b, kind, False))
-                taken = sorted([*taken, (a, b)])
+        added = []
+        for a, b in (m.span() for m in pattern.finditer(text)):
+            k = bisect_right(reached, a, key=lambda part: part[1])
+            if k == len(reached) or reached[k][0] >= b:
+                added.append((a, b))  # one pattern's matches do not overlap
+        out += [(a, b, kind, False) for a, b in added]
+        reached = list(merge(reached, added))
     return out
 
 

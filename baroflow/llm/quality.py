@@ -21,6 +21,8 @@ _KIND[ord("a") : ord("z") + 1], _KIND[ord("A") : ord("Z") + 1], _KIND[ord("0") :
 for _i, _b in enumerate(_PUNCTUATION):
     _KIND[_b] = 6 + _i
 N_FEATURES = _KINDS * _KINDS + 5
+#: Rows of dense features in memory at a time, some 2.5 MB an array, however short the texts are.
+SLICE_ROWS = 256
 
 
 def features(texts: pa.Array):
@@ -31,7 +33,7 @@ def features(texts: pa.Array):
     different words, mean word length, logs of the numbers of words and bytes. All are 0
     for an empty text.
     """
-    for chunk in chunks(texts):
+    for chunk in chunks(texts, rows=SLICE_ROWS):
         n = len(chunk.offsets) - 1
         size = np.diff(chunk.offsets)
         row = np.repeat(np.arange(n), size)

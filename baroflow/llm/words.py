@@ -70,8 +70,10 @@ class Words(NamedTuple):
     end: np.ndarray
 
 
-def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Rows in order, about ``limit`` bytes at a time; a longer text is a chunk of its own. Null is empty."""
+def chunks(texts: pa.Array, limit: int = CHUNK_BYTES, rows: int | None = None) -> Iterator[Chunk]:
+    """Rows in order, about ``limit`` bytes and at most ``rows`` rows at a time; a longer text is
+    a chunk of its own. Null is empty.
+    """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -84,7 +86,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     start = 0
     while start < n:
         stop = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
-        stop = min(max(stop, start + 1), n)
+        stop = min(max(stop, start + 1), n, start + (rows or n))
         base = offsets[start]
         yield Chunk(start, data[base : offsets[stop]], offsets[start : stop + 1] - base)
         start = stop
