@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 ORACLES: dict[str, str] = {}
 
 
@@ -458,7 +460,8 @@ add(
     f"""SELECT Location, Press_Evt_lab, St, {r6("lag(Dur) OVER o")} AS Dur_lag1, {r6("lag(Sum_Press_Delta) OVER o")} AS Press_Delta_lag1
   FROM e1d WINDOW o AS (ORDER BY St, Press_Evt_lab, Location)""",
 )
-POP = r6("sum(CASE WHEN St_Rain > 0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE)")
+SHARE = "sum(CASE WHEN St_Rain > 0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE)"
+POP = r6(SHARE)
 add(
     "pop_by_epc",
     D,
@@ -830,3 +833,81 @@ add(
 f AS (SELECT *, j1 + CAST((8 - isodow(j1)) % 7 AS INT) AS first FROM j)""",
     "SELECT o_orderkey, CASE WHEN w = 0 AND first = j1 THEN j1 ELSE first + CAST((w - 1) * 7 AS INT) END AS monday FROM f",
 )
+
+
+def _t(df: str) -> str:
+    """Student's 97.5 % point by its expansion around the normal one."""
+    z = NormalDist().inv_cdf(0.975)
+    return f"""({z}e0 + {(z**3 + z) / 4}e0 / {df} + {(5 * z**5 + 16 * z**3 + 3 * z) / 96}e0 / pow({df}, 2)
+    + {(3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384}e0 / pow({df}, 3)
+    + {(79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160}e0 / pow({df}, 4))"""
+
+
+#: From ``pt(g, x, y)``: rows ``l`` of the operator matrix at 80 grid points and at every data point.
+LOCAL = """
+row_ AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY x, y) AS j FROM pt WHERE x IS NOT NULL AND y IS NOT NULL),
+range_ AS (SELECT g, min(x) AS lo, max(x) AS hi, greatest(1, floor(0.75e0 * count(*) + 1e-9)) AS need FROM row_ GROUP BY g),
+ev AS (SELECT g, i, 0 AS own, lo + (hi - lo) * i / 79 AS a, need FROM range_, range(0, 80) t(i)
+  UNION ALL SELECT g, -j, j, x, need FROM row_ JOIN range_ USING (g)),
+dist AS (SELECT g, i, own, a, need, j, x, y, abs(x - a) AS d, row_number() OVER (PARTITION BY g, i ORDER BY abs(x - a)) AS nth
+  FROM ev JOIN row_ USING (g)),
+rad AS (SELECT g, i, d AS r FROM dist WHERE nth = need),
+wt AS (SELECT g, i, own, a, j, y, (x - a) / r AS u, pow(1 - pow(d / r, 3), 3) AS w FROM dist JOIN rad USING (g, i) WHERE d < r),
+mom AS (SELECT g, i, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * u * u * u) AS s3, sum(w * u * u * u * u) AS s4 FROM wt GROUP BY g, i),
+inv AS (SELECT g, i, s2 * s4 - s3 * s3 AS c0, s2 * s3 - s1 * s4 AS c1, s1 * s3 - s2 * s2 AS c2,
+  s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det FROM mom),
+op AS (SELECT g, i, own, a, j, y, w * (c0 + c1 * u + c2 * u * u) / det AS l FROM wt JOIN inv USING (g, i)),
+fits AS (SELECT g, i, own, a, sum(l * y) AS fit, sum(l * l) AS norm, sum(CASE WHEN j = own THEN l END) AS lev FROM op GROUP BY g, i, own, a)"""
+
+add(
+    "local_curve_band",
+    D + f""",
+pt AS (SELECT {HALF} AS g, {rstep('MonT', 0.2)} AS x, {SHARE} AS y FROM e2e WHERE Sum_Press_Delta < 0 GROUP BY 1, 2),{LOCAL},
+left_ AS (SELECT f.g, count(*) - 2 * sum(lev) + sum(norm) AS df, sum(pow(p.y - fit, 2)) AS rss
+  FROM fits f JOIN row_ p ON p.g = f.g AND p.j = f.own GROUP BY f.g),
+band AS (SELECT g, a, fit, sqrt(rss / df * norm) AS se, df FROM fits JOIN left_ USING (g) WHERE i >= 0)""",
+    f"""SELECT g AS YrSide, {r6("a")} AS MonT, {r6("fit")} AS fit, {r6("se")} AS se,
+  {r6(f"fit - se * {_t('df')}")} AS low, {r6(f"fit + se * {_t('df')}")} AS high FROM band""",
+)
+add(
+    "local_curve_by_group",
+    D + f""",
+pt AS (SELECT {{'h': {HALF}, 'k': {KIND}}} AS g, {rstep('MonT', 0.2)} AS x, {SHARE} AS y FROM e2e GROUP BY {HALF}, {KIND}, {rstep('MonT', 0.2)}),{LOCAL}""",
+    f"SELECT g.h AS YrSide, g.k AS PCEType, {r6('a')} AS MonT, {r6('fit')} AS fit FROM fits WHERE i >= 0",
+)
+#: Natural splines in truncated powers of x scaled to the range, solved by Gauss-Jordan steps.
+add(
+    "frequency_smooth",
+    "RECURSIVE " + D + f""",
+pt AS (SELECT {HALF} AS g, MonT AS x0, CAST(count(*) AS DOUBLE) AS y FROM e2e WHERE MonT IS NOT NULL GROUP BY Location, Yr, Mon, MonT),
+ends_ AS (SELECT g, min(x0) AS lo, max(x0) AS hi FROM pt GROUP BY g),
+knot AS (SELECT g, list_transform(range(0, 10), lambda j: (kn[j + 1] - lo) / (hi - lo)) AS k, lo, hi FROM (
+  SELECT g, quantile_cont(x0, [0e0, 1/9e0, 2/9e0, 3/9e0, 4/9e0, 5/9e0, 6/9e0, 7/9e0, 8/9e0, 1e0]) AS kn
+  FROM (SELECT DISTINCT g, x0 FROM pt) GROUP BY g) JOIN ends_ USING (g)),
+at_ AS (SELECT g, -1 AS i, (x0 - lo) / (hi - lo) AS x, y, k FROM pt JOIN knot USING (g)
+  UNION ALL SELECT g, i, i / 79e0, NULL, k FROM knot, range(0, 80) t(i)),
+pw AS (SELECT *, list_transform(range(1, 10), lambda j:
+  (pow(greatest(x - k[j], 0), 3) - pow(greatest(x - k[10], 0), 3)) / (k[10] - k[j])) AS d FROM at_),
+bs AS (SELECT g, i, y, list_concat([1e0, x], list_transform(range(1, 9), lambda j: d[j] - d[9])) AS b FROM pw),
+seg AS (SELECT g, k, s, unnest([k[s], (k[s] + k[s + 1]) / 2, k[s + 1]]) AS v, unnest([1, 4, 1]) AS q FROM knot, range(1, 10) t(s)),
+sec AS (SELECT g, q * (k[s + 1] - k[s]) / 6 AS q, list_transform(range(1, 10), lambda j:
+  6 * (greatest(v - k[j], 0) - greatest(v - k[10], 0)) / (k[10] - k[j])) AS e FROM seg),
+sec2 AS (SELECT g, q, list_concat([0e0, 0e0], list_transform(range(1, 9), lambda j: e[j] - e[9])) AS e FROM sec),
+om AS (SELECT g, i, j, sum(q * e[i] * e[j]) AS w FROM sec2, range(1, 11) a(i), range(1, 11) c(j) GROUP BY g, i, j),
+am AS (SELECT g, a.i, c.j, sum(b[a.i] * b[c.j]) AS w FROM bs, range(1, 11) a(i), range(1, 11) c(j) WHERE bs.i < 0 GROUP BY g, a.i, c.j),
+rh AS (SELECT g, a.i, sum(b[a.i] * y) AS w FROM bs, range(1, 11) a(i) WHERE bs.i < 0 GROUP BY g, a.i),
+full_ AS (SELECT g, am.i, list(am.w + 50 / pow(hi - lo, 3) * om.w ORDER BY am.j) AS m FROM am JOIN om USING (g, i, j) JOIN knot USING (g) GROUP BY g, am.i),
+gj AS (SELECT g, 1 AS p, list(list_concat(m, list_transform(range(1, 11), lambda c: CASE WHEN c = i THEN 1e0 ELSE 0e0 END)) ORDER BY i) AS m FROM full_ GROUP BY g
+  UNION ALL SELECT g, p + 1, list_transform(range(1, 11), lambda r: CASE WHEN r = p THEN list_transform(m[p], lambda v: v / m[p][p])
+    ELSE list_transform(range(1, 21), lambda c: m[r][c] - m[r][p] * m[p][c] / m[p][p]) END) FROM gj WHERE p <= 10),
+inv AS (SELECT g, list_transform(m, lambda r: r[11:20]) AS v FROM gj WHERE p = 11),
+beta AS (SELECT g, v, list_transform(range(1, 11), lambda r: list_dot_product(v[r], t)) AS be
+  FROM inv JOIN (SELECT g, list(w ORDER BY i) AS t FROM rh GROUP BY g) USING (g)),
+df_ AS (SELECT g, (SELECT count(*) FROM pt WHERE pt.g = am.g) - sum(v[i][j] * w) AS df FROM am JOIN inv USING (g) GROUP BY g),
+rss_ AS (SELECT g, sum(pow(y - list_dot_product(b, be), 2)) AS rss FROM bs JOIN beta USING (g) WHERE i < 0 GROUP BY g),
+out_ AS (SELECT g, lo + (hi - lo) * i / 79 AS x, list_dot_product(b, be) AS fit, df,
+  sqrt(rss / df * list_dot_product(b, list_transform(v, lambda r: list_dot_product(r, b)))) AS se
+  FROM bs JOIN beta USING (g) JOIN knot USING (g) JOIN df_ USING (g) JOIN rss_ USING (g) WHERE i >= 0)""",
+    f"""SELECT g AS YrSide, {r6("x")} AS MonT, {r6("fit")} AS fit, {r6("se")} AS se,
+  {r6(f"fit - se * {_t('df')}")} AS low, {r6(f"fit + se * {_t('df')}")} AS high FROM out_""",
+)

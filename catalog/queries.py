@@ -25,7 +25,7 @@ from baroflow.functions import (
 )
 from baroflow.functions.bins import EPC_EDGES_500
 from baroflow.functions.dates import monday_of_week
-from baroflow.operators import drought, events, fit, grid, labels, quantiles, smooth, stats
+from baroflow.operators import curves, drought, events, fit, grid, labels, quantiles, smooth, stats
 from baroflow.operators.blocks import explode_range
 from baroflow.plans.curation import DAILY, DAILY_RECURRENT, Curated, Settings
 from baroflow.plans.entries import with_cmi
@@ -812,6 +812,28 @@ def local_curve(spark, sf):
     return fit.local_curve(pts, "Evt_Press_chng", "RainProb")
 
 
+@query
+def local_curve_band(spark, sf):
+    """POP of falling-pressure events by temperature, a curve and its 95 % band per half-year."""
+    pts = stats.pop_by_amt(daily_events(spark, sf), "de")
+    return curves.local_curves(pts, "MonT", "RainProb", ["YrSide"], band=0.95)
+
+
+@query
+def local_curve_by_group(spark, sf):
+    pts = stats.pop_by_amt(daily_events(spark, sf), "both")
+    return curves.local_curves(pts, "MonT", "RainProb", ["YrSide", "PCEType"])
+
+
+@query
+def frequency_smooth(spark, sf):
+    """Events a month and station by temperature: a penalised spline with its band per half-year."""
+    e = daily_events(spark, sf)
+    months = e.groupBy(STATION, "Yr", "Mon", "MonT").agg(F.count("*").cast("double").alias("n_events"))
+    months = months.withColumn("YrSide", half_year("Mon"))
+    return curves.regression_spline(months, "MonT", "n_events", ["YrSide"], penalty=50.0, band=0.95)
+
+
 @query
 def local_surface(spark, sf):
     return fit.local_surface(stage(stats.pop_surface(daily_events(spark, sf)), "surface"))
