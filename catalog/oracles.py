@@ -460,8 +460,8 @@ add(
     f"""SELECT Location, Press_Evt_lab, St, {r6("lag(Dur) OVER o")} AS Dur_lag1, {r6("lag(Sum_Press_Delta) OVER o")} AS Press_Delta_lag1
   FROM e1d WINDOW o AS (ORDER BY St, Press_Evt_lab, Location)""",
 )
-SHARE = "sum(CASE WHEN St_Rain > 0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE)"
-POP = r6(SHARE)
+RAIN_SHARE = "sum(CASE WHEN St_Rain > 0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE)"
+POP = r6(RAIN_SHARE)
 add(
     "pop_by_epc",
     D,
@@ -862,7 +862,7 @@ fits AS (SELECT g, i, own, a, sum(l * y) AS fit, sum(l * l) AS norm, sum(CASE WH
 add(
     "local_curve_band",
     D + f""",
-pt AS (SELECT {HALF} AS g, {rstep('MonT', 0.2)} AS x, {SHARE} AS y FROM e2e WHERE Sum_Press_Delta < 0 GROUP BY 1, 2),{LOCAL},
+pt AS (SELECT {HALF} AS g, {rstep('MonT', 0.2)} AS x, {RAIN_SHARE} AS y FROM e2e WHERE Sum_Press_Delta < 0 GROUP BY 1, 2),{LOCAL},
 left_ AS (SELECT f.g, count(*) - 2 * sum(lev) + sum(norm) AS df, sum(pow(p.y - fit, 2)) AS rss
   FROM fits f JOIN row_ p ON p.g = f.g AND p.j = f.own GROUP BY f.g),
 band AS (SELECT g, a, fit, sqrt(rss / df * norm) AS se, df FROM fits JOIN left_ USING (g) WHERE i >= 0)""",
@@ -872,7 +872,7 @@ band AS (SELECT g, a, fit, sqrt(rss / df * norm) AS se, df FROM fits JOIN left_
 add(
     "local_curve_by_group",
     D + f""",
-pt AS (SELECT {{'h': {HALF}, 'k': {KIND}}} AS g, {rstep('MonT', 0.2)} AS x, {SHARE} AS y FROM e2e GROUP BY {HALF}, {KIND}, {rstep('MonT', 0.2)}),{LOCAL}""",
+pt AS (SELECT {{'h': {HALF}, 'k': {KIND}}} AS g, {rstep('MonT', 0.2)} AS x, {RAIN_SHARE} AS y FROM e2e GROUP BY {HALF}, {KIND}, {rstep('MonT', 0.2)}),{LOCAL}""",
     f"SELECT g.h AS YrSide, g.k AS PCEType, {r6('a')} AS MonT, {r6('fit')} AS fit FROM fits WHERE i >= 0",
 )
 #: Natural splines in truncated powers of x scaled to the range, solved by Gauss-Jordan steps.
