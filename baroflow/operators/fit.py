@@ -1,8 +1,9 @@
 """Kernel densities and local regression on a fixed evaluation grid.
 
-Data never meet the grid row by row in a shuffle.  Densities count the data in bins much
-narrower than the kernel and reach only the grid points that the kernel does; local regression lets every task turn its rows into partial sums
-per grid point, and only those sums are shuffled.
+Data never meet the grid row by row in a shuffle. Densities in one dimension count the data in
+bins much narrower than the kernel and reach only the grid points that the kernel does; in two
+dimensions, and in local regression, every task turns its rows into partial sums per grid
+point, and only those sums are shuffled.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from baroflow.operators.quantiles import quantiles_of_counts, value_counts
+from baroflow.operators.surfaces import local_surfaces
+from baroflow.plans.staging import stage
 
 # -- kernel densities --------------------------------------------------------------------
 
@@ -99,42 +102,69 @@ def kde_1d(df: DataFrame, column: str, points: int = 512, cut: float = 3.0) -> D
     return rows.groupBy("i", at.alias("x")).agg(F.sum("part").alias("density"))
 
 
-def kde_2d(df: DataFrame, x: str, y: str, points: int = 25) -> DataFrame:
-    """Product-Gaussian density on a ``points`` by ``points`` grid over the data range.
+def _group_spread(known: DataFrame, column: str, factor: float) -> DataFrame:
+    """``k``, range, number of rows and normal-reference bandwidth of a column, per group."""
+    q = quantiles_of_counts(value_counts(known, ["k"], column), ["k"], [0.25, 0.75], ["q1", "q3"])
+    basic = known.groupBy("k").agg(
+        F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"), F.stddev_samp(column).alias("sd")
+    )
+    iqr = (F.col("q3") - F.col("q1")) / 1.34
+    sd, size = F.nullif(F.col("sd"), F.lit(0.0)), F.nullif(F.abs(F.col("lo")), F.lit(0.0))
+    narrow = F.coalesce(F.when(iqr > 0, F.least(sd, iqr)), sd, size, F.lit(1.0))
+    h = narrow * factor * F.pow(F.col("n").cast("double"), F.lit(-0.2))
+    return basic.join(q, "k").select("k", *[c.alias(f"{n}_{column}") for n, c in (("n", F.col("n")), ("lo", F.col("lo")), ("hi", F.col("hi")), ("h", h))])
+
+
+_GROUPS_HELD = 256
+
 
-    Bandwidths are 1.06 min(sd, IQR/1.34) n^-1/5 per axis, with the same fallbacks as in one
-    dimension. A row's kernel on the first axis is evaluated at the grid columns within reach;
-    the weights are added up per column and fine bin of the second axis, and those meet the
-    grid rows within reach. No step depends on the range.
+def kde_2d(df: DataFrame, x: str, y: str, points: int = 25, by: Sequence[str] = ()) -> DataFrame:
+    """Product-Gaussian density on a ``points`` by ``points`` grid over each group's range.
+
+    Bandwidths are 1.06 min(sd, IQR/1.34) n^-1/5 per axis and group, with the same fallbacks as
+    in one dimension. The kernel is a product, so a batch of rows gives two matrices, of grid
+    columns by rows and rows by grid rows, whose product is the batch's part of the grid: two
+    times ``points`` kernel values a row, no binning, and only sums are shuffled.
+    Rows without a value do not count; a null group is a group; no rows give no grid.
     """
-    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
-    )
-    spread_x, spread_y = _spread(known, "x", 1.06, "x"), _spread(known, "y", 1.06, "y")
-    placed = known.select("x", "y", spread_x.scalar().alias("sx"), spread_y.scalar().alias("sy"))
-    lo = {v: F.col(f"s{v}.{v}lo") for v in "xy"}
-    h = {v: F.col(f"s{v}.{v}h") for v in "xy"}
-    step = {v: (F.col(f"s{v}.{v}hi") - lo[v]) / max(points - 1, 1) for v in "xy"}
-    at = {v: lo[v] + step[v] * F.col(i) for v, i in zip("xy", "ij")}
-    columns = (
-        placed.withColumn("i", F.explode(_within_reach(F.col("x"), lo["x"], step["x"], h["x"], points)))
-        .select(
-            "sx", "sy", "i", (_bell((at["x"] - F.col("x")) / h["x"]) / h["x"]).alias("k"),
-            F.explode(_shares(F.col("y"), lo["y"], h["y"])).alias("b"),
-        )
-        .groupBy("sx", "sy", "i", "b.bin").agg(F.sum(F.col("k") * F.col("b.c")).alias("c"))
-    )
-    centre = lo["y"] + F.col("bin") * (h["y"] / _FINE)
-    hits = columns.withColumn("j", F.explode(_within_reach(centre, lo["y"], step["y"], h["y"], points))).select(
-        "sx", "sy", "i", "j",
-        (F.col("c") * _bell((at["y"] - centre) / h["y"]) / (h["y"] * F.col("sx.xn"))).alias("part"),
-    )
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    empty = spread_x.select(
-        F.col("s").alias("sx"), spread_y.scalar().alias("sy"), grid.alias("i")
-    ).withColumn("j", grid)
-    rows = hits.unionByName(empty.where("sx.xn > 0").withColumn("part", F.lit(0.0)))
-    return rows.groupBy("i", "j", at["x"].alias("x"), at["y"].alias("y")).agg(F.sum("part").alias("density"))
+    known = df.select(
+        F.struct(*[F.col(c) for c in by]).alias("k") if by else F.struct(F.lit(0).alias("one")).alias("k"),
+        F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
+    ).dropna(subset=["x", "y"])
+    spread = _group_spread(known, "x", 1.06).join(_group_spread(known, "y", 1.06), "k")
+    spread = stage(spread.withColumn("g", F.monotonically_increasing_id()), "spread")
+    ends = [f"{e}_{v}" for v in "xy" for e in ("lo", "hi", "h")]
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+
+        def hand_on() -> pd.DataFrame:
+            out = pd.DataFrame({"g": list(held), "sums": [m.ravel() for m in held.values()]})
+            held.clear()
+            return out
+
+        share = np.linspace(0.0, 1.0, points)[:, None]
+        for pdf in batches:
+            for g, rows in pdf.groupby("g", sort=False):
+                first = rows.iloc[0]
+                sides = []
+                for v in "xy":
+                    lo, hi, h = first[f"lo_{v}"], first[f"hi_{v}"], first[f"h_{v}"]
+                    u = (lo + (hi - lo) * share - rows[v].to_numpy()[None, :]) / h
+                    sides.append(np.exp(-0.5 * u * u))
+                held[g] = held.get(g, 0.0) + sides[0] @ sides[1].T
+            if len(held) > _GROUPS_HELD:
+                yield hand_on()
+        if held:
+            yield hand_on()
+
+    rows = known.join(spread, "k").select("g", "x", "y", *ends)
+    parts = rows.mapInPandas(part, "g long, sums array<double>").select("g", F.posexplode("sums").alias("cell", "part"))
+    total = parts.groupBy("g", "cell").agg(F.sum("part").alias("sum")).join(spread, "g")
+    i, j = F.floor(F.col("cell") / points).cast("int"), (F.col("cell") % points).cast("int")
+    at = {v: F.col(f"lo_{v}") + (F.col(f"hi_{v}") - F.col(f"lo_{v}")) * n / max(points - 1, 1) for v, n in (("x", i), ("y", j))}
+    density = F.col("sum") / (2 * math.pi) / (F.col("h_x") * F.col("h_y") * F.col("n_x"))
+    return total.select(*[F.col("k")[c].alias(c) for c in by], i.alias("i"), j.alias("j"), at["x"].alias("x"), at["y"].alias("y"), density.alias("density"))
 
 
 # -- local regression ------------------------------------------------------------------------
@@ -307,13 +337,8 @@ def local_surface(
 ) -> DataFrame:
     """POP over temperature and pressure change, fitted per half-year and predicted on a grid.
 
-    ``surface`` is the output of ``pop_surface``, best staged.
+    ``surface`` is the output of ``pop_surface``. Fits are made at vertices and interpolated;
+    ``local_regression`` evaluates every grid point directly.
     """
-    grid = grid_points(axes)
-    out = None
-    for side in ("Jan ~ Jun", "Jul ~ Dec"):
-        one = local_regression(
-            surface.where(F.col("YrSide") == side), ["MonT", "Sum_Press_Delta"], "RainProb", grid, alpha
-        ).select("MonT", "Sum_Press_Delta", F.col("fit").alias("RainProb"), F.lit(side).alias("YrSide"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    fits = local_surfaces(surface, ["MonT", "Sum_Press_Delta"], "RainProb", axes, ["YrSide"], alpha)
+    return fits.select("MonT", "Sum_Press_Delta", F.col("fit").alias("RainProb"), "YrSide")

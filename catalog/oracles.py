@@ -911,3 +911,23 @@ out_ AS (SELECT g, lo + (hi - lo) * i / 79 AS x, list_dot_product(b, be) AS fit,
     f"""SELECT g AS YrSide, {r6("x")} AS MonT, {r6("fit")} AS fit, {r6("se")} AS se,
   {r6(f"fit - se * {_t('df')}")} AS low, {r6(f"fit + se * {_t('df')}")} AS high FROM out_""",
 )
+add(
+    "kde_2d_by_half",
+    D + f""",
+ke AS (SELECT {HALF} AS g, {rstep("MonT", 0.2)} AS x, {rstep("Sum_Press_Delta", 1)} AS y FROM e2e WHERE MonT IS NOT NULL AND Sum_Press_Delta IS NOT NULL),
+st AS (SELECT g, count(*) AS n, {_axis("x", "x")}, {_axis("y", "y")} FROM ke GROUP BY g)""",
+    f"""SELECT g AS YrSide, i, j, {r6("xlo + (xhi - xlo) * i / 24")} AS x, {r6("ylo + (yhi - ylo) * j / 24")} AS y,
+  {r6("sum(exp(-0.5e0 * pow((xlo + (xhi - xlo) * i / 24 - x) / xh, 2)) * exp(-0.5e0 * pow((ylo + (yhi - ylo) * j / 24 - y) / yh, 2))"
+      " / (2 * pi()) / (xh * yh * n))")} AS density
+  FROM ke JOIN st USING (g), range(0, 25) a(i), range(0, 25) b(j) GROUP BY g, i, j, xlo, xhi, ylo, yhi""",
+)
+add(
+    "kde_1d_wet_hours",
+    H + f""",
+ke AS (SELECT pressure_chng_av AS v FROM l WHERE Rain > 0 AND pressure_chng_av IS NOT NULL),
+st AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi,
+  0.9e0 * least(stddev_samp(v), ({quant(0.75, "v")} - {quant(0.25, "v")}) / 1.34e0) * pow(count(*), -0.2e0) AS h FROM ke)""",
+    f"""SELECT i, {r6("lo - 3 * h + (hi - lo + 6 * h) * i / 255")} AS x, {r6(
+        "sum(exp(-0.5e0 * pow((lo - 3 * h + (hi - lo + 6 * h) * i / 255 - v) / h, 2)) / sqrt(2 * pi()) / (h * n))")} AS density
+  FROM ke, st, range(0, 256) t(i) GROUP BY i, lo, hi, h""",
+)

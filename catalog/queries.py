@@ -806,6 +806,21 @@ def kde_2d(spark, sf):
     return fit.kde_2d(e, "Sum_Press_Delta", "Sum_Precip")
 
 
+@query
+def kde_2d_by_half(spark, sf):
+    """Density of events over temperature and pressure change, per half-year."""
+    e = daily_events(spark, sf).select(
+        half_year("Mon").alias("YrSide"), round_step("MonT", 0.2).alias("MonT"), round_step("Sum_Press_Delta").alias("EPC")
+    )
+    return fit.kde_2d(e, "MonT", "EPC", by=["YrSide"])
+
+
+@query
+def kde_1d_wet_hours(spark, sf):
+    """Density of the pressure change over all hours with rain, all stations together."""
+    return fit.kde_1d(hourly(spark, sf).labelled.where("Rain > 0"), "pressure_chng_av", 256)
+
+
 @query
 def local_curve(spark, sf):
     pts = stage(stats.pop_by_epc(daily_events(spark, sf)), "points")

@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from baroflow.operators.curves import choose_penalty, local_curves, regression_spline, t_quantile
+from baroflow.operators.fit import grid_points, kde_2d, local_regression
+from baroflow.operators.surfaces import local_surfaces
+from baroflow.plans.staging import stage
 
 COLUMNS = "half string, `X` double, y double, k long"
 
@@ -126,3 +129,49 @@ def test_penalty_has_the_least_score():
 
     best = choose_penalty(a, b, y @ y, 200, rough)
     assert all(score(best) <= score(best * f) * (1 + 1e-6) for f in (0.01, 0.3, 0.9, 1.1, 3, 100))
+
+
+def test_surface_is_near_the_direct_fit(spark):
+    rng = np.random.default_rng(4)
+    n = 600
+    p = pd.DataFrame({"t": rng.normal(15, 8, n), "p": rng.normal(0, 20, n)})
+    p["z"] = np.clip(0.5 + 0.01 * p.p + 0.01 * p.t * np.sin(p.t / 6) + rng.normal(0, 0.2, n), 0, 1)
+    p["half"] = np.where(np.arange(n) % 2, "a", None)
+    df = stage(spark.createDataFrame([tuple(r) for r in p.itertuples(index=False)], "t double, p double, z double, half string"), "surface")
+    axes = [(0.0, 30.0, 2.0), (-40.0, 40.0, 5.0)]
+    got = local_surfaces(df, ["t", "p"], "z", axes, ["half"]).toPandas()
+    coarse = local_surfaces(df, ["t", "p"], "z", [(0.0, 30.0, 30.0), (-40.0, 40.0, 80.0)], ["half"]).toPandas()
+    assert len(coarse) == 2 * 4 and len(got) == 2 * 16 * 17
+    for half in ("a", None):
+        own = df.where(F.col("half").eqNullSafe(F.lit(half)))
+        want = local_regression(own, ["t", "p"], "z", grid_points(axes), 0.7).toPandas()
+        mine = got[got.half.isna() if half is None else got.half == half].merge(want, on=["t", "p"], suffixes=("", "_direct"))
+        error = (mine.fit - mine.fit_direct).abs()
+        assert len(mine) == 16 * 17 and error.max() < 2e-3 and error.mean() < 3e-4
+        # The vertices, and so the corners, do not depend on the grid's steps.
+        corner = coarse[coarse.half.isna() if half is None else coarse.half == half].merge(want, on=["t", "p"])
+        assert np.allclose(corner.fit_x, corner.fit_y, atol=1e-7)
+
+
+def test_surface_reproduces_a_quadratic_far_from_the_data(spark):
+    rng = np.random.default_rng(1)
+    rows = [(float(a), float(b), float(1 + a - 2 * b + 0.5 * a * b + a * a), "x") for a, b in rng.uniform(-1, 1, (80, 2))]
+    rows += [(None, 1.0, 1.0, "x"), (1.0, 1.0, None, "x"), (3.0, 3.0, 2.0, "one row")]
+    df = spark.createDataFrame(rows, "t double, p double, z double, half string")
+    got = local_surfaces(df, ["t", "p"], "z", [(-4.0, 4.0, 1.0), (-6.0, 6.0, 1.5)], ["half"]).toPandas()
+    mine = got[got.half == "x"]
+    assert np.allclose(mine.fit, 1 + mine.t - 2 * mine.p + 0.5 * mine.t * mine.p + mine.t**2, atol=1e-6)
+    assert local_surfaces(df.limit(0), ["t", "p"], "z", [(0.0, 1.0, 1.0)] * 2, ["half"]).count() == 0
+
+
+def test_density_per_group(spark):
+    p = sample(7, 90)
+    got = kde_2d(frame(spark, p), "X", "y", 5, ["half"]).toPandas()
+    assert len(got) == 4 * 25
+    alone = kde_2d(frame(spark, p[p.half == "a"]), "X", "y", 5).toPandas().sort_values(["i", "j"])
+    own = p[(p.half == "a") & p.x.notna() & p.y.notna()]
+    h = [1.06 * min(v.std(), (np.quantile(v, 0.75) - np.quantile(v, 0.25)) / 1.34) * len(v) ** -0.2 for v in (own.x, own.y)]
+    grid = [np.linspace(v.min(), v.max(), 5) for v in (own.x, own.y)]
+    k = [np.exp(-0.5 * ((g[:, None] - v.to_numpy()) / w) ** 2) / (w * np.sqrt(2 * np.pi)) for g, v, w in zip(grid, (own.x, own.y), h)]
+    want = (k[0] @ k[1].T / len(own)).ravel()
+    assert np.allclose(alone.density, want) and np.allclose(got[got.half == "a"].sort_values(["i", "j"]).density, want)
