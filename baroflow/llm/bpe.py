@@ -138,6 +138,12 @@ class Codec:
         self.word = _Cache(self._word)
         self.spaced = _Cache(lambda piece: self._piece(" " + piece))
 
+    def forget(self) -> None:
+        """Drop the pieces kept so far."""
+        for cache in (self.word, self.spaced):
+            cache.clear()
+            cache.old = {}
+
     def _piece(self, piece: str) -> bytes:
         return b"".join(map(self.word.__getitem__, self.find(piece)))
 
@@ -192,8 +198,8 @@ def bpe(docs: DataFrame, tokenizer: str, text_col: str = "text", decode: bool =
     one id, as in the public tokenizers library without added special tokens. ``decoded`` is
     what the ids stand for, byte sequences that are no UTF-8 replaced. Columns of those names
     are replaced. ``tokenizer`` is the path of the vocabulary on the driver; its text (some
-    megabytes, whatever the data) is broadcast. A worker keeps at most 4 x ``CACHE_WORDS``
-    short pieces.
+    megabytes, whatever the data) is broadcast. A task keeps at most 4 x ``CACHE_WORDS`` short
+    pieces and drops them at its end, as workers live on.
     """
     with open(tokenizer, encoding="utf-8") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -205,13 +211,17 @@ def bpe(docs: DataFrame, tokenizer: str, text_col: str = "text", decode: bool =
 
     def run(batches):
         codec = _codec(name, vocabulary.value)
-        for batch in _slices(batches):
-            texts = batch.column(text_col).to_pylist()
-            ids = [codec.encode(t or "") for t in texts]
-            columns = [batch.column(c) for c in keep]
-            columns += [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
-            if decode:
-                columns.append(pa.array([codec.decode(i) for i in ids], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *[f.name for f in added]])
+        try:
+            for batch in _slices(batches):
+                texts = batch.column(text_col).to_pylist()
+                ids = [codec.encode(t or "") for t in texts]
+                columns = [batch.column(c) for c in keep]
+                columns += [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if decode:
+                    columns.append(pa.array([codec.decode(i) for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *[f.name for f in added]])
+        finally:
+            codec.forget()
+            pa.default_memory_pool().release_unused()
 
     return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
