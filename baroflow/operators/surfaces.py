@@ -20,29 +20,35 @@ from pyspark.sql import functions as F
 from baroflow.functions.numerics import cubic_coefficients
 from baroflow.plans.staging import stage
 
-CELLS = 128  # per axis and group, for the brackets
+CELLS = 64  # per axis and group, for the brackets
 _SUB_BINS = 65536
-_VALUES_PER_PART = 100_000
+_PAIRS_PER_PART = 2_000_000
+_MOST_PARTS = 8192
 _MOST_HALVINGS = 12
 
 
 def _bandwidth(cells: np.ndarray, need: float) -> Callable:
-    """Estimate, and lower and upper bound, of the distance to the ``need``-th nearest row.
+    """Estimate, lower or upper bound of the distance to the ``need``-th nearest row.
 
     ``cells`` has the rows ``x0, x1, y0, y1, n``.
     """
     x0, x1, y0, y1, n = cells
 
-    def bounds(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        out = np.empty((3, len(at)))
+    def reach(distance: Callable, at: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at))
         for i, (x, y) in enumerate(at):
-            near = np.hypot(np.maximum(np.maximum(x0 - x, x - x1), 0), np.maximum(np.maximum(y0 - y, y - y1), 0))
-            middle = np.hypot((x0 + x1) / 2 - x, (y0 + y1) / 2 - y)
-            far = np.hypot(np.maximum(x - x0, x1 - x), np.maximum(y - y0, y1 - y))
-            for row, d in enumerate((middle, near, far)):
-                order = np.argsort(d)
-                out[row, i] = d[order][np.searchsorted(np.cumsum(n[order]), need - 1e-9)]
-        return out[0], out[1], out[2]
+            d = distance(x, y)
+            order = np.argsort(d)
+            out[i] = d[order[np.searchsorted(np.cumsum(n[order]), need - 1e-9)]]
+        return out
+
+    def bounds(at: np.ndarray, kind: str) -> np.ndarray:
+        distance = {
+            "estimate": lambda x, y: np.hypot((x0 + x1) / 2 - x, (y0 + y1) / 2 - y),
+            "low": lambda x, y: np.hypot(np.maximum(np.maximum(x0 - x, x - x1), 0), np.maximum(np.maximum(y0 - y, y - y1), 0)),
+            "high": lambda x, y: np.hypot(np.maximum(x - x0, x1 - x), np.maximum(y - y0, y1 - y)),
+        }
+        return reach(distance[kind], at)
 
     return bounds
 
@@ -52,7 +58,7 @@ def _breaks(axis: int, first: float, last: float, other: np.ndarray, bounds: Cal
 
     def width(v: float) -> float:
         at = np.stack([np.full(len(other), v), other] if axis == 0 else [other, np.full(len(other), v)], 1)
-        return float(bounds(at)[0].min())
+        return float(bounds(at, "estimate").min())
 
     known = {first: width(first), last: width(last)}
     out, waiting = [first], [(first, last, 0)]
@@ -143,7 +149,7 @@ def local_surfaces(
                     for axis in (0, 1)
                 ]
                 at = np.array([(a, b) for a in breaks[0] for b in breaks[1]])
-                _, low, high = bounds(at)
+                low, high = bounds(at, "low"), bounds(at, "high")
                 box = [("x", row.min_x, row.max_x), ("y", row.min_y, row.max_y)]
                 yield pd.DataFrame({"key": row.key, "e": np.arange(len(at)), "ax": at[:, 0], "ay": at[:, 1], "low": low, "high": high, "need": need,
                                     **{f"c{v}": (b + a) / 2 for v, a, b in box}, **{f"h{v}": (b - a) / 2 or 1.0 for v, a, b in box}})
@@ -151,8 +157,9 @@ def local_surfaces(
     flat = tables.select(to_json, *[c for c in tables.columns if c != "k"])
     at = flat.mapInPandas(vertices, "key string, e long, ax double, ay double, low double, high double, need long, cx double, cy double, hx double, hy double")
     at = stage(at.withColumn("k", from_json).drop("key"), "vertices")
-    salts = max(1, -(-values.count() // _VALUES_PER_PART))
-    salted = values.withColumn("salt", F.pmod(F.xxhash64("x", "y"), F.lit(salts)))
+    # As many parts as the pairs call for, not as the few bytes of the values would.
+    salts = min(max(1, -(-values.count() * at.count() // _PAIRS_PER_PART)), _MOST_PARTS)
+    salted = values.withColumn("salt", F.pmod(F.xxhash64("x", "y"), F.lit(salts))).repartition(salts, "salt")
 
     def pairs(vertex: DataFrame) -> DataFrame:
         copies = vertex.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
