@@ -931,3 +931,9 @@ st AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi,
         "sum(exp(-0.5e0 * pow((lo - 3 * h + (hi - lo + 6 * h) * i / 255 - v) / h, 2)) / sqrt(2 * pi()) / (h * n))")} AS density
   FROM ke, st, range(0, 256) t(i) GROUP BY i, lo, hi, h""",
 )
+add(
+    "local_curve",
+    D + f""",
+pt AS (SELECT 0 AS g, {rstep("Sum_Press_Delta", 20)} AS x, {RAIN_SHARE} AS y FROM e2e GROUP BY 2),{LOCAL}""",
+    f"SELECT {r6('a')} AS Evt_Press_chng, {r6('fit')} AS fit FROM fits WHERE i >= 0",
+)
