@@ -17,27 +17,27 @@ from baroflow.plans.staging import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; null and empty texts are scored too, null ids stay."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with equal text stays."""
+    """One document of each group with equal text stays; null and empty texts are one group, rows that repeat an id share their fate."""
     return drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with similar shingle sets stays."""
+    """One document of each group with similar shingle sets stays; documents without words are linked with nothing and stay."""
     return keep_one_of_each(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their mixed weights: a row for each time a document is read."""
+    """Sources at their mixed weights: a row for each time a document is read; a null source is one of its own."""
     return mix(docs).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed token ids of every document, and whether they decode to the text."""
+    """Packed token ids of every document, and whether they decode to the text; null is empty. No rows give none, in every stage."""
     coded = bpe(docs, vocabulary_path())
     return coded.select(
         "doc_id",
@@ -58,7 +58,7 @@ STAGES = [
     ("BPE encoding and decoding", tokens),
 ]
 
-#: No SQL can express the classifier or the codec; tests compare with a brute-force version.
+#: No SQL can express the classifier or the codec; the stages' operators have tests of their own.
 ORACLE_SQL = None
 
 
