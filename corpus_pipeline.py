@@ -58,7 +58,7 @@ STAGES = [
     ("BPE encoding and decoding", tokens),
 ]
 
-#: No SQL can express the classifier or the codec; the stages' operators have tests of their own.
+#: No SQL can express the classifier or the codec; tests compare the stages with plain Python.
 ORACLE_SQL = None
 
 
