@@ -661,6 +661,63 @@ pb AS (SELECT *, {snap('ln(mean) - log_mean', 12)} AS a FROM pa),
 pc AS (SELECT *, CASE WHEN a > 1e-9 THEN (sqrt(a * 4e0 / 3e0 + 1e0) + 1e0) / (a * 4e0) END AS shape FROM pb)""",
     f"SELECT Location, doy, n, {r6('zero_share')} AS zero_share, {r6('shape')} AS shape, {r6('mean / shape')} AS scale FROM pc",
 )
+
+
+def _normal(v: str) -> str:
+    """Normal distribution function by its power series: half, and the density times v + v^3/3 + v^5/15 + ..."""
+    term = "exp((2 * n + 1) * ln(greatest(abs({v}), 1e-300)) - lgamma(2 * n + 2) + n * ln(2) + lgamma(n + 1))"
+    total = f"list_sum(list_transform(range(0, 120), lambda n: {term.format(v=v)}))"
+    return f"(0.5e0 + sign({v}) * exp(-{v} * {v} / 2) / sqrt(2 * pi()) * {total})"
+
+
+def index_ctes(keys: str) -> str:
+    """The precipitation index into ``spi``: gamma mass by its power series, normal quantile by Newton steps."""
+    return ROLL + f""",
+dy AS (SELECT *, CAST(dayofyear(Time_SPI) AS INT) AS doy FROM ro),
+pa AS (SELECT {keys}, sum(CASE WHEN rain_sum = 0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS zero,
+  avg(CASE WHEN rain_sum > 0 THEN rain_sum END) AS mean,
+  avg(CASE WHEN rain_sum > 0 THEN ln(CASE WHEN rain_sum > 0 THEN rain_sum END) END) AS log_mean
+  FROM dy WHERE rain_sum IS NOT NULL GROUP BY {keys}),
+pb AS (SELECT *, {snap('ln(mean) - log_mean', 12)} AS a FROM pa),
+pc AS (SELECT *, CASE WHEN a > 1e-9 THEN (sqrt(a * 4e0 / 3e0 + 1e0) + 1e0) / (a * 4e0) END AS s FROM pb),
+ask AS (SELECT Location, Time_SPI, rain_sum, zero, s, CASE WHEN rain_sum > 0 THEN rain_sum * s / mean END AS z
+  FROM dy LEFT JOIN pc USING ({keys}) WHERE year(Time_SPI) BETWEEN 1995 AND 2001),
+mass AS (SELECT *, CASE WHEN rain_sum = 0 THEN 0e0 ELSE least(1e0, list_sum(list_transform(
+  range(0, CAST(greatest(z - s, 0) + 10 * sqrt(greatest(z, s)) + 100 AS BIGINT)),
+  lambda n: exp((s + n) * ln(z) - z - lgamma(s + n + 1))))) END AS g FROM ask),
+pr AS (SELECT *, zero + (1 - zero) * g AS p FROM mass),
+spi AS (SELECT Location, Time_SPI AS time_stamp, rain_sum, CASE WHEN p > 0 AND p < 1 THEN list_reduce(range(0, 12),
+  lambda v, i: v - ({_normal("v")} - p) / (exp(-v * v / 2) / sqrt(2 * pi())),
+  (pow(p, 0.135e0) - pow(1 - p, 0.135e0)) / 0.1975e0) END AS value FROM pr)"""
+
+
+INDEX = index_ctes("Location, doy") + "," + daily_cte("r", "raw")
+for key, ctes in (("spi_daily", INDEX), ("spi_daily_pooled", index_ctes("doy"))):
+    add(key, ctes, f"SELECT Location, time_stamp, {r6('rain_sum')} AS rain_sum, {r6('value')} AS value FROM spi")
+INDEX_DAYS = INDEX + """,
+sj AS (SELECT spi.*, Day_rain, Day_Pressure_chng_av, Temp_dew_diff FROM spi
+  LEFT JOIN raw ON raw.Location = spi.Location AND raw.Time_SPI = spi.time_stamp)"""
+add(
+    "join_spi_daily",
+    INDEX_DAYS,
+    "SELECT Location, time_stamp, "
+    + ", ".join(f"{r6(c)} AS {c}" for c in ("value", "Day_rain", "Day_Pressure_chng_av", "Temp_dew_diff"))
+    + " FROM sj",
+)
+add(
+    "weekly_spi",
+    INDEX_DAYS + f""",
+ws AS (SELECT Location, year(time_stamp) AS Yr, month(time_stamp) AS Mon, (dayofyear(time_stamp) - 1) // 7 + 1 AS Wk, avg(value) AS a,
+  {snap("coalesce(sum(Day_Pressure_chng_av), 0e0)")} AS p, {snap("coalesce(sum(Temp_dew_diff), 0e0)")} AS d FROM sj GROUP BY 1, 2, 3, 4)""",
+    f"""SELECT Location, Yr, Mon, Wk, {r6("a")} AS spi_av, {r6("p")} AS pre_sum, {r6("d")} AS diff_T_D,
+  {fstep("d", 40)} AS dew_band FROM ws WHERE p <> 0""",
+)
+add(
+    "monthly_spi",
+    INDEX_DAYS,
+    f"""SELECT Location, year(time_stamp) AS Yr, month(time_stamp) AS Mon, {r6(strict("avg", "value"))} AS SPI,
+  {r6(strict("avg", "Day_Pressure_chng_av"))} AS pressure_chng, {r6(strict("avg", "Temp_dew_diff"))} AS temp_dew FROM sj GROUP BY 1, 2, 3""",
+)
 add(
     "gap_census",
     HOURLY_READINGS + """,
