@@ -46,17 +46,13 @@ def fill_and_pad(
         raise ValueError(f"unknown method {method!r}")
     columns = columns or {"Pressure_hPa": "pressure_spl"}
     src = buckets.select(STATION, STEP, *measures)
-    knots, extra = {}, []
+    if method == "spline":
+        src = _with_cubics(src, list(columns))
+    knots = {}
     for c in columns:
         fields = [F.col(STEP).alias("s"), F.col(c).alias("y")]
         if method == "spline":
-            coef = spline_coefficients(
-                src.where(F.col(c).isNotNull()).select(STATION, STEP, F.col(c).alias("y"))
-            )
-            mine = {k: f"{k}_{c}" for k in ("_b", "_c", "_d")}
-            src = src.join(coef.withColumnsRenamed(mine), [STATION, STEP], "left")
-            fields += [F.col(v).alias(k) for k, v in mine.items()]
-            extra += mine.values()
+            fields += [F.col(f"_at_{c}.{k}").alias(k) for k in ("_b", "_c", "_d")]
         knots[c] = (F.struct(*fields), F.col(c).isNotNull())
     linked = neighbour_rows(
         src,
@@ -65,7 +61,7 @@ def fill_and_pad(
         inclusive=[f"_prev_{c}" for c in knots],
         size=block_steps,
     )
-    grid = explode_steps(linked.drop(*extra), measures)
+    grid = explode_steps(linked.drop(*[f"_at_{c}" for c in columns]), measures)
     filled = {}
     for c, out in columns.items():
         p, n, s = F.col(f"_prev_{c}"), F.col(f"_next_{c}"), F.col(STEP)
@@ -77,6 +73,34 @@ def fill_and_pad(
     return grid.withColumns(filled).drop(*[f"_{d}_{c}" for d in ("prev", "next") for c in columns])
 
 
+def _with_cubics(src: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds the cubic ``_at_<column>`` of every known value, where one is needed.
+
+    Several columns are stacked as series of their own, so that one solve and one join back
+    serve all of them.
+    """
+    if len(columns) == 1:
+        known = src.where(F.col(columns[0]).isNotNull()).select(STATION, STEP, F.col(columns[0]).alias("y"))
+        of = F.struct("_b", "_c", "_d")
+        coef = spline_coefficients(known).select(STATION, STEP, of.alias(f"_at_{columns[0]}"))
+        return src.join(coef, [STATION, STEP], "left")
+    # The column's number leads the key of its series, at a fixed width.
+    values = F.array(*[F.struct(F.lit(f"{i:04d}").alias("i"), F.col(c).alias("y")) for i, c in enumerate(columns)])
+    stacked = src.select(STATION, STEP, F.inline(values)).where(F.col("y").isNotNull())
+    coef = spline_coefficients(stacked.select(F.concat("i", STATION).alias(STATION), STEP, "y"))
+    number = F.substring(STATION, 1, 4).cast("int")
+    picks = [
+        F.max(F.when(F.col("_i") == i, F.struct("_b", "_c", "_d"))).alias(f"_at_{c}") for i, c in enumerate(columns)
+    ]
+    wide = (
+        coef.withColumn("_i", number)
+        .withColumn(STATION, F.expr(f"substring({STATION}, 5)"))
+        .groupBy(STATION, STEP)
+        .agg(*picks)
+    )
+    return src.join(wide, [STATION, STEP], "left")
+
+
 def _line(p: Column, n: Column, s: Column) -> Column:
     return p["y"] + (n["y"] - p["y"]) * (s - p["s"]).cast("double") / (n["s"] - p["s"]).cast("double")
 
@@ -250,22 +274,26 @@ def harmonic_normal_equations(changes: DataFrame, period: float = 24.0) -> DataF
 
 
 def harmonic_profile(changes: DataFrame, period: float = 24.0) -> DataFrame:
-    """Fitted change per hour of day as ``profile`` (array of 24) for each station."""
+    """Fitted change per hour of day as ``profile`` (array of 24) for each station.
+
+    ``period`` is in hours and divides a day.
+    """
+    if (24 / period) % 1:
+        raise ValueError(f"a day is no multiple of {period} hours")
     eq = harmonic_normal_equations(changes, period)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hours = np.arange(24) * 2.0 * np.pi / period
         design = np.stack([np.ones(24), np.sin(hours), np.cos(hours), np.sin(2 * hours), np.cos(2 * hours)], axis=1)
         for pdf in batches:
-            rows = []
-            for rec in pdf.to_dict("records"):
-                m = np.empty((5, 5))
-                for i, a in enumerate(HARMONICS):
-                    for j, b in enumerate(HARMONICS[i:], i):
-                        m[i, j] = m[j, i] = rec[f"{a}_{b}"]
-                rhs = np.array([rec[f"{a}_y"] for a in HARMONICS])
-                rows.append(design @ np.linalg.lstsq(m, rhs, rcond=None)[0])
-            yield pd.DataFrame({STATION: pdf[STATION], "profile": rows})
+            m = np.empty((len(pdf), 5, 5))
+            for i, a in enumerate(HARMONICS):
+                for j, b in enumerate(HARMONICS[i:], i):
+                    m[:, i, j] = m[:, j, i] = pdf[f"{a}_{b}"]
+            rhs = pdf[[f"{a}_y" for a in HARMONICS]].to_numpy(np.float64)
+            # The least-norm solution where the hours seen cannot tell all terms apart.
+            fitted = np.einsum("nij,nj->ni", np.linalg.pinv(m, rcond=1e-12, hermitian=True), rhs) @ design.T
+            yield pd.DataFrame({STATION: pdf[STATION], "profile": list(fitted)})
 
     return eq.mapInPandas(solve, f"{STATION} string, profile array<double>")
 
@@ -280,24 +308,33 @@ def harmonic_fill(
 ) -> DataFrame:
     """Fill missing stretches with a start value plus the accumulated hourly profile.
 
-    The start value is the last known value before the stretch, or ``base``.  As in a
-    cure plot, ``out`` is set on missing rows and on their known neighbours only.  The
+    The start value is the last known value before the stretch, or ``base``.  A stretch at
+    the start of a series has no value before it: it stays empty, or starts from ``base``.
+    As in a cure plot, ``out`` is set on missing rows and on their known neighbours only.  The
     accumulated profile over a stretch is whole days times the daily total plus a part
     of a day, so a stretch of any length needs no running window.
     """
     profile = harmonic_profile(hourly_change(series, column, block_steps), period)
     v = F.col(column)
+    known = F.struct(F.col(STEP).alias("s"), v.alias("v"), F.hour("Time").alias("h"))
+    if base is not None:
+        # The step before a series begins, as if its value were known.
+        first = F.struct((F.min(STEP) - 1).alias("s"), F.pmod(F.min_by(F.hour("Time"), STEP) - 1, F.lit(24)).alias("h"))
+        profile = profile.join(series.groupBy(STATION).agg(first.alias("_first")), STATION)
     near = neighbour_rows(
         series,
-        previous={
-            "_known": (F.struct(F.col(STEP).alias("s"), v.alias("v"), F.hour("Time").alias("h")), v.isNotNull()),
-            "_first": (F.struct(F.col(STEP).alias("s"), F.hour("Time").alias("h")), None),
-            "_before": (F.struct(v.alias("v")), None),
-        },
+        previous={"_known": (known, v.isNotNull()), "_before": (F.struct(v.alias("v")), None)},
         following={"_after": (F.struct(v.alias("v")), None)},
         inclusive=("_known",),
         size=block_steps,
     ).join(profile, STATION, "left")
+    if base is not None:
+        near = near.withColumn(
+            "_known",
+            F.when(F.col("_known").isNotNull(), F.col("_known")).otherwise(
+                F.struct(F.col("_first.s").alias("s"), F.lit(float(base)).alias("v"), F.col("_first.h").alias("h"))
+            ),
+        )
     gap = F.col(STEP) - F.col("_known.s")
     # Hours h+1 .. h+gap after the last known hour h.
     total = F.aggregate("profile", F.lit(0.0), lambda a, x: a + x)

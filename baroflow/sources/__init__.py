@@ -2,6 +2,7 @@ from baroflow.sources.cmi_text import parse_cmi_lines, read_cmi_csv, read_cmi_te
 from baroflow.sources.isd_text import (  # noqa: F401
     clean_isd,
     isd_readings,
+    isd_rejects,
     read_isd_text,
     station_table,
     unite_time,

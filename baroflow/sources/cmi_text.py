@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from baroflow.functions.dates import monday_of_week
+from baroflow.sources.rejects import counted
 from baroflow.sources.station_csv import number, text_time
 
 # File-name patterns of the two line layouts.
@@ -24,11 +25,16 @@ DISTRICTS = {
 }
 
 
-def read_cmi_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines with the layout that the file name tells; files of no known name are left out."""
+def read_cmi_text(spark: SparkSession, path: str | list[str], counts: Observation | None = None) -> DataFrame:
+    """Lines with the layout that the file name tells; files of no known name are left out.
+
+    ``counts`` receives ``lines`` and ``unknown_file`` (lines left out).
+    """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     layout = F.when(F.col("file").rlike(LAYOUT_2), F.lit(2)).when(F.col("file").rlike(LAYOUT_1), F.lit(1))
-    return lines.select("value", layout.alias("layout")).where(F.col("layout").isNotNull())
+    lines = lines.select("value", layout.alias("layout"))
+    lines = counted(lines, counts, lines=F.lit(True), unknown_file=F.col("layout").isNull())
+    return lines.where(F.col("layout").isNotNull())
 
 
 def _tokens(text: Column, limit: int = -1) -> Column:
@@ -39,12 +45,13 @@ def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def parse_cmi_lines(lines: DataFrame) -> DataFrame:
+def parse_cmi_lines(lines: DataFrame, counts: Observation | None = None) -> DataFrame:
     """``id`` and ``CMI`` of every line whose id has at most ten characters.
 
     A full stop followed by two blanks parts a line.  The index is the fourth token from
     the right end.  On the left, a one-digit week stands apart from the id and is glued
     on with a zero.  A line that is not blank but has no second token is an error.
+    ``counts`` receives ``parsed``, ``blank`` and ``long_id`` (the latter two left out).
     """
     halves = F.split(_strip(F.col("value")), r"\.  ")
     left, right = F.element_at(halves, 1), _tokens(_strip(F.element_at(halves, -1)))
@@ -58,13 +65,17 @@ def parse_cmi_lines(lines: DataFrame) -> DataFrame:
     ).when(second2.isNotNull(), two[0])
     bad = F.raise_error(F.concat(F.lit("line without a second token: "), F.col("value")))
     ident = F.when(_strip(F.col("value")) != "", F.coalesce(F.when(F.col("layout") == 2, newer).otherwise(older), bad))
-    return lines.select(ident.alias("id"), cmi.alias("CMI")).where(F.length("id") <= 10)
+    out = lines.select(ident.alias("id"), cmi.alias("CMI"))
+    out = counted(out, counts, parsed=F.lit(True), blank=F.col("id").isNull(), long_id=F.length("id") > 10)
+    return out.where(F.length("id") <= 10)
 
 
-def station_records(parsed: DataFrame) -> DataFrame:
+def station_records(parsed: DataFrame, counts: Observation | None = None) -> DataFrame:
     """Dated index values of the stations of one state: ``ymd_hms, location, CMI``.
 
     Weeks above 52 are dropped.  A district missing from the table is an error.
+    ``counts`` receives ``records`` (of all states), ``other_state`` and ``late_week`` (the latter
+    two left out).
     """
     ident = F.col("id")
     code = F.substring(ident, 1, 3)
@@ -75,11 +86,12 @@ def station_records(parsed: DataFrame) -> DataFrame:
     stamp = F.when(F.length(ident) == 7, F.concat(F.lit("19"), F.right(ident, F.lit(4)))).otherwise(
         F.right(ident, F.lit(6))
     )
+    own = ident.rlike(STATE_PREFIX)
+    week = F.when(own, F.substring("_stamp", 5, 2)).cast("int")
+    dated = parsed.withColumn("_stamp", stamp).withColumn("_week", week)
+    dated = counted(dated, counts, records=F.lit(True), other_state=~own, late_week=F.col("_week") > 52)
     return (
-        parsed.where(ident.rlike(STATE_PREFIX))
-        .withColumn("_stamp", stamp)
-        .withColumn("_week", F.substring("_stamp", 5, 2).cast("int"))
-        .where(F.col("_week") <= 52)
+        dated.where(F.col("_week") <= 52)
         .select(
             F.date_format(
                 monday_of_week(F.substring("_stamp", 1, 4).cast("int"), F.col("_week")), "yyyy-MM-dd 00:00:00"

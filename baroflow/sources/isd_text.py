@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from baroflow.schema import STATION, TIME
+from baroflow.sources.rejects import counted
 
 # Field names in file order.
 FIELDS = (
@@ -27,23 +28,52 @@ STATIONS = [
 BAD_FLAGS = ["2", "3", "6", "7"]
 
 
-def read_isd_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Data lines of every file; banner lines are known by a date field that is not eight digits.
+BANNER_LINES = 2
 
-    Fields are read as text, so codes keep their leading zeros; station ids may hold letters
-    and lose theirs. The trailing field is dropped.
+
+def _no_date(date: Column) -> Column:
+    return ~F.coalesce(date.rlike("^[0-9]{8}$"), F.lit(False))
+
+
+def read_isd_text(spark: SparkSession, path: str | list[str], counts: Observation | None = None) -> DataFrame:
+    """Data lines of every file; lines whose date field is not eight digits are left out.
+
+    Those are the banner lines, and broken data lines: ``counts`` receives ``lines`` and
+    ``without_date``, and ``isd_rejects`` lists the ones that are no banner.  Fields are read
+    as text, so codes keep their leading zeros; station ids may hold letters and lose
+    theirs. The trailing field is dropped.
     """
     schema = T.StructType([T.StructField(f, T.StringType()) for f in [*FIELDS, "_rest"]])
     raw = spark.read.schema(schema).option("ignoreLeadingWhiteSpace", True).option(
         "ignoreTrailingWhiteSpace", True
     ).csv(path)
-    rows = raw.where(F.col("Date").rlike("^[0-9]{8}$")).drop("_rest")
+    bad = _no_date(F.col("Date"))
+    rows = counted(raw, counts, lines=F.lit(True), without_date=bad).where(~bad).drop("_rest")
     return rows.withColumns(
         {c: F.col(c).try_cast("double") for c in NUMERIC}
         | {c: F.regexp_replace(c, "^0+(?=.)", "") for c in ("USAF", "NCDC")}
     )
 
 
+def isd_rejects(spark: SparkSession, path: str | list[str], banner_lines: int = BANNER_LINES) -> DataFrame:
+    """Lines that ``read_isd_text`` leaves out and that are no banner: ``file, value``.
+
+    A banner stands on the first ``banner_lines`` lines of its file.  The rows of a file's first
+    split are numbered in file order, so that only the lines without a date, and one row a
+    file, are joined.  Blank lines count as no line.
+    """
+    text = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
+    )
+    head = text.groupBy("file").agg(F.min(F.when(F.col("block") == 0, F.col("line"))).alias("first"))
+    bad = text.where(_no_date(F.trim(F.get(F.split("value", ",", 4), F.lit(2)))) & (F.trim("value") != ""))
+    late = (F.col("block") > 0) | (F.col("line") - F.col("first") >= banner_lines)
+    return bad.join(head, "file").where(late).select("file", "value")
+
+
 def station_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(str(a), str(b), name) for a, b, name in STATIONS], "USAF string, NCDC string, Location string")
 

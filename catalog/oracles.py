@@ -74,16 +74,60 @@ s AS (SELECT g.Location, g.step, make_timestamp(g.step * {us}) AS Time, {", ".jo
   FROM g LEFT JOIN b ON b.Location = g.Location AND b.step = g.step)"""
 
 
-def smooth_ctes(readings: str, minutes: int, measures=MEASURES) -> str:
-    return grid_ctes(readings, minutes, measures) + f""",
-k AS (SELECT *, max(CASE WHEN Pressure_hPa IS NOT NULL THEN step END) OVER
-    (PARTITION BY Location ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ps,
-  min(CASE WHEN Pressure_hPa IS NOT NULL THEN step END) OVER
-    (PARTITION BY Location ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ns FROM s),
+def edges(column: str, p: str = "") -> str:
+    """Steps of the last and the next known value, ``{p}ps`` and ``{p}ns``, over windows ``a`` and ``z``."""
+    known = f"CASE WHEN {column} IS NOT NULL THEN step END"
+    return f"max({known}) OVER a AS {p}ps, min({known}) OVER z AS {p}ns"
+
+
+EDGES = """a AS (PARTITION BY Location ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  z AS (PARTITION BY Location ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""
+
+
+def spline_ctes(column: str, p: str = "") -> str:
+    """Cubics at the known points of ``b`` into ``{p}co``: one sweep down the whole series, one back."""
+    w = "WINDOW w AS (PARTITION BY Location ORDER BY k)"
+    return f"""
+{p}kn AS (SELECT Location, step, CAST(step AS DOUBLE) AS x, {column} AS y, row_number() OVER w AS k, count(*) OVER (PARTITION BY Location) AS n,
+  lead(CAST(step AS DOUBLE)) OVER w - step AS h, (lead({column}) OVER w - {column}) / (lead(step) OVER w - step) AS sl
+  FROM b WHERE {column} IS NOT NULL WINDOW w AS (PARTITION BY Location ORDER BY step)),
+{p}k2 AS (SELECT *, lag(h) OVER w AS hp, lag(sl) OVER w AS sp, (lead(sl) OVER w - sl) / (lead(x, 2) OVER w - x) AS dd FROM {p}kn {w}),
+{p}k3 AS (SELECT *, coalesce((lead(dd) OVER w - dd) / (lead(x, 3) OVER w - x), 0e0) AS ddd FROM {p}k2 {w}),
+{p}eq AS (SELECT Location, k, CASE WHEN k = 1 THEN 0e0 ELSE hp END AS low, CASE WHEN k = n THEN 0e0 ELSE h END AS up,
+  CASE WHEN k = 1 THEN -h WHEN k = n THEN -hp ELSE 2 * (hp + h) END AS diag,
+  CASE WHEN k = 1 THEN h * h * ddd WHEN k = n THEN -hp * hp * coalesce(lag(ddd, 3) OVER w, 0e0) ELSE sl - sp END AS rhs
+  FROM {p}k3 WHERE n > 2 {w}),
+{p}fw AS (SELECT Location, k, up / diag AS c, rhs / diag AS d FROM {p}eq WHERE k = 1
+  UNION ALL SELECT e.Location, e.k, up / (diag - low * f.c), (rhs - low * f.d) / (diag - low * f.c)
+  FROM {p}fw f JOIN {p}eq e ON e.Location = f.Location AND e.k = f.k + 1),
+{p}bw AS (SELECT Location, k, d AS m FROM {p}fw JOIN (SELECT Location, max(k) AS k FROM {p}eq GROUP BY 1) USING (Location, k)
+  UNION ALL SELECT f.Location, f.k, f.d - f.c * g.m FROM {p}bw g JOIN {p}fw f ON f.Location = g.Location AND f.k = g.k - 1),
+{p}mm AS (SELECT kn.*, coalesce(m, 0e0) AS m FROM {p}k2 kn LEFT JOIN {p}bw USING (Location, k)),
+{p}mn AS (SELECT *, lead(m) OVER w AS mnx, lag(m) OVER w AS mp FROM {p}mm {w}),
+{p}co AS (SELECT Location, step, y, 3 * m AS c2, CASE WHEN k < n THEN sl - h * (mnx + 2 * m) ELSE sp + hp * (mp + 2 * m) END AS c1,
+  CASE WHEN k < n THEN (mnx - m) / h ELSE (m - mp) / hp END AS c3 FROM {p}mn)"""
+
+
+def cubic(known: str, step: str, at: str) -> str:
+    t = f"CAST({step} - {at}.step AS DOUBLE)"
+    return f"coalesce({known}, {at}.y + {t} * ({at}.c1 + {t} * ({at}.c2 + {t} * {at}.c3)))"
+
+
+def smooth_ctes(readings: str, minutes: int, measures=MEASURES, fill: str = "linear") -> str:
+    """With ``fill='spline'`` the statement needs WITH RECURSIVE."""
+    ends = f"""
+k AS (SELECT *, {edges("Pressure_hPa")} FROM s WINDOW {EDGES}),"""
+    if fill == "linear":
+        filled = """
 f AS (SELECT k.*, coalesce(k.Pressure_hPa, p.Pressure_hPa + (n.Pressure_hPa - p.Pressure_hPa)
     * CAST(k.step - k.ps AS DOUBLE) / CAST(k.ns - k.ps AS DOUBLE)) AS pressure_spl
   FROM k LEFT JOIN b p ON p.Location = k.Location AND p.step = k.ps
-         LEFT JOIN b n ON n.Location = k.Location AND n.step = k.ns),
+         LEFT JOIN b n ON n.Location = k.Location AND n.step = k.ns),"""
+    else:
+        filled = spline_ctes("Pressure_hPa") + f""",
+f AS (SELECT k.*, {cubic("k.Pressure_hPa", "k.step", "co")} AS pressure_spl
+  FROM k LEFT JOIN co ON co.Location = k.Location AND co.step = coalesce(k.ps, k.ns)),"""
+    return grid_ctes(readings, minutes, measures) + "," + ends + filled + f"""
 m AS (SELECT *, CASE WHEN count(pressure_spl) OVER w = 24 THEN avg(pressure_spl) OVER w END AS pressure_av FROM f
   WINDOW w AS (PARTITION BY Location ORDER BY step ROWS BETWEEN 11 PRECEDING AND 12 FOLLOWING)),
 c AS (SELECT *, {snap("pressure_av - lag(pressure_av, 24) OVER (PARTITION BY Location ORDER BY step)")} AS pressure_chng_av
@@ -153,11 +197,11 @@ def event_ctes(src: str, p: str, pooled: bool = False) -> str:
   FROM {p}d LEFT JOIN {p}m USING ({keys}) WINDOW o AS (PARTITION BY Location ORDER BY St))"""
 
 
-def full_ctes(readings: str, minutes: int, gap_min: float, recurrent=None, measures=MEASURES) -> str:
+def full_ctes(readings: str, minutes: int, gap_min: float, recurrent=None, measures=MEASURES, fill: str = "linear") -> str:
     """Everything: series ``l``, gaps ``gp``, events ``e1e`` before and ``e2e`` after gap removal, series ``l3``."""
     return ",".join(
         [
-            smooth_ctes(readings, minutes, measures),
+            smooth_ctes(readings, minutes, measures, fill),
             rain_ctes("c"),
             LABELS,
             gaps_cte(gap_min, recurrent),
@@ -229,6 +273,23 @@ f AS (SELECT *, j1 + CAST((8 - isodow(j1)) % 7 AS INT) AS first FROM j)""",
   ELSE 'Key West' END AS location, cmi AS CMI,
   strftime(CASE WHEN w = 0 AND first = j1 THEN j1 ELSE first + CAST((w - 1) * 7 AS INT) END, '%Y-%m-%d 00:00:00') AS ymd_hms FROM f""",
 )
+add(
+    "scan_cmi_csv",
+    "",
+    f"SELECT location, CAST(CMI AS DOUBLE) AS CMI, CAST(ymd_hms AS TIMESTAMP) AS ymd_hms FROM ({ORACLES['cmi_parse']})",
+)
+add(
+    "isd_rejects",
+    "",
+    """SELECT ['725090', '999999', '724080', '999999', '725030'][CAST(user_id % 5 AS INT) + 1] AS USAF,
+  ['14739', '13739', '13739', '14732', '14732'][CAST(user_id % 5 AS INT) + 1] AS NCDC,
+  strftime(ts, '%Y%m') AS "Date", strftime(ts, '%H%M') AS HrMn FROM events WHERE event_id % 29 = 0""",
+)
+add(
+    "pce_curated_events",
+    "RECURSIVE " + full_ctes(HOURLY_READINGS, 60, 240, (60, 240, 100), fill="spline"),
+    f"SELECT {EVENT_COLS} FROM e2e",
+)
 add("sink_csv", H, f'SELECT Location, Press_Evt_lab, St, "End", {r6("Dur")} AS Dur, {r6("Sum_Press_Delta")} AS Sum_Press_Delta FROM e2e')
 add(
     "dim_lookup",
@@ -835,6 +896,25 @@ add(
     D_SMOOTH,
     f"SELECT Location, Time, {r6('Pressure_hPa')} AS Pressure_hPa, {r6('pressure_spl')} AS pressure_spl FROM f",
 )
+add(
+    "spline_fill",
+    "RECURSIVE " + smooth_ctes(DAILY_READINGS, 1440, fill="spline"),
+    f"SELECT Location, Time, {r6('Pressure_hPa')} AS Pressure_hPa, {r6('pressure_spl')} AS pressure_spl FROM f",
+)
+_splines = ",".join(spline_ctes(c, f"{n}_") for c, n in _vars.items())
+_cubics = ", ".join(f"{cubic(f'k.{c}', 'k.step', f'{n}_co')} AS {n}_spl" for c, n in _vars.items())
+_ends = ", ".join(edges(c, f"{n}_") for c, n in _vars.items())
+_at = "".join(
+    f"\n  LEFT JOIN {n}_co ON {n}_co.Location = k.Location AND {n}_co.step = coalesce(k.{n}_ps, k.{n}_ns)" for n in _vars.values()
+)
+add(
+    "smooth_variables_spline",
+    "RECURSIVE " + H_GRID + "," + _splines + f""",
+k AS (SELECT *, {_ends} FROM s WINDOW {EDGES}),
+f AS (SELECT k.Location, k.step, k.Time, {_cubics} FROM k{_at})""",
+    f"""SELECT Location, Time, {_avs} FROM f
+  WINDOW w AS (PARTITION BY Location ORDER BY step ROWS BETWEEN 11 PRECEDING AND 12 FOLLOWING)""",
+)
 TERMS = {"one": "1e0", "s1": "sin(h)", "c1": "cos(h)", "s2": "sin(2 * h)", "c2": "cos(2 * h)"}
 _names = list(TERMS)
 _sums = []
@@ -849,6 +929,29 @@ ch AS (SELECT Location, hour(Time) * 2 * pi() / 24 AS h, Temp_C - lag(Temp_C) OV
     f"SELECT Location, {', '.join(_sums)} FROM ch WHERE d IS NOT NULL GROUP BY 1",
 )
 
+#: Normal equations per station solved by Gauss-Jordan steps; the fitted change of each row's
+#: hour is added up over the series.
+add(
+    "harmonic_fill",
+    "RECURSIVE " + H_GRID + f""",
+ch AS (SELECT Location, hour(Time) * 2 * pi() / 24 AS h, Temp_C - lag(Temp_C) OVER (PARTITION BY Location ORDER BY step) AS d FROM s),
+tm AS (SELECT Location, d, [{", ".join(TERMS.values())}] AS t FROM ch WHERE d IS NOT NULL),
+ne AS (SELECT Location, a.i, c.j, sum(t[a.i] * CASE WHEN c.j = 6 THEN d ELSE t[c.j] END) AS w FROM tm, range(1, 6) a(i), range(1, 7) c(j) GROUP BY ALL),
+nr AS (SELECT Location, i, list(w ORDER BY j) AS m FROM ne GROUP BY ALL),
+gj AS (SELECT Location, 1 AS p, list(m ORDER BY i) AS m FROM nr GROUP BY Location
+  UNION ALL SELECT Location, p + 1, list_transform(range(1, 6), lambda r: CASE WHEN r = p THEN list_transform(m[p], lambda v: v / m[p][p])
+    ELSE list_transform(range(1, 7), lambda c: m[r][c] - m[r][p] * m[p][c] / m[p][p]) END) FROM gj WHERE p <= 5),
+be AS (SELECT Location, list_transform(m, lambda r: r[6]) AS b FROM gj WHERE p = 6),
+pf AS (SELECT Location, step, Time, Temp_C, sum(list_dot_product(b, [{", ".join(TERMS.values())}])) OVER o AS moved,
+  max(CASE WHEN Temp_C IS NOT NULL THEN step END) OVER o AS ks,
+  count(*) OVER o > 1 AND lag(Temp_C) OVER q IS NULL OR step < max(step) OVER (PARTITION BY Location) AND lead(Temp_C) OVER q IS NULL AS beside
+  FROM (SELECT *, hour(Time) * 2 * pi() / 24 AS h FROM s) JOIN be USING (Location)
+  WINDOW o AS (PARTITION BY Location ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), q AS (PARTITION BY Location ORDER BY step))""",
+    f"""SELECT pf.Location, pf.Time, {r6("pf.Temp_C")} AS Temp_C,
+  {r6("CASE WHEN pf.Temp_C IS NULL THEN k.Temp_C + pf.moved - k.moved WHEN pf.beside THEN pf.Temp_C END")} AS temp_cure
+  FROM pf LEFT JOIN pf k ON k.Location = pf.Location AND k.step = pf.ks""",
+)
+
 
 def kde(kind: str, where: str) -> str:
     """The kernel summed directly over all values."""

@@ -131,7 +131,7 @@ def scan_station_csv(spark, sf):
     )
 
 
-def _isd_lines(spark, sf):
+def _isd_lines(spark, sf, date=None):
     """Raw station text made from ``events``, with sentinels and quality flags."""
     e = table(spark, sf, "events")
     v, i, u = F.col("value"), F.col("event_id"), F.col("user_id")
@@ -140,24 +140,41 @@ def _isd_lines(spark, sf):
     num = lambda c: (F.floor(c * 10) / 10).cast("string")
     empty = [F.lit("")] * 12
     fields = [
-        usaf, wban, F.date_format("ts", "yyyyMMdd"), F.date_format("ts", "HHmm"), F.lit("4"), F.lit("FM-15"), F.lit("V02"),
+        usaf, wban, F.date_format("ts", "yyyyMMdd") if date is None else date, F.date_format("ts", "HHmm"), F.lit("4"), F.lit("FM-15"), F.lit("V02"),
         F.when(i % 17 == 0, F.lit("999.9")).otherwise(num(v % 35)), F.lit("1"),
         F.when(i % 19 == 0, F.lit("999.9")).otherwise(num(v % 20)), F.lit("1"),
         F.when(i % 13 == 0, F.lit("9999.9")).otherwise(num(v % 40 + 1000)), F.lit("1"),
         F.when(i % 3 == 0, F.lit("06")).otherwise(F.lit("01")), num(v % 9), F.lit(" "), (i % 8).cast("string"),
         *empty, F.when(i % 11 == 0, F.lit("999")).otherwise(num(v % 100)), F.lit(""),
     ]
-    return e.select(F.concat_ws(",", *fields).alias("value"))
+    return e.select("event_id", F.concat_ws(",", *fields).alias("value"))
 
 
 @query
 def scan_isd_text(spark, sf):
     folder = fresh_folder(spark, "isd")
-    _isd_lines(spark, sf).write.text(f"{folder}/a.txt")
+    _isd_lines(spark, sf).select("value").write.text(f"{folder}/a.txt")
     raw = sources.read_isd_text(spark, f"{folder}/*.txt")
     return sources.isd_readings(raw, sources.station_table(spark))
 
 
+@query
+def isd_rejects(spark, sf):
+    """Broken data lines next to banner lines: files of up to 16,384 lines, two banners each."""
+    folder = fresh_folder(spark, "isd-broken")
+    date = F.when(F.col("event_id") % 29 == 0, F.date_format("ts", "yyyyMM")).otherwise(F.date_format("ts", "yyyyMMdd"))
+    lines = _isd_lines(spark, sf, date).withColumn("part", F.floor(F.col("event_id") / (1 << 14))).withColumn("nr", F.lit(2))
+    heads = F.array(*[F.struct(F.lit(i).alias("nr"), F.lit(t).alias("value")) for i, t in enumerate(["Station text", "USAF ,NCDC ,Date ,HrMn"])])
+    banners = lines.select("part").distinct().select("part", F.inline(heads))
+    both = lines.unionByName(banners, allowMissingColumns=True)
+    both.repartition("part").sortWithinPartitions("part", "nr", "event_id").select("part", "value").write.partitionBy(
+        "part"
+    ).text(folder)
+    fields = F.split("value", ",")
+    bad = sources.isd_rejects(spark, folder)
+    return bad.select(*[fields[i].alias(c) for i, c in enumerate(isd_text.FIELDS[:4])])
+
+
 def _cmi_lines(spark, sf):
     """Index text lines, one for each of ``orders``: column ``layout`` and ``value``.
 
@@ -197,6 +214,14 @@ def cmi_parse(spark, sf):
     return sources.station_records(sources.parse_cmi_lines(_cmi_files(spark, sf)))
 
 
+@query
+def scan_cmi_csv(spark, sf):
+    """The parsed index records written out as CSV and read back with types."""
+    folder = fresh_folder(spark, "cmi-csv")
+    sources.write_csv(sources.station_records(sources.parse_cmi_lines(_cmi_files(spark, sf))), folder)
+    return sources.read_cmi_csv(spark, folder)
+
+
 @query
 def sink_csv(spark, sf):
     folder = fresh_folder(spark, "csv")
@@ -722,16 +747,26 @@ def rolling_mean_centered(spark, sf):
     return smooth.rolling_means(s, {"pressure_spl": "pressure_av"}).select(STATION, TIME, "pressure_av")
 
 
-@query
-def smooth_variables(spark, sf):
-    """Filled and smoothed pressure, temperature, dew point and humidity."""
+def _smooth_variables(spark, sf, fill):
     names = {"Pressure_hPa": "slp", "Temp_C": "temp", "DewPt_C": "dewpt", "RH": "rhx"}
     b = grid.bucket_mean(hourly_readings(spark, sf))
-    s = smooth.fill_and_pad(b, "linear", columns={c: f"{n}_spl" for c, n in names.items()})
+    s = smooth.fill_and_pad(b, fill, columns={c: f"{n}_spl" for c, n in names.items()})
     out = smooth.rolling_means(grid.with_time(s), {f"{n}_spl": f"{n}_av" for n in names.values()})
     return out.select(STATION, TIME, *[f"{n}_av" for n in names.values()])
 
 
+@query
+def smooth_variables(spark, sf):
+    """Filled and smoothed pressure, temperature, dew point and humidity."""
+    return _smooth_variables(spark, sf, "linear")
+
+
+@query
+def smooth_variables_spline(spark, sf):
+    """The same with the spline fill; one solve serves the four."""
+    return _smooth_variables(spark, sf, "spline")
+
+
 @query
 def pressure_change_24h(spark, sf):
     s = grid.with_time(smooth.fill_and_pad(grid.bucket_mean(hourly_readings(spark, sf)), "linear"))

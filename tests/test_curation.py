@@ -198,6 +198,38 @@ def test_harmonic_fill(spark):
     assert fixed[105] - fixed[104] == pytest.approx(cure[105] - cure[104])
 
 
+def test_harmonic_fill_at_the_start_of_a_series(spark):
+    temp = [20 + 5 * np.sin(2 * np.pi * i / 24) for i in range(24 * 10)]
+    holes = [float(v) if i >= 30 else None for i, v in enumerate(temp)]
+    data = series(spark, ["a", "b"], Temp_C=holes)
+    assert column(smooth.harmonic_fill(data, block_steps=16), "temp_cure")[:30] == [None] * 30
+    # From the step before the series on, the profile adds up to the change since then.
+    cure = column(smooth.harmonic_fill(data, base=24.5, block_steps=16), "temp_cure")
+    before = 20 + 5 * np.sin(2 * np.pi * -1 / 24)
+    for i in range(30):
+        assert [cure[i], cure[240 + i]] == pytest.approx([24.5 + temp[i] - before] * 2, abs=1e-6)
+    assert cure[30] == holes[30] and cure[31] is None
+
+
+def test_harmonic_profile_period(spark):
+    temp = [20 + 3 * np.cos(2 * np.pi * i / 12) for i in range(24 * 10)]
+    holes = [float(v) if not 50 <= i < 58 else None for i, v in enumerate(temp)]
+    data = series(spark, ["a"], Temp_C=holes)
+    cure = column(smooth.harmonic_fill(data, period=12.0), "temp_cure")
+    assert cure[50:58] == pytest.approx(temp[50:58], abs=1e-6)
+    with pytest.raises(ValueError, match="multiple"):
+        smooth.harmonic_fill(data, period=7.0)
+
+
+def test_several_columns_are_filled_as_each_alone(data):
+    b = stage(grid.bucket_mean(data), "buckets")
+    names = {"Pressure_hPa": "p", "Temp_C": "t", "RH": "r"}
+    together = frame(smooth.fill_and_pad(b, "spline", columns=names, block_steps=128), "Location", "step")
+    for c, out in names.items():
+        alone = frame(smooth.fill_and_pad(b, "spline", columns={c: out}, block_steps=128), "Location", "step")
+        assert np.allclose(together[out], alone[out], rtol=0, atol=1e-9, equal_nan=True)
+
+
 def test_rule_and_method_are_checked(spark, data):
     with pytest.raises(ValueError):
         smooth.fill_and_pad(grid.bucket_mean(data), "nearest")

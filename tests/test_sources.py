@@ -1,6 +1,7 @@
 """Readers, writers and the shared folder."""
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from baroflow import sources
@@ -73,6 +74,60 @@ def test_no_reading_or_line_is_lost_silently(spark, tmp_path):
             sources.parse_cmi_lines(lines).collect()
 
 
+def test_rejected_lines_are_listed_and_counted(spark, tmp_path):
+    good = isd_line("725030", "14732", "0051", "20", "1012", "01", "2", "1", "80")
+    broken = good.replace("19960828", "1996082")
+    # Banners by position: a broken line behind them is a reject, a third banner too.
+    write(tmp_path / "a.txt", "banner one", "USAF ,NCDC ,Date", good, broken, good, "")
+    write(tmp_path / "b.txt", "banner one", "banner two", "banner three", good)
+    write(tmp_path / "c.txt", good, good, broken)
+    (tmp_path / "d.txt").write_text("")
+    seen = Observation()
+    rows = sources.read_isd_text(spark, f"{tmp_path}/*.txt", seen)
+    assert len(rows.collect()) == 5 and seen.get["without_date"] == 7 and seen.get["lines"] == 12
+    got = sources.isd_rejects(spark, f"{tmp_path}/*.txt").select(F.element_at(F.split("file", "/"), -1), "value")
+    assert sorted(map(tuple, got.collect())) == [("a.txt", broken), ("b.txt", "banner three"), ("c.txt", broken)]
+    assert sources.isd_rejects(spark, f"{tmp_path}/b.txt", banner_lines=3).count() == 0
+
+
+def test_rejects_in_a_file_of_many_splits(spark, tmp_path):
+    good = isd_line("725030", "14732", "0051", "20", "1012", "01", "2", "1", "80")
+    broken = [good.replace("19960828", f"x{i}") for i in range(50)]
+    lines = ["banner one", "banner two"]
+    for b in broken:
+        lines += [good] * 20 + [b]
+    write(tmp_path / "a.txt", *lines)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = sources.isd_rejects(spark, str(tmp_path / "a.txt"))
+        assert sorted(r.value for r in got.collect()) == sorted(broken)
+        assert spark.read.text(str(tmp_path / "a.txt")).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_counts_of_index_lines(spark, tmp_path):
+    write(tmp_path / "palmer73.txt", " 80173 4 1.10 0.2.  3.10 0.20 1.50 0.80 0.90 2.00 ", "", " 4407312 0.10 7.  3.10 0.20 2.50 0.80 0.90 2.00 ")
+    write(tmp_path / "palmer97.txt", " 801199753 0.10 7.  3.10 0.20 0.25 0.80 0.90 2.00 ", " 80119975399 0.10 7.  3.10 0.20 0.25 0.80 0.90 2.00 ")
+    write(tmp_path / "other.txt", "a line", "another")
+    files, parsed, dated = Observation(), Observation(), Observation()
+    lines = sources.parse_cmi_lines(sources.read_cmi_text(spark, f"{tmp_path}/*.txt", files), parsed)
+    rows = sources.station_records(lines, dated).collect()
+    assert [(r.location, r.CMI) for r in rows] == [("PENSACOLA REGIONAL AIRPORT, FL US", "1.50")]
+    assert files.get == {"lines": 7, "unknown_file": 2}
+    assert parsed.get == {"parsed": 5, "blank": 1, "long_id": 1}
+    assert dated.get == {"records": 3, "other_state": 1, "late_week": 1}
+
+
+def test_index_csv(spark, tmp_path):
+    path = write(tmp_path / "cmi.csv", "location,CMI,ymd_hms,more", "X,-1.25,1996-08-26 00:00:00,1", "Y,NA,1996-09-02 00:00:00,2", "Z,NaN,,3")
+    rows = sources.read_cmi_csv(spark, path).orderBy("location").collect()
+    assert [(str(r.ymd_hms), r.location, r.CMI) for r in rows] == [
+        ("1996-08-26 00:00:00", "X", -1.25), ("1996-09-02 00:00:00", "Y", None), ("None", "Z", None)
+    ]
+
+
 def test_layout_follows_the_file_name(spark, tmp_path):
     for name in ("palmer73.txt", "palmer96a.txt", "palmer97.txt", "palmer01.txt", "palmer12.txt", "other.txt"):
         write(tmp_path / name, name)
