@@ -222,6 +222,7 @@ D_GRID = grid_ctes(DAILY_READINGS, 1440)
 H_SMOOTH = smooth_ctes(HOURLY_READINGS, 60)
 D_SMOOTH = smooth_ctes(DAILY_READINGS, 1440)
 H = full_ctes(HOURLY_READINGS, 60, 240, (60, 240, 100))
+H_SPLINE = full_ctes(HOURLY_READINGS, 60, 240, (60, 240, 100), fill="spline")
 D = full_ctes(DAILY_READINGS, 1440, 5760)
 DC = full_ctes(DAILY_CMI_READINGS, 1440, 5760, measures=[*MEASURES, "CMI", "CMI_pre"])
 
@@ -287,7 +288,7 @@ add(
 )
 add(
     "pce_curated_events",
-    "RECURSIVE " + full_ctes(HOURLY_READINGS, 60, 240, (60, 240, 100), fill="spline"),
+    "RECURSIVE " + H_SPLINE,
     f"SELECT {EVENT_COLS} FROM e2e",
 )
 add("sink_csv", H, f'SELECT Location, Press_Evt_lab, St, "End", {r6("Dur")} AS Dur, {r6("Sum_Press_Delta")} AS Sum_Press_Delta FROM e2e')
@@ -646,11 +647,16 @@ wk AS (SELECT Yr, Mon, Wk, Location, {snap("sum(CMI)")} AS CMI, {snap("sum(CMI_p
   coalesce({strict("sum", "Rain")}, 0e0) AS wk_Rain, {ratio(strict("sum", "Temp_C"), PCE_N)} AS cum_Temp,
   {ratio(strict("sum", "RH"), PCE_N)} AS cum_RH, {ratio(strict("sum", "(Temp_C - DewPt_C)"), PCE_N)} AS Temp_dew_diff,
   {strict("sum", "pressure_chng_av")} AS cum_Pressure_chng FROM wr GROUP BY 1, 2, 3, 4)"""
-add(
-    "weekly_cmi",
-    WEEKS,
-    f"""SELECT Yr, Mon, Wk, Location, {r6("CMI")} AS CMI, {r6("CMI_pre")} AS CMI_pre, PCE_num, {r6("wk_Rain")} AS wk_Rain,
-  cum_Temp, cum_RH, Temp_dew_diff, {r6("cum_Pressure_chng")} AS cum_Pressure_chng FROM wk""",
+WEEK_COLS = f"""Yr, Mon, Wk, Location, {r6("CMI")} AS CMI, {r6("CMI_pre")} AS CMI_pre, PCE_num, {r6("wk_Rain")} AS wk_Rain,
+  cum_Temp, cum_RH, Temp_dew_diff, {r6("cum_Pressure_chng")} AS cum_Pressure_chng"""
+add("weekly_cmi", WEEKS, f"SELECT {WEEK_COLS} FROM wk")
+add(
+    "weekly_drought",
+    "RECURSIVE "
+    + WEEKS.replace(DC, full_ctes(DAILY_CMI_READINGS, 1440, 5760, measures=[*MEASURES, "CMI", "CMI_pre"], fill="spline"))
+    + f""",
+z AS (SELECT *, {snap("(CMI - (SELECT avg(CMI) FROM wk)) / (SELECT stddev_samp(CMI) FROM wk)")} AS CMI_standarize FROM wk)""",
+    f"SELECT {WEEK_COLS}, {r6('CMI_standarize')} AS CMI_standarize FROM z WHERE CMI_standarize < -1",
 )
 add(
     "weekly_means",
@@ -706,10 +712,16 @@ add(
     f"""SELECT Location, Time_SPI, {r6("Day_rain")} AS Day_rain, {r6("Day_Pressure_chng_av")} AS Day_Pressure_chng_av,
   {r6("Temp_dew_diff")} AS Temp_dew_diff, year(Time_SPI) AS Yr, month(Time_SPI) AS Mon FROM da""",
 )
-ROLL = D_LAB + "," + daily_cte("l") + f""",
-ro AS (SELECT Location, Time_SPI, CASE WHEN count(Day_rain) OVER w = 30 THEN {snap("sum(Day_rain) OVER w")} END AS rain_sum FROM da
-  WINDOW w AS (PARTITION BY Location ORDER BY Time_SPI RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW)),
+
+
+def rolled_cte(days: int = 30) -> str:
+    return f"""
+ro AS (SELECT Location, Time_SPI, CASE WHEN count(Day_rain) OVER w = {days} THEN {snap("sum(Day_rain) OVER w")} END AS rain_sum FROM da
+  WINDOW w AS (PARTITION BY Location ORDER BY Time_SPI RANGE BETWEEN INTERVAL {days - 1} DAYS PRECEDING AND CURRENT ROW)),
 rr AS (SELECT * FROM ro WHERE rain_sum IS NOT NULL)"""
+
+
+ROLL = ",".join([D_LAB, daily_cte("l"), rolled_cte()])
 add("rolling_rain", ROLL, f"SELECT Location, Time_SPI, {r6('rain_sum')} AS rain_sum FROM ro")
 add(
     "spi_gamma_params",
@@ -731,9 +743,9 @@ def _normal(v: str) -> str:
     return f"(0.5e0 + sign({v}) * exp(-{v} * {v} / 2) / sqrt(2 * pi()) * {total})"
 
 
-def index_ctes(keys: str) -> str:
+def index_ctes(keys: str, roll: str = ROLL, within: str = "year(Time_SPI) BETWEEN 1995 AND 2001") -> str:
     """The precipitation index into ``spi``: gamma mass by its power series, normal quantile by Newton steps."""
-    return ROLL + f""",
+    return roll + f""",
 dy AS (SELECT *, CAST(dayofyear(Time_SPI) AS INT) AS doy FROM ro),
 pa AS (SELECT {keys}, sum(CASE WHEN rain_sum = 0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS zero,
   avg(CASE WHEN rain_sum > 0 THEN rain_sum END) AS mean,
@@ -742,7 +754,7 @@ pa AS (SELECT {keys}, sum(CASE WHEN rain_sum = 0 THEN 1 ELSE 0 END) / CAST(count
 pb AS (SELECT *, {snap('ln(mean) - log_mean', 12)} AS a FROM pa),
 pc AS (SELECT *, CASE WHEN a > 1e-9 THEN (sqrt(a * 4e0 / 3e0 + 1e0) + 1e0) / (a * 4e0) END AS s FROM pb),
 ask AS (SELECT Location, Time_SPI, rain_sum, zero, s, CASE WHEN rain_sum > 0 THEN rain_sum * s / mean END AS z
-  FROM dy LEFT JOIN pc USING ({keys}) WHERE year(Time_SPI) BETWEEN 1995 AND 2001),
+  FROM dy LEFT JOIN pc USING ({keys}) WHERE {within}),
 mass AS (SELECT *, CASE WHEN rain_sum = 0 THEN 0e0 ELSE least(1e0, list_sum(list_transform(
   range(0, CAST(greatest(z - s, 0) + 10 * sqrt(greatest(z, s)) + 100 AS BIGINT)),
   lambda n: exp((s + n) * ln(z) - z - lgamma(s + n + 1))))) END AS g FROM ask),
@@ -765,13 +777,21 @@ add(
     + ", ".join(f"{r6(c)} AS {c}" for c in ("value", "Day_rain", "Day_Pressure_chng_av", "Temp_dew_diff"))
     + " FROM sj",
 )
-add(
-    "weekly_spi",
-    INDEX_DAYS + f""",
+SPI_WEEKS = f""",
 ws AS (SELECT Location, year(time_stamp) AS Yr, month(time_stamp) AS Mon, (dayofyear(time_stamp) - 1) // 7 + 1 AS Wk, avg(value) AS a,
-  {snap("coalesce(sum(Day_Pressure_chng_av), 0e0)")} AS p, {snap("coalesce(sum(Temp_dew_diff), 0e0)")} AS d FROM sj GROUP BY 1, 2, 3, 4)""",
-    f"""SELECT Location, Yr, Mon, Wk, {r6("a")} AS spi_av, {r6("p")} AS pre_sum, {r6("d")} AS diff_T_D,
-  {fstep("d", 40)} AS dew_band FROM ws WHERE p <> 0""",
+  {snap("coalesce(sum(Day_Pressure_chng_av), 0e0)")} AS p, {snap("coalesce(sum(Temp_dew_diff), 0e0)")} AS d FROM sj GROUP BY 1, 2, 3, 4)"""
+SPI_WEEK_ROWS = f"""SELECT Location, Yr, Mon, Wk, {r6("a")} AS spi_av, {r6("p")} AS pre_sum, {r6("d")} AS diff_T_D,
+  {fstep("d", 40)} AS dew_band FROM ws WHERE p <> 0"""
+add("weekly_spi", INDEX_DAYS + SPI_WEEKS, SPI_WEEK_ROWS)
+add(
+    "weekly_precipitation",
+    "RECURSIVE "
+    + index_ctes("doy", ",".join([H_SPLINE, daily_cte("l3"), rolled_cte(3)]), "TRUE")
+    + """,
+sj AS (SELECT spi.*, Day_rain, Day_Pressure_chng_av, Temp_dew_diff FROM spi
+  LEFT JOIN da ON da.Location = spi.Location AND da.Time_SPI = spi.time_stamp)"""
+    + SPI_WEEKS,
+    SPI_WEEK_ROWS,
 )
 add(
     "monthly_spi",

@@ -28,6 +28,7 @@ from baroflow.functions.dates import monday_of_week
 from baroflow.operators import curves, drought, events, fit, grid, labels, quantiles, smooth, stats
 from baroflow.operators.blocks import explode_range
 from baroflow.plans.curation import DAILY, DAILY_RECURRENT, Curated, Settings
+from baroflow.plans import entries
 from baroflow.plans.entries import with_cmi
 from baroflow.plans.staging import shared_folder, stage
 from baroflow.plans.views import cmi_values, daily_readings, hourly_readings, table
@@ -604,6 +605,18 @@ def weekly_cmi(spark, sf):
     return weeks_of(spark, sf)
 
 
+@query
+def weekly_drought(spark, sf):
+    """From readings and index to weeks far below the mean index: spline fill, gaps removed."""
+    return entries.weekly_drought(daily_readings(spark, sf), cmi_values(spark, sf), DAILY, "day_of_month", *RANGE)
+
+
+@query
+def weekly_precipitation(spark, sf):
+    """From hourly readings to weekly means of a three-day precipitation index: spline fill, gaps removed."""
+    return entries.weekly_precipitation_index(hourly_readings(spark, sf), HOURLY, 3, None, pooled=True)
+
+
 @query
 def weekly_means(spark, sf):
     return drought.weekly_means(daily_cmi(spark, sf).gap_free_series, True, *RANGE)
@@ -889,6 +902,18 @@ def local_surface(spark, sf):
     return fit.local_surface(stage(stats.pop_surface(daily_events(spark, sf)), "surface"))
 
 
+@query
+def local_surface_extreme(spark, sf):
+    """The surface of the events with much rain, on their own grid."""
+    surface = stats.pop_surface(stats.extreme_events(daily_events(spark, sf)))
+    return fit.local_surface(stage(surface, "surface"), fit.EXTREME_GRID)
+
+
+@query
+def local_surface_older(spark, sf):
+    return fit.local_surface(stage(stats.pop_surface(daily_events(spark, sf)), "surface"), fit.OLDER_GRID)
+
+
 @query
 def monday_dates(spark, sf):
     """Week number of the year and the Monday it starts on."""
