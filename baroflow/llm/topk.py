@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from baroflow.llm.common import parts_for
 
 _LEAST = np.iinfo(np.int64).min
-_PARTIAL = "query_id long, vec_id long, score long, part int"
+_PARTIAL = "query_id long, vec_id long, score long, slice int"
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -56,29 +56,30 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return scores
 
 
-def _searcher(query_ids: np.ndarray, query_weights: np.ndarray, k: int, cells: int):
-    def search(batches):
-        block = max(64, cells // max(1, len(query_ids)))
+def _searcher(k: int, cells: int):
+    """Best ``k`` candidates of a slice for each query of a block, candidates in steps of bounded score arrays."""
+
+    def search(key, asked: pa.Table, rows: pa.Table) -> pa.Table:
+        query_ids = asked.column("id").to_numpy().astype(np.int64)
+        weights = _matrix(asked.column("v").combine_chunks()).astype(np.int64)
         best = np.full((len(query_ids), k), _LEAST), np.zeros((len(query_ids), k), np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                piece = batch.slice(at, block)
-                ids = piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                weights = _matrix(piece.column(1)).astype(np.int64)
-                scores = accumulate(query_weights, weights)
-                scores[query_ids[:, None] == ids[None, :]] = _LEAST
-                best = _best(
-                    np.hstack([best[0], scores]), np.hstack([best[1], np.broadcast_to(ids, scores.shape)]), k
-                )
+        step = max(64, cells // max(1, len(query_ids)))
+        for at in range(0, rows.num_rows if len(query_ids) else 0, step):
+            piece = rows.slice(at, step)
+            ids = piece.column("id").to_numpy().astype(np.int64)
+            scores = accumulate(weights, _matrix(piece.column("v").combine_chunks()).astype(np.int64))
+            scores[query_ids[:, None] == ids[None, :]] = _LEAST
+            best = _best(
+                np.hstack([best[0], scores]), np.hstack([best[1], np.broadcast_to(ids, scores.shape)]), k
+            )
         row, col = np.nonzero(best[0] != _LEAST)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(query_ids[row]),
-                pa.array(best[1][row, col]),
-                pa.array(best[0][row, col]),
-                pa.array(np.full(len(row), 0, np.int32)),
-            ],
-            names=["query_id", "vec_id", "score", "part"],
+        return pa.table(
+            {
+                "query_id": query_ids[row],
+                "vec_id": best[1][row, col],
+                "score": best[0][row, col],
+                "slice": np.full(len(row), key[1].as_py(), np.int32),
+            }
         )
 
     return search
@@ -91,7 +92,8 @@ def top_k(
     scale: int = 1024,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    query_chunk: int = 8192,
+    query_chunk: int = 32_768,
+    slice_rows: int = 65_536,
     cells: int = 1 << 22,
 ) -> DataFrame:
     """Each query's ``k`` highest integer inner products over all other rows, ties to the smaller id.
@@ -102,9 +104,11 @@ def top_k(
     own id is not its candidate. Queries that repeat an id count once; candidates that repeat
     an id each take a rank. Returns ``query_id, rank, vec_id, score``.
 
-    At most about ``query_chunk`` queries are sent to the tasks at once (that many vectors are
-    the bound on what is broadcast); more queries mean more passes over the rows. A task
-    keeps k rows a query, whatever it reads. Score arrays have ``cells`` entries at most.
+    Queries are packed into blocks of about ``query_chunk``, candidates into slices of about
+    ``slice_rows`` (smaller while there are fewer slices than cores), and each block meets each
+    slice in one task; no vector visits the driver. A task holds one block, one slice and score
+    arrays of ``cells`` entries, and hands on ``k`` rows a query. Rows that repeat an id are
+    spread by the partition they are read in, so that they do not share one slice.
     """
     spark = vectors.sparkSession
     usable = lambda df: df.where(
@@ -117,23 +121,19 @@ def top_k(
     )
     asked = usable(queries).dropDuplicates(["id"])
     rows = usable(vectors)
-    chunks = parts_for(asked.count(), query_chunk)
-    partial = []
-    for chunk in range(chunks):
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == chunk).toArrow().combine_chunks()
-        if part.num_rows == 0:
-            continue
-        ids = part.column("id").to_numpy().astype(np.int64)
-        weights = _matrix(part.column("v").combine_chunks()).astype(np.int64)
-        partial.append(rows.mapInArrow(_searcher(ids, weights, k, cells), _PARTIAL))
-    if not partial:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = partial[0]
-    for more in partial[1:]:
-        found = found.unionAll(more)
+    blocks = parts_for(asked.count(), query_chunk)
+    # Rows that take no part only make the slices smaller.
+    slices = max(parts_for(vectors.count(), slice_rows), spark.sparkContext.defaultParallelism)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    salt = F.pmod(F.xxhash64("id", "v", F.spark_partition_id()), F.lit(slices)).cast("int")
+    asked = asked.select("id", "v", block.alias("block"), every(slices).alias("slice"))
+    rows = rows.withColumn("slice", salt).select("id", "v", every(blocks).alias("block"), "slice")
+    cell = ["block", "slice"]
+    found = asked.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInArrow(_searcher(k, cells), _PARTIAL)
     order = [F.col("score").desc(), F.col("vec_id")]
-    # Merge in two steps, so that a query with parts from very many tasks is not one task's work.
-    found = found.withColumn("part", F.spark_partition_id() % 64)
+    # Merge in two steps, so that a query with parts from very many slices is not one task's work.
+    found = found.withColumn("part", F.col("slice") % 64)
     near = Window.partitionBy("query_id", "part").orderBy(*order)
     all_of = Window.partitionBy("query_id").orderBy(*order)
     return (

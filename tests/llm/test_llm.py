@@ -122,6 +122,16 @@ def test_top_k(spark):
     got = top_k(df, df.where("vec_id % 50 = 0"), query_chunk=2, cells=200)
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert top_k(df, df.where("false")).count() == 0
+    # Many equal rows of one id, in several blocks and slices: each takes a rank.
+    many = df.unionByName(spark.range(60).selectExpr("7L AS vec_id", "array_repeat(cast(2 AS float), 8) AS embedding").repartition(5))
+    got = top_k(many, df.where("vec_id % 50 = 0"), query_chunk=1, slice_rows=7, cells=200)
+    rows = rows + [(7, [2.0] * 8)] * 60
+    pairs = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows]
+    want = []
+    for q in (i for i in whole if i % 50 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(whole[q], v)), c) for c, v in pairs if c != q)[:10]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scored)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_base_spans_and_operator(docs, spark, empty):
