@@ -40,6 +40,8 @@ OUTSIDE, INSIDE = 1, 2
 CONTAINERS = frozenset("div section ul ol dl figure details".split())
 #: Start tags that end an open element of the same family.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Open elements beyond which such a start tag ends nothing.
+FENCES = ("ul", "ol", "dl", "table", "select", "article", "div", "section")
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[/a-zA-Z!?](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<[/a-zA-Z!?][^>]*(?:>|\Z)", re.S
@@ -75,35 +77,41 @@ class Page:
         self.runs: list[tuple[int, str] | None] = []
         self._parts: list[list[bytes]] = [[]]
         self._open = [0]
+        self._depths: dict[str, list[int]] = {}  # where in the stack each tag stands
+        self._blocks = [0]  # where in it elements stand that are not inline
         self._read(source)
         while self._open:
             self._close()
 
     def _close(self) -> None:
         node = self._open.pop()
+        if node:
+            self._depths[self.tag[node]].pop()
+            if self.tag[node] not in INLINE:
+                self._blocks.pop()
         digest = blake2b(b"\x1f".join(self._parts[node]), digest_size=8).digest()
         self.digest[node] = int.from_bytes(digest, "big", signed=True)
         self._parts[node] = []
         if self.parent[node] >= 0:
             self._parts[self.parent[node]].append(digest)
 
-    def _close_through(self, names, fence) -> None:
-        """Close up to the nearest open element named so, unless one of ``fence`` stands before it."""
-        for depth in range(len(self._open) - 1, 0, -1):
-            tag = self.tag[self._open[depth]]
-            if tag in names:
-                while len(self._open) > depth:
-                    self._close()
-                return
-            if fence(tag):
-                return
+    def _last(self, tags) -> int:
+        """Depth of the innermost open element named so, 0 if none."""
+        return max((self._depths[t][-1] for t in tags if self._depths.get(t)), default=0)
+
+    def _close_through(self, tags, fence: int = 0) -> None:
+        """Close up to the innermost open element named so, unless it stands outside ``fence``."""
+        depth = self._last(tags)
+        if depth and depth >= fence:
+            while len(self._open) > depth:
+                self._close()
 
     def _start(self, tag: str, markup: str) -> None:
         if tag not in INLINE:
             self.runs.append(None)
-            self._close_through(("p",), lambda t: t != "p" and t not in INLINE)
+            self._close_through(("p",), self._blocks[-1])
             if tag in CLOSES:
-                self._close_through(CLOSES[tag], lambda t: t in ("ul", "ol", "dl", "table", "select", "article", "div", "section"))
+                self._close_through(CLOSES[tag], self._last(FENCES))
         elif tag == "br":
             self.runs.append((self._open[-1], " "))
         if tag in VOID:
@@ -119,6 +127,9 @@ class Page:
                     main |= value == "main"
                 elif tag not in ("body", "html"):
                     named |= marks(value)
+        self._depths.setdefault(tag, []).append(len(self._open))
+        if tag not in INLINE:
+            self._blocks.append(len(self._open))
         self._open.append(len(self.tag))
         self.tag.append(tag)
         self.parent.append(up)
@@ -156,9 +167,9 @@ class Page:
             if markup[1] == "/":
                 if tag not in INLINE:
                     self.runs.append(None)
-                    self._close_through((tag,), lambda t: False)
+                    self._close_through((tag,))
                 else:
-                    self._close_through((tag,), lambda t: t not in INLINE)
+                    self._close_through((tag,), self._blocks[-1])
                 continue
             self._start(tag, markup)
             if tag in RAW:

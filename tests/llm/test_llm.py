@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -159,6 +160,20 @@ def test_main_text(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_deep_pages_parse_in_linear_time():
+    n = 100_000
+    start = time.perf_counter()
+    stray = Page("<div>" * n + "x" + "</section>" * n)
+    nested = Page("<ul><li><ul>" + "<b>" * n + "<li>y</li>" * n)
+    assert time.perf_counter() - start < 60  # a walk of the whole stack for each tag takes hours
+    assert stray.text(set()) == "x" and nested.text(set()).count("y") == n
+
+
+def test_end_tags_close_the_innermost_open_element():
+    page = Page("<ul><li>a<ul><li>b<li>c</ul>d<li>e</ul><p>f<b>g<div>h</b>i</div></section>j")
+    assert page.text(set()) == "a\nb\nc\nd\ne\nfg\nhi\nj"
+
+
 def test_main_text_of_marked_wrappers_and_stray_articles():
     story = "A long story goes on and on. " * 20
     for names in ("page no-sidebar", "has-header", "two-side", "menu-fixed", "page header"):
