@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,44 +52,70 @@ def previous_event(
 # -- rain and dry events ------------------------------------------------------------
 
 
-def _spell_totals(labelled: DataFrame, step_minutes: int) -> DataFrame:
+def spell_parts(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Mergeable totals per station and rain/dry label, label 0 included.
+
+    With labels that count within blocks, ``keys`` names the block; offsets are then added to
+    these few rows instead of the series.
+    """
+    return rows.groupBy(STATION, *keys, "Evt_lab").agg(
+        F.min(TIME).alias("t0"),
+        F.max(TIME).alias("t1"),
+        F.sum("Rain").alias("rain"),
+        F.max("Rain").alias("peak"),
+        F.min(STEP).alias("s0"),
+        F.max(STEP).alias("s1"),
+    )
+
+
+def _spells(parts: DataFrame, step_minutes: int) -> DataFrame:
     return (
-        labelled.where(F.col("Evt_lab") > 0)
+        parts.where(F.col("Evt_lab") > 0)
         .groupBy(STATION, "Evt_lab")
         .agg(
-            F.min(TIME).alias("Start"),
-            F.max(TIME).alias("End"),
-            (F.rint(F.sum("Rain") * 1000.0) / 1000.0).alias("TotalRain"),
-            F.max("Rain").alias("Max_Intensity"),
-            ((F.max(STEP) - F.min(STEP) + 1) * (step_minutes / 60.0)).alias("Dur_hr"),
+            F.min("t0").alias("Start"),
+            F.max("t1").alias("End"),
+            (F.rint(F.sum("rain") * 1000.0) / 1000.0).alias("TotalRain"),
+            F.max("peak").alias("Max_Intensity"),
+            ((F.max("s1") - F.min("s0") + 1) * (step_minutes / 60.0)).alias("Dur_hr"),
         )
     )
 
 
-def rain_events(labelled: DataFrame, step_minutes: int = 60) -> DataFrame:
-    """Wet events; the last label of a station is unfinished and left out."""
-    spells = drop_last_label(_spell_totals(labelled, step_minutes), "Evt_lab")
+def rain_spells(parts: DataFrame, step_minutes: int = 60) -> DataFrame:
+    """Wet events from ``spell_parts``; the last label of a station is unfinished and left out."""
+    spells = drop_last_label(_spells(parts, step_minutes), "Evt_lab")
     return previous_event(spells, "Evt_lab", {"PreDry_Dur_hr": "Dur_hr"}).where(F.col("TotalRain") > 0)
 
 
-def dry_events(labelled: DataFrame, step_minutes: int = 60) -> DataFrame:
-    """Dry events; the last label is kept."""
-    spells = _spell_totals(labelled, step_minutes)
+def dry_spells(parts: DataFrame, step_minutes: int = 60) -> DataFrame:
+    """Dry events from ``spell_parts``; the last label is kept."""
+    spells = _spells(parts, step_minutes)
     return previous_event(spells, "Evt_lab", {"PreRain_Dur_hr": "Dur_hr"}).where(F.col("TotalRain") == 0)
 
 
+def rain_events(labelled: DataFrame, step_minutes: int = 60) -> DataFrame:
+    """Wet events of a labelled series."""
+    return rain_spells(spell_parts(labelled), step_minutes)
+
+
+def dry_events(labelled: DataFrame, step_minutes: int = 60) -> DataFrame:
+    """Dry events of a labelled series."""
+    return dry_spells(spell_parts(labelled), step_minutes)
+
+
 # -- pressure-change events -----------------------------------------------------------
 
 
-def event_parts(labelled: DataFrame) -> DataFrame:
+def event_parts(labelled: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mergeable sums per station, event and calendar month.
 
     The one aggregate over the full series: events, monthly temperatures and the second
-    pass after gap removal are all small aggregates of this table.
+    pass after gap removal are all small aggregates of this table. ``keys`` as in ``spell_parts``.
     """
     chng = F.col("pressure_chng_av")
     return labelled.groupBy(
-        STATION, "Press_Evt_lab", F.year(TIME).alias("Yr"), F.month(TIME).alias("Mon")
+        STATION, *keys, "Press_Evt_lab", F.year(TIME).alias("Yr"), F.month(TIME).alias("Mon")
     ).agg(
         F.min(STEP).alias("s0"),
         F.max(STEP).alias("s1"),

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from baroflow.operators.blocks import add_block_offsets, block_window, owned, with_halo
 from baroflow.operators.smooth import change_of_runs, mean_span, run_sum, shifted_sum
-from baroflow.schema import BLOCK, BLOCK_STEPS, TIME
+from baroflow.schema import BLOCK, BLOCK_STEPS, STATION, TIME
+
+LABELS = ("Evt_lab", "Press_Evt_lab")
 
 
 def rain_flags(w, inter_event: int = 4, rule: str = "A") -> dict[str, Column]:
@@ -100,6 +102,11 @@ def smooth_and_label(
     ).drop("press_start", "_run")
 
 
-def complete_labels(local: DataFrame) -> DataFrame:
-    return add_block_offsets(local, ["Evt_lab", "Press_Evt_lab"]).drop(BLOCK)
+def block_totals(local: DataFrame) -> DataFrame:
+    """Labels that start in each block: one row per station and block."""
+    return local.groupBy(STATION, BLOCK).agg(*[F.max(c).alias(c) for c in LABELS])
+
+
+def complete_labels(local: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    return add_block_offsets(local, LABELS, totals=totals).drop(BLOCK)
 

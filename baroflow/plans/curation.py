@@ -6,18 +6,21 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from baroflow.operators.blocks import add_block_offsets
 from baroflow.operators.events import (
     event_parts,
     overlapped_labels,
     pressure_events,
     remove_gap_events,
+    spell_parts,
 )
 from baroflow.operators.grid import bucket_mean, gap_table, with_time
-from baroflow.operators.labels import complete_labels, smooth_and_label
+from baroflow.operators.labels import LABELS, block_totals, complete_labels, smooth_and_label
 from baroflow.operators.smooth import fill_and_pad
 from baroflow.plans.staging import stage
-from baroflow.schema import BLOCK_STEPS, MEASURES
+from baroflow.schema import BLOCK, BLOCK_STEPS, MEASURES, STATION
 
 
 @dataclass(frozen=True)
@@ -70,17 +73,36 @@ class Curated:
         return with_time(grid, s.step_minutes)
 
     @property
-    def labelled(self) -> DataFrame:
-        """The regular series with smoothed pressure and both event labels."""
+    def _local(self) -> DataFrame:
+        """The staged series: smoothed pressure, and labels that count within each block."""
         s = self.settings
+        return self._once(
+            "local",
+            lambda: stage(
+                smooth_and_label(self.filled, s.mean_steps, s.lag_steps, s.inter_event, s.rule, s.block_steps),
+                "labelled",
+            ),
+        )
 
-        def build():
-            local = smooth_and_label(
-                self.filled, s.mean_steps, s.lag_steps, s.inter_event, s.rule, s.block_steps
-            )
-            return complete_labels(stage(local, "labelled"))
+    @property
+    def _totals(self) -> DataFrame:
+        return self._once("totals", lambda: stage(block_totals(self._local), "totals"))
+
+    @property
+    def series(self) -> DataFrame:
+        """The regular series with smoothed pressure and event starts, for readers that need no label."""
+        return self._local.drop(BLOCK, *LABELS)
 
-        return self._once("labelled", build)
+    @property
+    def labelled(self) -> DataFrame:
+        """The regular series with smoothed pressure and both event labels."""
+        return complete_labels(self._local, self._totals)
+
+    @property
+    def spells(self) -> DataFrame:
+        """Mergeable totals of rain and dry spells; offsets meet these rows, not the series."""
+        parts = spell_parts(self._local, [BLOCK])
+        return add_block_offsets(parts, ["Evt_lab"], totals=self._totals).drop(BLOCK)
 
     @property
     def gaps(self) -> DataFrame:
@@ -89,7 +111,13 @@ class Curated:
 
     @property
     def parts(self) -> DataFrame:
-        return self._once("parts", lambda: stage(event_parts(self.labelled), "parts"))
+        """Mergeable sums per event and month, and per block, with the label within the block beside."""
+
+        def build():
+            local = event_parts(self._local, [BLOCK]).withColumn("local_lab", F.col("Press_Evt_lab"))
+            return stage(add_block_offsets(local, ["Press_Evt_lab"], totals=self._totals), "parts")
+
+        return self._once("parts", build)
 
     @property
     def events_before_gaps(self) -> DataFrame:
@@ -109,7 +137,16 @@ class Curated:
 
     @property
     def gap_free_series(self) -> DataFrame:
-        return remove_gap_events(self.labelled, self.overlapped, self.parts)
+        """The labelled series without overlapped events, in one join with the labels that stay."""
+        labels = self.parts.select(STATION, BLOCK, "local_lab", "Press_Evt_lab").distinct()
+        kept = add_block_offsets(
+            remove_gap_events(labels, self.overlapped, self.parts).withColumn("Evt_lab", F.lit(0).cast("long")),
+            ["Evt_lab"],
+            totals=self._totals,
+        ).withColumnRenamed("Evt_lab", "_before")
+        rows = self._local.withColumnRenamed("Press_Evt_lab", "local_lab")
+        joined = rows.join(kept, [STATION, BLOCK, "local_lab"])
+        return joined.withColumn("Evt_lab", F.col("Evt_lab") + F.col("_before")).drop(BLOCK, "local_lab", "_before")
 
     @property
     def events(self) -> DataFrame:

@@ -63,8 +63,8 @@ def main() -> None:
     run("gap_table", lambda: c.gaps)
     run("pressure_events_gap_free", lambda: c.events)
     run("anti_join_gaps", lambda: c.gap_free_series)
-    run("rain_events", lambda: events.rain_events(c.labelled, 1440))
-    run("dry_events", lambda: events.dry_events(c.labelled, 1440))
+    run("rain_events", lambda: events.rain_spells(c.spells, 1440))
+    run("dry_events", lambda: events.dry_spells(c.spells, 1440))
     run("pop_by_epc", lambda: stats.pop_by_epc(e))
     run("pce_frequency", lambda: stats.pce_frequency(e))
     run("pop_surface", lambda: stats.pop_surface(e))
@@ -76,7 +76,7 @@ def main() -> None:
     held["d"] = None
 
     def daily():
-        held["d"] = stage(drought.daily_agg(c.labelled), "daily")
+        held["d"] = stage(drought.daily_agg(c.series), "daily")
 
     run("daily_agg", daily)
     run("spi_daily", lambda: drought.spi_daily(held["d"]))

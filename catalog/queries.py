@@ -243,7 +243,7 @@ def sink_events(spark, sf):
 
 
 def labels_events(spark, sf):
-    return events.rain_events(hourly(spark, sf).labelled)
+    return events.rain_spells(hourly(spark, sf).spells)
 
 
 @query
@@ -486,12 +486,12 @@ def rain_events(spark, sf):
 
 @query
 def dry_events(spark, sf):
-    return events.dry_events(hourly(spark, sf).labelled)
+    return events.dry_spells(hourly(spark, sf).spells)
 
 
 @query
 def monthly_temp(spark, sf):
-    s = hourly(spark, sf).labelled.unionByName(daily(spark, sf).labelled)
+    s = hourly(spark, sf).series.unionByName(daily(spark, sf).series)
     own = events.monthly_temp(s)
     pooled = events.monthly_temp(s, pooled=True).withColumn(STATION, F.lit("all"))
     return own.unionByName(pooled)
@@ -657,17 +657,17 @@ def daily_agg(spark, sf):
 
 @query
 def rolling_rain(spark, sf):
-    return drought.rolling_rain(drought.daily_agg(daily(spark, sf).labelled)).select(STATION, "Time_SPI", "rain_sum")
+    return drought.rolling_rain(drought.daily_agg(daily(spark, sf).series)).select(STATION, "Time_SPI", "rain_sum")
 
 
 @query
 def spi_gamma_params(spark, sf):
-    return drought.spi_gamma_params(drought.rolling_rain(drought.daily_agg(daily(spark, sf).labelled)))
+    return drought.spi_gamma_params(drought.rolling_rain(drought.daily_agg(daily(spark, sf).series)))
 
 
 def _spi(spark, sf, pooled=False):
     """Index from the gap-filled days, next to the daily ranges of the raw readings."""
-    d = drought.daily_agg(daily(spark, sf).labelled)
+    d = drought.daily_agg(daily(spark, sf).series)
     return drought.spi_daily(d, 30, (1995, 2001), pooled), drought.daily_agg(daily_readings(spark, sf))
 
 
@@ -703,17 +703,17 @@ def gap_census(spark, sf):
 
 @query
 def pop_by_slp(spark, sf):
-    return stats.pop_by_pressure(hourly(spark, sf).labelled)
+    return stats.pop_by_pressure(hourly(spark, sf).series)
 
 
 @query
 def pop_by_slp_month(spark, sf):
-    return stats.pop_by_pressure(daily(spark, sf).labelled, by_month=True)
+    return stats.pop_by_pressure(daily(spark, sf).series, by_month=True)
 
 
 @query
 def daily_pressure_hist(spark, sf):
-    return stats.daily_pressure_hist(hourly(spark, sf).labelled)
+    return stats.daily_pressure_hist(hourly(spark, sf).series)
 
 
 @query
@@ -733,7 +733,7 @@ def hist_amt(spark, sf):
 
 @query
 def box_stats(spark, sf):
-    return quantiles.box_stats(events.monthly_temp(daily(spark, sf).labelled), ["Mon"], "MonT")
+    return quantiles.box_stats(events.monthly_temp(daily(spark, sf).series), ["Mon"], "MonT")
 
 
 @query
@@ -866,7 +866,7 @@ def kde_2d_by_half(spark, sf):
 @query
 def kde_1d_wet_hours(spark, sf):
     """Density of the pressure change over all hours with rain, all stations together."""
-    return fit.kde_1d(hourly(spark, sf).labelled.where("Rain > 0"), "pressure_chng_av", 256)
+    return fit.kde_1d(hourly(spark, sf).series.where("Rain > 0"), "pressure_chng_av", 256)
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from baroflow.functions import numerics
-from baroflow.operators import blocks, events, grid, labels, smooth
+from baroflow.operators import blocks, drought, events, grid, labels, smooth
 from baroflow.plans.curation import Curated, Settings
 from baroflow.plans.staging import stage
 from tests.helpers import column, random_readings, series
@@ -80,6 +80,44 @@ def test_two_passes_agree(curated):
     )
 
 
+def test_spells_and_gap_free_rows_from_block_labels(curated):
+    """Offsets added to aggregates give the same events and rows as offsets added to the series."""
+    key = ["Location", "Evt_lab"]
+    for of_parts, direct in ((events.rain_spells, events.rain_events), (events.dry_spells, events.dry_events)):
+        pd.testing.assert_frame_equal(frame(of_parts(curated.spells), *key), frame(direct(curated.labelled), *key))
+    removed = events.remove_gap_events(curated.labelled, curated.overlapped, curated.parts)
+    pd.testing.assert_frame_equal(
+        frame(curated.gap_free_series, "Location", "step"), frame(removed, "Location", "step")
+    )
+
+
+def series_scans(df):
+    """Scans of the labelled series, and joins above any of them before an aggregate, in the static plan."""
+    tree = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-|!"))
+    scans, joins = 0, 0
+    for at, line in enumerate(tree):
+        if not ("Relation" in line and "pressure_chng_av" in line):
+            continue
+        scans, level = scans + 1, depth(line)
+        for above in reversed(tree[:at]):
+            if depth(above) < level:
+                level = depth(above)
+                if "Aggregate" in above:
+                    break
+                joins += above.lstrip(" :+-|").startswith("Join")
+    return scans, joins
+
+
+def test_readers_of_the_series_do_not_join_it(curated):
+    """Without a label to complete, and for spells, the series meets an aggregate before any join."""
+    assert series_scans(drought.daily_agg(curated.series)) == (1, 0)
+    assert series_scans(events.monthly_temp(curated.series)) == (1, 0)
+    assert series_scans(curated.spells) == (1, 0)
+    assert series_scans(curated.gap_free_series) == (1, 1)
+    assert series_scans(curated.labelled) == (1, 1)
+
+
 @pytest.mark.parametrize("block", [64, 200, 100000])
 def test_block_size_does_not_matter(data, curated, block):
     other = Curated(data.repartition(7), replace(curated.settings, block_steps=block))
