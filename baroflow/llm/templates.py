@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from baroflow.plans.staging import stage
+
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noscript iframe template svg".split())
@@ -326,7 +328,7 @@ def main_text(
         source.alias("source"),
     )
     small = rows.select("key", "host", "source")
-    subtrees = small.mapInArrow(_emit, "key long, host string, digest long, place byte")
+    subtrees = stage(small.mapInArrow(_emit, "key long, host string, digest long, place byte"), "subtrees")
     template = template_subtrees(subtrees, rows.select("host"), min_pages, share, article_share, host_pages)
     found = (
         subtrees.join(template, ["host", "digest"])
