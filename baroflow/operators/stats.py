@@ -161,6 +161,10 @@ FANOUT = {"MonT": 1.0, "Sum_Press_Delta": 30.0}
 DEPTH_KEYS = ["MonT", "Sum_Press_Delta", "Season"]
 
 
+def _to_neighbours(df: DataFrame) -> DataFrame:
+    return neighbour_fanout(df, FANOUT)
+
+
 def unpivot_quantiles(df: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     return df.unpivot(list(keys), [F.col(f"`{n}`") for n in names], "Qntile", "Sum_Precip")
 
@@ -168,8 +172,8 @@ def unpivot_quantiles(df: DataFrame, keys: Sequence[str], names: Sequence[str])
 def depth_quantiles(
     events: DataFrame, max_na: int | None = 7, season: str = "month", edges: Sequence[int] = EPC_EDGES_300
 ) -> DataFrame:
-    sample = neighbour_fanout(depth_sample(events, max_na, season), FANOUT)
-    wide = exact_quantiles(sample, DEPTH_KEYS, "Sum_Precip", PROBS, QUANTILE_NAMES)
+    sample = depth_sample(events, max_na, season)
+    wide = exact_quantiles(sample, DEPTH_KEYS, "Sum_Precip", PROBS, QUANTILE_NAMES, _to_neighbours)
     return unpivot_quantiles(wide, DEPTH_KEYS, QUANTILE_NAMES).withColumn(
         "Sum_Press_C", epc_band("Sum_Press_Delta", edges)
     )
@@ -184,8 +188,8 @@ def tail_mean(
     limit: float | None = 2000,
 ) -> DataFrame:
     """Mean depth above the group quantile, after the neighbour fan-out, in long form."""
-    sample = neighbour_fanout(depth_sample(events, max_na, season), FANOUT)
-    wide = tail_means(sample, DEPTH_KEYS, "Sum_Precip", PROBS, TAIL_NAMES, empty)
+    sample = depth_sample(events, max_na, season)
+    wide = tail_means(sample, DEPTH_KEYS, "Sum_Precip", PROBS, TAIL_NAMES, empty, _to_neighbours)
     if limit is not None:
         wide = wide.where(F.abs("Sum_Press_Delta") < limit)
     return unpivot_quantiles(wide, DEPTH_KEYS, TAIL_NAMES).withColumn(

@@ -40,6 +40,32 @@ def test_quantile_bins_split_tiny_and_narrow_values(spark):
     assert np.allclose(list(got), np.quantile(values, probs), rtol=1e-12)
 
 
+@pytest.mark.parametrize("empty", ["null", "zero"])
+def test_quantiles_and_tails_over_neighbours(spark, empty):
+    """Against plain lists; half of the rows in one group, equal values in several groups, signs, a null key."""
+    r = np.random.default_rng(7)
+    groups = [*r.integers(0, 4, 300).tolist(), *[2] * 300]
+    rows = [(float(g), ("x", None)[i % 5 == 0], float(r.choice([0.0, 0.1, 0.1 + 1e-9, -3.5, r.normal() * 50]))) for i, g in enumerate(groups)]
+    df = spark.createDataFrame(rows, "g double, k string, v double")
+    to_next = lambda d: stats.neighbour_fanout(d, {"g": 1.0})
+    probs, names = [0.95, 0.75, 0.5, 0.0], list("abcd")
+    held = {}
+    for g, k, v in rows:
+        for shift in (-1.0, 0.0, 1.0):
+            held.setdefault((g + shift, k), []).append(v)
+    got = {(x.g, x.k): [x[c] for c in names] for x in quantiles.exact_quantiles(df, ["g", "k"], "v", probs, names, to_next).collect()}
+    assert got.keys() == held.keys() and len(got) == 12
+    for key, values in held.items():
+        assert np.allclose(got[key], np.quantile(values, probs), rtol=1e-12, atol=1e-15)
+    tails = quantiles.tail_means(df, ["g", "k"], "v", probs, names, empty, to_next)
+    for x in tails.collect():
+        values = np.array(held[x.g, x.k])
+        for c, q in zip(names, got[x.g, x.k]):
+            above = values[values > q]
+            want = above.sum() / len(values) if empty == "zero" else above.mean() if len(above) else None
+            assert x[c] == (None if want is None else pytest.approx(want, rel=1e-9, abs=1e-12))
+
+
 def test_global_quantile_and_extremes(spark):
     rows = [(float(i), i) for i in range(101)]
     df = spark.createDataFrame(rows, "Sum_Precip double, id int")
