@@ -15,7 +15,8 @@ from baroflow.plans.staging import stage
 
 PREFIXES = (4, 5, 6)
 PRIOR = 0.1  # pseudo-documents of a key's Dirichlet prior, for each document that holds it
-GAP = -0.5  # score of a token that is no sign of either class
+DRIFT = -0.5  # added to every token's log-odds, so that texts without evidence drift downwards
+LEAST_DOCS = 8  # documents that vouch for a key's own log-odds
 
 
 def tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,8 +70,8 @@ def _counter(batches):
 
 
 class Model(NamedTuple):
-    keys: np.ndarray  # sorted
-    odds: np.ndarray
+    keys: np.ndarray  # sorted; all keys that enough documents hold
+    odds: np.ndarray  # shrunken log-odds, 0 where the counts vouch for neither class
     decay: float  # lambda of the extreme-value law
     scale: float  # K of the extreme-value law
     slope: float
@@ -78,11 +79,20 @@ class Model(NamedTuple):
 
 
 def token_scores(model: Model, keys: np.ndarray) -> np.ndarray:
-    """A word's score is the highest of its keys'; words without a known key get the gap score."""
+    """Log-odds of each word, of either sign, plus the drift.
+
+    A word that enough documents hold has its own; a rare or unseen one that of its longest
+    prefix which enough documents hold, or none.
+    """
     if not len(model.keys):
-        return np.full(len(keys), GAP)
+        return np.full(len(keys), DRIFT)
     at = np.minimum(np.searchsorted(model.keys, keys), len(model.keys) - 1)
-    return np.where(model.keys[at] == keys, model.odds[at], GAP).max(1, initial=GAP)
+    known = model.keys[at] == keys
+    order = [0, *range(keys.shape[1] - 1, 0, -1)]  # the word, then its prefixes from long to short
+    first = np.argmax(known[:, order], 1)
+    pick = np.take(order, first)
+    row = np.arange(len(keys))
+    return np.where(known[row, pick], model.odds[at[row, pick]], 0.0) + DRIFT
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -134,11 +144,15 @@ def passages(model: Model, texts: pa.Array, significance: float = 0.05):
         yield chunk.start, n, number, best, found
 
 
-def _decay(odds: np.ndarray, share: np.ndarray) -> float:
-    """The positive root of E[exp(x * score)] = 1 over clean tokens (the drift is negative)."""
+def _decay(score: np.ndarray, share: np.ndarray) -> float:
+    """The positive root of E[exp(x * score)] = 1 over clean tokens (the drift is negative).
+
+    Given are the keys with a positive score; all other tokens count as the drift, which is
+    their highest score.
+    """
     rest = max(1e-9, 1 - share.sum())
-    value = lambda x: (share * np.exp(x * odds)).sum() + rest * np.exp(x * GAP) - 1
-    if not len(odds):
+    value = lambda x: (share * np.exp(x * score)).sum() + rest * np.exp(x * DRIFT) - 1
+    if not len(score):
         return 1.0
     high = 1e-3
     while value(high) < 0 and high < 50:
@@ -167,14 +181,18 @@ _FLOOR, _CEILING = -10.0, 30.0  # the floor also stands for a text without any p
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, label_col: str, held_out_fold: int, least_z: float, least_odds: float, max_keys: int, max_fit: int
+    docs: DataFrame, labels: DataFrame, label_col: str, held_out_fold: int, least_z: float, max_labelled: int, max_fit: int
 ) -> Model:
     known = (
         labels.where(F.col("id").isNotNull() & F.col(label_col).isNotNull())
         .groupBy("id").agg(F.max(label_col).cast("int").alias("y"))
         .where(F.coalesce(fold("id") != held_out_fold, F.lit(False)))
     )
-    train = stage(docs.join(few(known, 1_000_000), "id").select("y", "text", "id").dropDuplicates(["y", "text"]), "labelled")
+    # A share of the labelled ids by their hash, so that ids, keys and what is broadcast stay bounded.
+    known = stage(known, "known")
+    part = min(1.0, max_labelled / max(known.count(), 1))
+    known = known.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30)) < int(part * (1 << 30)))
+    train = stage(docs.join(few(known, 2 * max_labelled), "id").select("y", "text", "id").dropDuplicates(["y", "text"]), "labelled")
     size = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = size.get(1, 0), size.get(0, 0)
     none = Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0, 1.0, float(np.log((n_toxic + 0.5) / (n_clean + 0.5))))
@@ -189,24 +207,26 @@ def fit(
     odds = F.log((F.col("toxic") + a1) / (n_toxic + 1 + a1 - F.col("toxic"))) - F.log(
         (F.col("clean") + a0) / (n_clean + 1 + a0 - F.col("clean"))
     )
+    error = F.sqrt(1 / (F.col("toxic") + a1) + 1 / (F.col("clean") + a0))
+    shrunk = F.signum("odds") * F.greatest(F.abs("odds") - 2 * F.col("error"), F.lit(0.0))  # what the counts vouch for
     table = (
-        counts.where("toxic >= 3")
-        .withColumn("odds", odds)
-        .withColumn("error", F.sqrt(1 / (F.col("toxic") + a1) + 1 / (F.col("clean") + a0)))
-        .withColumn("z", F.col("odds") / F.col("error"))
-        .where(F.col("z") >= least_z)
-        .withColumn("odds", F.col("odds") - 2 * F.col("error"))  # what the counts vouch for
-        .where(F.col("odds") >= least_odds)
-        .orderBy(F.col("z").desc(), "key").limit(max_keys)
-        .select("key", "odds", (F.col("clean") / n_clean).alias("share")).toArrow()
+        counts.where(every >= LEAST_DOCS)
+        .withColumns({"odds": odds, "error": error})
+        .select(
+            "key",
+            F.when(F.abs("odds") >= F.lit(least_z) * F.col("error"), shrunk).otherwise(0.0).alias("odds"),
+            (F.col("clean") / n_clean).alias("share"),
+        )
+        .toArrow()
     )
     keys = table.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     keys, value, share = keys[order], table.column("odds").to_numpy()[order], table.column("share").to_numpy()[order]
-    if not len(keys):
+    if not (value > 0).any():
         return none
     # A document's share is an upper bound for a token's; a hundred words a document at least.
-    model = none._replace(keys=keys, odds=value, decay=_decay(value, share / 100))
+    positive = value + DRIFT > 0
+    model = none._replace(keys=keys, odds=value, decay=_decay(value[positive] + DRIFT, share[positive] / 100))
     best = _best_scores(train, model, max_fit)
     x, y = best[0], best[1]
     clean = x[y == 0]
@@ -244,14 +264,14 @@ def toxic_scores(
     held_out_fold: int = 0,
     threshold: float = 0.5,
     least_z: float = 3.5,
-    least_odds: float = 0.7,
-    max_keys: int = 50_000,
+    max_labelled: int = 500_000,
     max_fit: int = 50_000,
 ) -> DataFrame:
     """``id_col, held_out, score, predicted, passages`` for every row.
 
-    Counts of words and word prefixes cover all labelled rows outside the held-out fold; the
-    table sent to the tasks keeps the ``max_keys`` most significant toxic keys. Each row's
+    Counts of words and word prefixes cover the labelled rows outside the held-out fold, at most
+    about ``max_labelled`` of them (chosen by a hash of the id). A key held by ``LEAST_DOCS`` of them
+    has log-odds of either sign, less two errors, where they are ``least_z`` errors from 0. Each row's
     ``passages`` lists every significant maximal segment with ``begin`` and ``end`` (UTF-8 bytes,
     end exclusive), ``score`` and ``excess``; ``score`` is a logistic curve in the best excess,
     fitted on at most ``max_fit`` labelled rows. Null and empty texts have no passage and the
@@ -260,7 +280,7 @@ def toxic_scores(
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     named = labels.select(F.col(id_col).alias("id"), label_col)
-    model = fit(rows, named, label_col, held_out_fold, least_z, least_odds, max_keys, max_fit)
+    model = fit(rows, named, label_col, held_out_fold, least_z, max_labelled, max_fit)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     found = "array<struct<begin: long, end: long, score: double, excess: double>>"
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("excess", pa.float64())]))

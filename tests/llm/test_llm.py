@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from baroflow.llm.common import fold
@@ -21,7 +22,9 @@ from baroflow.llm.pii import base_spans, luhn, pii_spans
 from baroflow.llm.quality import keep_good, quality_scores
 from baroflow.llm.templates import Page, main_text
 from baroflow.llm.topk import top_k
+from baroflow.llm import toxicity
 from baroflow.llm.toxicity import maximal_segments, toxic_scores
+from baroflow.llm.words import chunks
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile("[^ \t-\r]+")
@@ -300,3 +303,37 @@ def test_bpe(spark, docs, empty):
         assert np.frombuffer(rows[i]["token_ids"], "<u4").tolist() == ids and rows[i]["n_tokens"] == len(ids)
         assert rows[i]["decoded"] == reference.decode(ids, skip_special_tokens=False)
     assert bpe(empty, path).count() == 0
+
+
+def test_toxic_log_odds_against_plain_counts(spark):
+    """Odds of either sign; only rare and unseen words take those of a prefix."""
+    rows = []
+    for i in range(400):
+        toxic = i % 4 == 0
+        text = "plain common words here" + (" scumbag" if toxic and i % 8 == 0 else "") + (" scumble" if not toxic and i % 3 == 0 else "")
+        rows.append((i, f"{text} filler{'abcdefghij'[i % 10]} {'pretty' if not toxic else ''} n{i}", int(toxic)))
+    frame = spark.createDataFrame(rows, "id long, text string, toxic int")
+    model = toxicity.fit(frame.select("id", "text"), frame.select("id", "toxic"), "toxic", 0, 3.5, 1000, 1000)
+    train = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    size = Counter(y for _, y in train)
+    share = size[1] / len(train)
+
+    def plain(holds):
+        n = Counter(y for t, y in train if any(holds(w) for w in re.findall("[a-z]+", t)))
+        every = n[0] + n[1]
+        if every < 8:
+            return None
+        a = {1: every * share * 0.1, 0: every * (1 - share) * 0.1}
+        odds = [math.log((n[y] + a[y]) / (size[y] + 1 + a[y] - n[y])) for y in (0, 1)]
+        odds, error = odds[1] - odds[0], math.sqrt(sum(1 / (n[y] + a[y]) for y in (0, 1)))
+        return math.copysign(max(abs(odds) - 2 * error, 0), odds) if abs(odds) >= 3.5 * error else 0.0
+
+    for word in ("scumbag", "scumble", "pretty", "plain", "scumbags", "scumbl", "scumxyz", "scum", "prettier", "unseen"):
+        want = plain(lambda w: w == word)
+        for k in (6, 5, 4):
+            if want is None:
+                want = plain(lambda w: w.encode()[:k] == word.encode()[:k])
+        (chunk,) = chunks(pa.array([word]))
+        got = toxicity.token_scores(model, toxicity.tokens(chunk)[3])
+        assert got[0] == pytest.approx((want or 0.0) + toxicity.DRIFT, abs=1e-9), word
+    assert plain(lambda w: w == "scumbag") > 1 > -1 > plain(lambda w: w == "pretty")
