@@ -84,15 +84,15 @@ def token_scores(model: Model, keys: np.ndarray) -> np.ndarray:
     A word that enough documents hold has its own; a rare or unseen one that of its longest
     prefix which enough documents hold, or none.
     """
-    if not len(model.keys):
-        return np.full(len(keys), DRIFT)
-    at = np.minimum(np.searchsorted(model.keys, keys), len(model.keys) - 1)
-    known = model.keys[at] == keys
-    order = [0, *range(keys.shape[1] - 1, 0, -1)]  # the word, then its prefixes from long to short
-    first = np.argmax(known[:, order], 1)
-    pick = np.take(order, first)
-    row = np.arange(len(keys))
-    return np.where(known[row, pick], model.odds[at[row, pick]], 0.0) + DRIFT
+    score = np.full(len(keys), DRIFT)
+    left = np.arange(len(keys) if len(model.keys) else 0)
+    for column in (0, *range(keys.shape[1] - 1, 0, -1)):  # the word, then its prefixes from long to short
+        wanted = keys[left, column]
+        at = np.minimum(np.searchsorted(model.keys, wanted), len(model.keys) - 1)
+        known = model.keys[at] == wanted
+        score[left[known]] += model.odds[at[known]]
+        left = left[~known]
+    return score
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
