@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +13,9 @@ from baroflow.llm.common import few, fresh_name
 from baroflow.plans.staging import stage
 
 _ALL = (1 << 63) - 1
+_PLAN = pa.schema(
+    [("s", pa.string()), ("weight", pa.float64()), ("whole", pa.int32()), ("rest", pa.float64()), ("blocks", pa.int64())]
+)
 
 
 def weights(shares: dict, exponent: float) -> dict:
@@ -102,12 +106,15 @@ def mix(
     spent = float(sum(tokens.values())) if budget is None else float(budget)
     exponent = find_exponent(tokens, spent, max_repetition, target_entropy)
     share = weights({s: n / (sum(tokens.values()) or 1) for s, n in tokens.items()}, exponent)
-    plan = []
+    plan = {"s": [], "weight": [], "whole": [], "rest": [], "blocks": []}
     for r in totals:
         times = share[r["s"]] * spent / r["tokens"] if r["tokens"] else 0.0
         whole = int(times + 1e-9)
-        plan.append((r["s"], share[r["s"]], whole, max(0.0, (times - whole) * r["tokens"]), -(-r["rows"] // block_rows)))
-    sources = few(spark.createDataFrame(plan, "s string, weight double, whole int, rest double, blocks long"), 200_000)
+        row = (r["s"], share[r["s"]], whole, max(0.0, (times - whole) * r["tokens"]), -(-r["rows"] // block_rows))
+        for column, value in zip(plan.values(), row):
+            column.append(value)
+    # An Arrow table is read without Python; from a list of rows, every executor would start workers of another kind.
+    sources = few(spark.createDataFrame(pa.table(plan, schema=_PLAN)), 200_000)
     drawn = (
         sizes.join(sources, "s")
         .withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.col("blocks")))

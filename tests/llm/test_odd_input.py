@@ -85,3 +85,12 @@ def test_mix_with_clashing_columns(spark):
         (r["doc_id"], r["epoch"], r["block_order"]) for r in plain.collect()
     )
     assert all((r["BLOCK_order"], r["whole"], r["cut"], r["s"]) == (5, 6, 7, "q") for r in got.collect())
+
+
+def test_mix_starts_no_python_workers(spark, tmp_path):
+    rows = [(i, "w " * (i % 7), "ab"[i % 2] if i % 5 else None) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/docs")
+    mixed = mix(spark.read.parquet(f"{tmp_path}/docs"))
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "Python" not in plan and "Arrow" not in plan
+    assert {r["source"] for r in mixed.collect()} == {"a", "b", None}
